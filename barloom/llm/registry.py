@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from barloom.llm import decontamination, exact_dedup
+from barloom.llm import bpe, decontamination, exact_dedup, language_id
 
 
 def queries() -> dict:
     return {
+        "op2_bpe": bpe.op2_bpe,
+        "op4_language_id": language_id.op4_language_id,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op10_decontamination": decontamination.op10_decontamination,
     }
