@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, decontamination, exact_dedup, language_id, secret_scan, url_filter
+from barloom.llm import bpe, decontamination, exact_dedup, html_extract, language_id, secret_scan, url_filter
 
 
 def queries() -> dict:
     return {
         "op1_url_filter": url_filter.op1_url_filter,
         "op2_bpe": bpe.op2_bpe,
+        "op3_html_extraction": html_extract.op3_html_extraction,
         "op4_language_id": language_id.op4_language_id,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
