@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, decontamination, exact_dedup, html_extract, language_id, secret_scan, substring_dedup, url_filter
+from barloom.llm import bpe, decontamination, exact_dedup, html_extract, language_id, ngram_join, secret_scan, substring_dedup, url_filter
 
 
 def queries() -> dict:
@@ -11,6 +11,7 @@ def queries() -> dict:
         "op2_bpe": bpe.op2_bpe,
         "op3_html_extraction": html_extract.op3_html_extraction,
         "op4_language_id": language_id.op4_language_id,
+        "op5_ngram_join": ngram_join.op5_ngram_join,
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
