@@ -2,10 +2,11 @@
 
 Encoding, in four steps:
 
-1. Documents are dealt by hash to blocks of about ``BLOCK_CHARS`` characters.
+1. Documents are dealt to blocks of about ``BLOCK_CHARS`` characters, and packed.
 2. Each block is split into words; its distinct words go to the word table, which is dealt by word and sorted, so
    that each distinct word of the corpus is encoded once, whatever number of blocks it is in.
-3. The ids of a word go back to the blocks that have it (one row a word and block, never one a position).
+3. The ids of a word go back to the blocks that have it, by its place among the block's words (one row a word and
+   block, never one a position).
 4. Each block puts the ids in place of its words, by position.
 
 A word is a run between spaces and line feeds, both of which the tokenizer always drops and never looks across; where
@@ -81,18 +82,18 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(_read(path or vocabulary_file()))
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    chars = rows.agg(F.sum(F.length("text")).alias("n")).first()["n"] or 0
-    n_blocks = max(parallelism(spark), -(-chars // block_chars))
-    # the partition's number keeps repeated rows from meeting in one block
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("id", "text", F.spark_partition_id()), F.lit(n_blocks)).cast("int"))
+    part = rows.groupBy(F.spark_partition_id()).agg(F.sum(F.length("text")).alias("n"))
+    parts = max(1, -(-(part.agg(F.max("n")).first()[0] or 0) // block_chars))
+    # By partition, then by hash: the same block for a row however often its partition is computed, and in any order.
+    rows = rows.withColumn("block", F.spark_partition_id() * parts + F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
     id_type = rows.schema["id"].dataType
 
     def words(key, block):
         runs: set[str] = set()
         for text in _texts(block):
             runs.update(runs_of(text))
-        found = sorted({p for r in runs for p in pieces_of(r)})
-        return pa.table({"block": pa.array([key[0].as_py()] * len(found), pa.int32()), "word": pa.array(found, pa.string())})
+        found = _distinct(runs)
+        return pa.table({"block": pa.array([key[0].as_py()] * len(found), pa.int32()), "at": pa.array(range(len(found)), pa.int32()), "word": pa.array(found, pa.string())})
 
     def ids_of(batches):
         tok, last, last_ids = _tokenizer(spec.value), None, None
@@ -105,38 +106,91 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
             ids = [known[w] for w in got]
             if got:
                 last, last_ids = got[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["block", "word", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(ids, pa.list_(pa.int32()))], names=["block", "at", "ids"])
 
-    def put(key, table_, block):
-        ids = dict(zip(table_.column("word").to_pylist(), table_.column("ids").to_pylist(), strict=True))
-        runs: dict[str, list[int]] = {}
-        out, ends = [], [0]
+    def put(key, coded, block):
+        runs_seen: set[str] = set()
         for text in _texts(block):
-            own = runs_of(text)
-            for r in set(own):
-                if r not in runs:
-                    p = pieces_of(r)
-                    runs[r] = ids[p[0]] if len(p) == 1 else [i for x in p for i in ids[x]]
-            out.append(np.fromiter(chain.from_iterable(map(runs.__getitem__, own)), dtype=np.int32))
-            ends.append(ends[-1] + len(out[-1]))
+            runs_seen.update(runs_of(text))
+        by_at = dict(zip(coded.column("at").to_pylist(), coded.column("ids").to_pylist(), strict=True))
+        ids = _Runs((w, by_at[k]) for k, w in enumerate(_distinct(runs_seen)))
+        done, out, ends = [], [], [0]
+        for docs_ in _batches(block):
+            done.append(docs_.column("id"))
+            for text in docs_.column("text").to_pylist():
+                out.append(np.fromiter(chain.from_iterable(map(ids.of.__getitem__, runs_of(text))), dtype=np.int32))
+                ends.append(ends[-1] + len(out[-1]))
         flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
-        return pa.table({"id": block.column("id"), "ids": pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), flat).cast(pa.list_(pa.int32()))})
+        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), flat).cast(pa.list_(pa.int32()))
+        return pa.table({"id": pa.concat_arrays(done), "ids": lists})
 
-    table_ = (
-        rows.groupBy("block")
-        .applyInArrow(words, "block int, word string")
+    packed = rows.mapInArrow(_packed, "block int, docs binary")
+    coded = (
+        packed.groupBy("block")
+        .applyInArrow(words, "block int, at int, word string")
         .repartition(parallelism(spark), "word")
         .sortWithinPartitions("word")
-        .mapInArrow(ids_of, "block int, word string, ids array<int>")
+        .mapInArrow(ids_of, "block int, at int, ids array<int>")
     )
-    done = table_.groupBy("block").cogroup(rows.groupBy("block")).applyInArrow(put, f"id {id_type.simpleString()}, ids array<int>")
+    done = coded.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(put, f"id {id_type.simpleString()}, ids array<int>")
     return done.withColumnRenamed("id", id_col)
 
 
+PACK_BYTES = 4 << 20
+
+
+def _packed(batches):
+    """Rows (id, text, block) as rows (block, compressed rows): text is moved between tasks in this form only."""
+    held: dict[int, list[pa.RecordBatch]] = {}
+    size: dict[int, int] = {}
+
+    def flush(block: int) -> pa.RecordBatch:
+        rows, sink = held.pop(block), pa.BufferOutputStream()
+        size.pop(block)
+        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+            out.write_table(pa.Table.from_batches(rows).combine_chunks())
+        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
+
+    for batch in batches:
+        blocks = batch.column("block").to_numpy(zero_copy_only=False)
+        own = batch.select(["id", "text"])
+        for block in np.unique(blocks).tolist():
+            rows = own.filter(pa.array(blocks == block))
+            held.setdefault(block, []).append(rows)
+            size[block] = size.get(block, 0) + rows.nbytes
+            if size[block] > PACK_BYTES:
+                yield flush(block)
+    for block in list(held):
+        yield flush(block)
+
+
+def _batches(block: pa.Table):
+    for x in block.column("docs"):
+        yield from pa.ipc.open_stream(x.as_buffer())
+
+
 def _texts(block: pa.Table):
-    for chunk in block.column("text").chunks:
-        for i in range(0, len(chunk), 64):
-            yield from chunk.slice(i, 64).to_pylist()
+    for docs in _batches(block):
+        yield from docs.column("text").to_pylist()
+
+
+def _distinct(runs: set[str]) -> list[str]:
+    return sorted({p for r in runs for p in pieces_of(r)})
+
+
+class _Runs:
+    """Ids of runs, put together from the ids of their words when first asked for."""
+
+    def __init__(self, words):
+        ids = dict(words)
+
+        class Of(dict):
+            def __missing__(self, run: str) -> list[int]:
+                p = pieces_of(run)
+                found = self[run] = ids[p[0]] if len(p) == 1 else [i for x in p for i in ids[x]]
+                return found
+
+        self.of = Of()
 
 
 def piece_table(path: str | None = None) -> list[str]:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, decontamination, exact_dedup, html_extract, language_id, ngram_join, secret_scan, substring_dedup, url_filter
+from barloom.llm import bpe, decontamination, exact_dedup, html_extract, language_id, ngram_join, secret_scan, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_secret_scan": secret_scan.op6_secret_scan,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
+        "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_decontamination": decontamination.op10_decontamination,
     }
 
