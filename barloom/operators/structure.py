@@ -195,7 +195,7 @@ def add_zigzag_features(
     """20 features of the confirmed state; prices are adjusted first if adjusted_close is there."""
     h, lo, c = ("__a_high", "__a_low", "__a_close") if "adjusted_close" in df.columns else ("high", "low", "close")
     before = df.columns
-    if "adjusted_close" in before:
+    if "adjusted_close" in before and "__a_close" not in before:
         df = adjusted(df, ("high", "low", "close"), "__a_")
     df = add_atr(df, atr_length, "__zatr", h, lo, c).withColumns({"__patr": lag("__zatr"), "__at": position() - 1})
     df = add_zigzag_state(df, deviation, pivot_legs, consistency_pivots, dynamics_legs, h, lo)

@@ -6,10 +6,38 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.core import (
-    by_ticker, check_has, check_length, check_new, clip_low, col, divide, ema_alpha, ewm, lag, position, previous, rolling, runs, wilder_alpha,
+    adjusted, by_ticker, check_length, check_new, clip_low, col, divide, ema_alpha, ewm, lag, position, previous, rolling, runs, wilder_alpha,
 )
 
 
+PREPARED = "__memo_"
+
+
+def prepare(df: DataFrame, ema_lengths=(10, 12, 20, 26, 50), rsi_length: int = 21, atr_length: int = 14) -> DataFrame:
+    """Hidden columns with the recursions that several families need, computed together in one pass over each history.
+
+    Families that find one use it instead of smoothing again: adjusted prices are in __a_*, the rest in __memo_*.
+    """
+    df = adjusted(df, ("open", "high", "low", "close"), "__a_")
+    change = F.col("adjusted_close") - lag("adjusted_close")
+    h, lo, c = "__a_high", "__a_low", "__a_close"
+    up, down = _movement(h, lo)
+    df = df.withColumns({"__tr": true_range(h, lo, c), "__gain": clip_low(change), "__loss": clip_low(-change), "__up": up, "__down": down})
+    a, r = wilder_alpha(atr_length), wilder_alpha(rsi_length)
+    specs = {f"{PREPARED}{n}_{atr_length}": (x, a, atr_length) for n, x in (("atr", "__tr"), ("up", "__up"), ("down", "__down"))}
+    specs |= {f"{PREPARED}{n}_{rsi_length}": (x, r, rsi_length) for n, x in (("gain", "__gain"), ("loss", "__loss"))}
+    specs |= {f"{PREPARED}ema_{k}": ("adjusted_close", ema_alpha(k), k) for k in ema_lengths}
+    return ewm(df, specs).drop("__tr", "__gain", "__loss", "__up", "__down")
+
+
+def _smoothed(df: DataFrame, specs: dict[str, tuple[str, float, int]], memo: dict[str, str]) -> DataFrame:
+    """ewm, but names whose memo column is there are copied from it."""
+    known = {n: F.col(memo[n]) for n in specs if memo.get(n) in df.columns}
+    df = df.withColumns(known) if known else df
+    rest = {n: s for n, s in specs.items() if n not in known}
+    return ewm(df, rest) if rest else df
+
+
 def sma(x: str | Column, length: int) -> Column:
     check_length(length)
     return rolling(F.avg, col(x).cast("double"), length)
@@ -21,7 +49,9 @@ def add_sma(df: DataFrame, x: str, length: int, name: str = "sma") -> DataFrame:
 
 def add_ema(df: DataFrame, x: str, *lengths: int, names=None) -> DataFrame:
     check_length(*lengths)
-    return ewm(df, {n: (x, ema_alpha(k), k) for n, k in zip(names or [f"ema_{k}" for k in lengths], lengths, strict=True)})
+    names = names or [f"ema_{k}" for k in lengths]
+    memo = {n: f"{PREPARED}ema_{k}" for n, k in zip(names, lengths, strict=True)} if x == "adjusted_close" else {}
+    return _smoothed(df, {n: (x, ema_alpha(k), k) for n, k in zip(names, lengths, strict=True)}, memo)
 
 
 def rolling_vwap(length: int, high="high", low="low", close="close", volume="volume") -> Column:
@@ -42,7 +72,8 @@ def add_rsi(df: DataFrame, x: str, length: int = 14, name: str = "rsi") -> DataF
     check_length(length)
     change = col(x) - lag(x)
     df = df.withColumns({"__gain": clip_low(change), "__loss": clip_low(-change)})
-    df = ewm(df, {"__g": ("__gain", wilder_alpha(length), length), "__l": ("__loss", wilder_alpha(length), length)})
+    memo = {"__g": f"{PREPARED}gain_{length}", "__l": f"{PREPARED}loss_{length}"} if x == "adjusted_close" else {}
+    df = _smoothed(df, {"__g": ("__gain", wilder_alpha(length), length), "__l": ("__loss", wilder_alpha(length), length)}, memo)
     return df.withColumn(name, divide(100.0 * F.col("__g"), F.col("__g") + F.col("__l"))).drop("__gain", "__loss", "__g", "__l")
 
 
@@ -59,7 +90,7 @@ def _fast_slow(df: DataFrame, x: str, lengths, kind: str, line: Column, names) -
     check_length(fast, slow, signal)
     if fast >= slow:
         raise ValueError("the fast length must be below the slow one")
-    df = ewm(df, {"__fast": (x, ema_alpha(fast), fast), "__slow": (x, ema_alpha(slow), slow)})
+    df = add_ema(df, x, fast, slow, names=("__fast", "__slow"))
     df = ewm(df.withColumn(names[0], line), {names[1]: (names[0], ema_alpha(signal), signal)})
     return df.withColumn(names[2], F.col(names[0]) - F.col(names[1])).drop("__fast", "__slow")
 
@@ -81,19 +112,28 @@ def true_range(high="high", low="low", close="close") -> Column:
 
 def add_atr(df: DataFrame, length: int = 14, name: str = "atr", high="high", low="low", close="close") -> DataFrame:
     check_length(length)
+    check_new(df, [name])
+    memo = {name: f"{PREPARED}atr_{length}"} if close == "__a_close" else {}
     df = df.withColumn("__tr", true_range(high, low, close))
-    return ewm(df, {name: ("__tr", wilder_alpha(length), length)}).drop("__tr")
+    return _smoothed(df, {name: ("__tr", wilder_alpha(length), length)}, memo).drop("__tr")
+
+
+def _movement(high, low) -> tuple[Column, Column]:
+    """Directional movements up and down; 0 where the other side is as strong, and on the first row."""
+    up, down = col(high) - lag(high), lag(low) - col(low)
+    move = lambda a, b: F.when(F.coalesce((a > b) & (a > 0), F.lit(False)), a).otherwise(0.0)
+    return move(up, down), move(down, up)
 
 
 def add_adx(df: DataFrame, length: int = 14, high="high", low="low", close="close") -> DataFrame:
     """plus_di, minus_di and adx. On the first row a directional movement is 0, not missing."""
     check_length(length)
     check_new(df, ("adx", "plus_di", "minus_di"))
-    up, down = col(high) - lag(high), lag(low) - col(low)
-    move = lambda a, b: F.when(F.coalesce((a > b) & (a > 0), F.lit(False)), a).otherwise(0.0)
-    df = df.withColumns({"__up": move(up, down), "__down": move(down, up), "__tr": true_range(high, low, close)})
+    up, down = _movement(high, low)
+    df = df.withColumns({"__up": up, "__down": down, "__tr": true_range(high, low, close)})
     a = wilder_alpha(length)
-    df = ewm(df, {"__u": ("__up", a, length), "__d": ("__down", a, length), "__t": ("__tr", a, length)})
+    memo = {n: f"{PREPARED}{m}_{length}" for n, m in (("__u", "up"), ("__d", "down"), ("__t", "atr"))} if close == "__a_close" else {}
+    df = _smoothed(df, {"__u": ("__up", a, length), "__d": ("__down", a, length), "__t": ("__tr", a, length)}, memo)
     df = df.withColumns({"plus_di": divide(100.0 * F.col("__u"), "__t"), "minus_di": divide(100.0 * F.col("__d"), "__t")})
     dx = divide(100.0 * F.abs(F.col("plus_di") - F.col("minus_di")), F.col("plus_di") + F.col("minus_di"))
     return ewm(df.withColumn("__dx", dx), {"adx": ("__dx", a, length)}).drop("__up", "__down", "__tr", "__u", "__d", "__t", "__dx")
@@ -172,7 +212,7 @@ def add_squeeze(
     })
     was = F.lag("squeeze_on", 1, False).over(by_ticker())
     df = df.withColumn("squeeze_released", was & ~F.col("squeeze_on"))
-    df = ewm(df, {"__atr": ("__tr", wilder_alpha(atr_length), atr_length)})
+    df = _smoothed(df, {"__atr": ("__tr", wilder_alpha(atr_length), atr_length)}, {"__atr": f"{PREPARED}atr_{atr_length}"} if close == "__a_close" else {})
     df = df.withColumn("squeeze_momentum_atr", divide("squeeze_momentum", "__atr"))
     df = df.withColumn("squeeze_momentum_atr_change", F.col("squeeze_momentum_atr") - lag("squeeze_momentum_atr"))
     df = runs(df, F.col("squeeze_on"), "squeeze_duration")

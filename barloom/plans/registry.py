@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from barloom.plans import indicators
+from barloom.plans import indicators, streams, workflow
 
-_PARTS = (indicators,)
+_PARTS = (indicators, workflow, streams)
 
 
 def queries() -> dict:
