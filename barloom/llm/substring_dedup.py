@@ -19,20 +19,20 @@ an empty result; other columns pass through ``remove_repeats`` (``n_sentences``
 from __future__ import annotations
 
 import re
-from hashlib import blake2b
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from barloom.llm.common import table
+from barloom.llm.common import table, written
 
 SPAN = 3
 SPAN_WORDS = 10
 LONG_SENTENCE = 16
 
-_END = re.compile(r"[.!?]+[\"'»”)\]]*\s+|\n+")
+_END = re.compile(r"[.!?][.!?\"'»”)\]]*\s+|\n+")
 _WORD = re.compile(r"\w+")
 _LAST_ID = 2**63 - 1
 
@@ -40,23 +40,28 @@ _LAST_ID = 2**63 - 1
 def sentences_of(text: str | None) -> list[tuple[int, int, str, int]]:
     """(start, end, normalised words, number of words) of each sentence that has a word; they cover the text."""
     text = text or ""
+    low = text.lower()
+    if len(low) != len(text):  # a few letters are longer in lower case
+        low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
     out: list[tuple[int, int, str, int]] = []
     at = 0
-    for stop in [*(m.end() for m in _END.finditer(text)), len(text)]:
-        if stop == at:
-            continue
-        words = [(m.start(), m[0].lower()) for m in _WORD.finditer(text, at, stop)]
+    stops = [m.end() for m in _END.finditer(text)]
+    stops.append(len(text))
+    for stop in stops:
+        words = _WORD.findall(low, at, stop)
         if not words:
-            if out:
-                s = out[-1]
-                out[-1] = (s[0], stop, s[2], s[3])
-            at = stop if out else at
-            continue
-        for k in range(0, len(words), LONG_SENTENCE):
-            part = words[k : k + LONG_SENTENCE]
-            end = words[k + LONG_SENTENCE][0] if k + LONG_SENTENCE < len(words) else stop
-            out.append((at, end, " ".join(w for _, w in part), len(part)))
-            at = end
+            if out:  # marks between sentences belong to the one before
+                out[-1] = (out[-1][0], stop, *out[-1][2:])
+                at = stop
+        elif len(words) <= LONG_SENTENCE:
+            out.append((at, stop, " ".join(words), len(words)))
+            at = stop
+        else:
+            starts = [m.start() for m in _WORD.finditer(low, at, stop)][LONG_SENTENCE::LONG_SENTENCE]
+            for k, end in enumerate([*starts, stop]):
+                part = words[k * LONG_SENTENCE : (k + 1) * LONG_SENTENCE]
+                out.append((at, end, " ".join(part), len(part)))
+                at = end
     return out
 
 
@@ -84,21 +89,33 @@ def runs_of(sentences: list[tuple[int, int, str, int]], span: int = SPAN, least:
     return sorted(runs)
 
 
-def _hash(words: str) -> tuple[int, int]:
-    d = blake2b(words.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+_PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+
 
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+    return x ^ (x >> np.uint64(29))
+
+
+def spans_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, hash, first, last, repeats an earlier run of this text) of the runs; the hashes of a run's sentences, mixed."""
+    import xxhash
 
-def spans_of(text: str | None) -> list[tuple[int, int, int, int, bool]]:
-    """(hash, hash, first, last, repeats an earlier run of this text)."""
     sentences = sentences_of(text)
-    seen: set[tuple[int, int]] = set()
-    out = []
-    for i, j in runs_of(sentences):
-        h = _hash(" ".join(s[2] for s in sentences[i:j]))
-        out.append((*h, i, j, h in seen))
-        seen.add(h)
-    return out
+    runs = np.array(runs_of(sentences), np.int64).reshape(-1, 2)
+    first, last = runs[:, 0], runs[:, 1]
+    own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s[2].encode("utf-8", "surrogatepass")) for s in sentences), np.uint64).reshape(-1, 2)
+    both = []
+    with np.errstate(over="ignore"):
+        for half, prime in enumerate(_PRIMES):
+            h = np.zeros(len(runs), np.uint64)
+            for k in range(int((last - first).max(initial=0))):
+                more = first + k < last
+                h[more] = _mixed(h[more] * prime + own[first[more] + k, half])
+            both.append(h)
+    again = np.ones(len(runs), bool)
+    again[np.unique(both[0], return_index=True)[1]] = False  # the first run, in order, with a hash
+    return both[0].view(np.int64), both[1].view(np.int64), first, last, again
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -108,15 +125,16 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
     def spans(batches):
         for batch in batches:
-            cols: list[list] = [[], [], [], [], [], []]
-            for d, t in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
-                for h1, h2, i, j, again in spans_of(t.as_py()):
-                    for c, x in zip(cols, (h1, h2, d, i, j, again), strict=True):
-                        c.append(x)
+            ids = batch.column("doc").to_numpy()
+            found = [spans_of(t.as_py()) for t in batch.column("text")]
+            doc = np.repeat(ids, [len(f[0]) for f in found])
+            h1, h2, i, j, again = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(5))
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["h1", "h2", "doc", "i", "j", "again"])
+            columns = [pa.array(x, k) for x, k in zip((h1, h2, doc, i, j, again), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc", "i", "j", "again"])
 
-    found = rows.mapInArrow(spans, "h1 long, h2 long, doc long, i int, j int, again boolean")
+    # read twice below: hashing twice costs more than keeping the runs
+    found = written(rows.mapInArrow(spans, "h1 long, h2 long, doc long, i int, j int, again boolean"), "spans")
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     repeats = found.join(first, ["h1", "h2"]).filter("doc > first OR again").select("doc", F.struct("i", "j").alias("run"))
     cuts = repeats.groupBy("doc").agg(F.collect_set("run").alias("__runs"))
