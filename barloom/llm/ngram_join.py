@@ -61,34 +61,37 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 def _seed(n: int) -> np.uint64:
-    return _mix(np.array([n + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
+    with np.errstate(over="ignore"):
+        return _mix(np.array([n + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
+
+
+class _WordHashes(dict):
+    def __missing__(self, word: str) -> int:
+        import xxhash
+
+        h = self[word] = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
+        return h
 
 
 class Shingler:
-    """Sets of shingle hashes; remembers the hashes of words, up to a bound."""
+    """Sets of shingle hashes, as sorted arrays; remembers the hashes of words, up to a bound."""
 
     def __init__(self, words: int = WORDS):
-        self.words, self.memo = words, {}
+        self.words, self.memo = words, _WordHashes()
 
     def __call__(self, text: str | None) -> np.ndarray:
-        import xxhash
-
-        memo = self.memo
-        if len(memo) > 300_000:
-            memo.clear()
+        if len(self.memo) > 300_000:
+            self.memo.clear()
         words = _WORD.findall((text or "").lower())
         if not words:
             return np.zeros(0, np.uint64)
-        for w in words:
-            if w not in memo:
-                memo[w] = xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"))
-        h = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+        h = np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
         n = max(1, len(h) - self.words + 1)
         out = np.zeros(n, np.uint64)
         with np.errstate(over="ignore"):
             for k in range(min(self.words, len(h))):
-                out = _mix(out * np.uint64(0x9E3779B97F4A7C15) + h[k : k + n])
-        return np.unique(out)
+                out = (out ^ (out >> np.uint64(29))) * _MIX1 + h[k : k + n]
+            return np.unique(_mix(out))
 
 
 def runs_for(similar: float = SIMILAR, recall: float = RECALL, rate: float = RATE, levels: int = LEVELS) -> int:
@@ -99,29 +102,30 @@ def runs_for(similar: float = SIMILAR, recall: float = RECALL, rate: float = RAT
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
-_LANE_SEEDS = None
+def _lane_seeds() -> tuple[np.ndarray, np.ndarray]:
+    with np.errstate(over="ignore"):
+        x = _mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    return (x >> np.uint64(32)).astype(np.uint32)[:, None] | np.uint32(1), x.astype(np.uint32)[:, None]
+
+
+_LANES = _lane_seeds()
 
 
 def _sketch(s: np.ndarray) -> bytes:
-    global _LANE_SEEDS
-    with np.errstate(over="ignore"):
-        if _LANE_SEEDS is None:
-            _LANE_SEEDS = _mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)) | np.uint64(1)
-        low = (s >> np.uint64(32)).astype(np.uint32)
-        out = np.empty(LANES, np.uint8)
-        for lane in range(LANES):
-            x = low * np.uint32(_LANE_SEEDS[lane] & np.uint64(0xFFFFFFFF)) + np.uint32(_LANE_SEEDS[lane] >> np.uint64(32))
-            x ^= x >> np.uint32(15)
-            x *= np.uint32(0x2C1B3C6D)
-            out[lane] = (int(x.min()) * 0x9E3779B1 >> 13) & 0xFF
-    return out.tobytes()
-
-
-def _picked(s: np.ndarray, run: int, level: int, similar: float, rate: float) -> np.ndarray:
-    with np.errstate(over="ignore"):
-        u = _mix(s ^ _seed(run * 64 + level))
-    below = min(1.0, rate / (similar * len(s)))
-    return u[u <= np.uint64(min(2**64 - 1, int(below * 2**64)))]
+    """A byte of each lane's least hash; all lanes at a time, some hundred shingles at a time."""
+    low = (s >> np.uint64(32)).astype(np.uint32)[None, :]
+    mul, add = _LANES
+    least = np.full(LANES, 0xFFFFFFFF, np.uint32)
+    for k in range(0, low.shape[1], 256):
+        x = low[:, k : k + 256] * mul
+        x += add
+        np.minimum(least, x.min(axis=1), out=least)
+    return ((least * np.uint32(0x9E3779B1)) >> np.uint32(13)).astype(np.uint8).tobytes()
+
+
+def _picked(s: np.ndarray, seed: np.uint64, similar: float, rate: float) -> np.ndarray:
+    u = s * seed
+    return u[u <= np.uint64(min(2**64 - 1, int(rate / (similar * len(s)) * 2**64)))]
 
 
 def sketches(docs: DataFrame, id_col: str, text_col: str, similar: float, runs: int) -> DataFrame:
@@ -132,6 +136,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, similar: float, runs:
 
     def run(batches):
         shingle = Shingler()
+        seeds = [_seed(r * LEVELS + level) | np.uint64(1) for r in range(runs) for level in range(LEVELS)]
         for batch in batches:
             doc, key, sketch, picks = [], [], [], []
             for d, t in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
@@ -144,7 +149,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, similar: float, runs:
                     continue
                 key.append(blake2b(s.tobytes(), digest_size=16).digest())
                 sketch.append(_sketch(s))
-                picks.append([_picked(s, r, level, similar, RATE).view(np.int64) for r in range(runs) for level in range(LEVELS)])
+                picks.append([_picked(s, seed, similar, RATE).view(np.int64) for seed in seeds])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(picks, pa.list_(pa.list_(pa.int64())))],
                 names=["doc", "key", "sketch", "picks"],
