@@ -22,6 +22,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
@@ -134,11 +135,11 @@ def _top(counts: DataFrame, most: int) -> dict[tuple[str, str], int]:
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """docs with lang_pred and score."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(model))  # at most the bounds above
     fields = [f for f in docs.schema.fields if f.name not in ("lang_pred", "score")]
 
     def run(batches):
-        m, memo = sent.value, {}
+        m, memo = cloudpickle.loads(sent.value), {}
         for batch in batches:
             got = [m.score(words_in(t) if t and any(map(str.isalpha, t)) else [], memo) for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             new = [pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.float64())]
