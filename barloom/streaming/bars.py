@@ -14,13 +14,14 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return spark.readStream.schema(EVENTS).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def event_bars(events: DataFrame, every: str = "1 hour", late: str = "2 hours") -> DataFrame:
+def event_bars(events: DataFrame, every: str = "1 hour", late: str | None = "2 hours") -> DataFrame:
     """Bars of a stream (or a table) by type and window; a window is final once the watermark has passed its end.
 
-    Open and close go by (ts, event_id), so the order of arrival doesn't matter; events later than the watermark are dropped.
+    Open and close go by (ts, event_id), so the order of arrival doesn't matter; events later than the watermark are
+    dropped. ``late`` is None where the stream already has a watermark (after ``distinct_events``).
     """
     at = F.struct("ts", "event_id")
-    rows = events.withWatermark("ts", late) if events.isStreaming else events
+    rows = events.withWatermark("ts", late) if events.isStreaming and late else events
     return rows.groupBy(F.window("ts", every).alias("w"), "event_type").agg(
         F.min_by("value", at).alias("open"), F.max("value").alias("high"), F.min("value").alias("low"), F.max_by("value", at).alias("close"), F.count(F.lit(1)).alias("volume")
     ).select(F.lit("events").alias("provider"), F.col("event_type").alias("ticker"), F.col("w.start").alias("trading_date"), "open", "high", "low", "close", "volume")
