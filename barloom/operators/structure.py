@@ -24,6 +24,10 @@ def donchian_position(length: int = 20, high="high", low="low", close="close") -
     return divide(col(close) - lower, upper - lower)
 
 
+def _beyond(x: Column, side: str):
+    return (lambda y: y > x) if side == "high" else (lambda y: y < x)
+
+
 def add_pivot_points(
     df: DataFrame, high_left: int = 10, high_right: int = 10, low_left: int = 10, low_right: int = 10, kind: str = "high_low", rank_output: str = "rank",
 ) -> DataFrame:
@@ -38,8 +42,8 @@ def add_pivot_points(
     out = {}
     for side, x, left, right in (("high", "high", high_left, high_right), ("low", "low", low_left, low_right)):
         around = F.collect_list(x).over(by_ticker(-left, right))
-        better = (lambda y, x=x: y > F.col(x)) if side == "high" else (lambda y, x=x: y < F.col(x))
-        rank = F.when(F.col(x).isNotNull() & (F.size(around) == left + right + 1), F.size(F.filter(around, better)) + 1)
+        better = F.filter(around, _beyond(F.col(x), side))
+        rank = F.when(F.col(x).isNotNull() & (F.size(around) == left + right + 1), F.size(better) + 1)
         body = F.greatest("open", "close") if side == "high" else F.least("open", "close")
         price = F.col(x) if kind == "high_low" else (2.0 * F.col(x) + body) / 3.0
         out[f"pivot_{side}"] = F.when(rank == 1, price)

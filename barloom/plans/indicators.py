@@ -121,7 +121,8 @@ add("m13_linreg", lambda b: b.withColumn("__at", F.row_number().over(by_ticker()
 # volatility and volume
 _TR = f"t AS (SELECT *, {TRUE_RANGE} AS tr FROM b)"
 _ATR = (_TR, ewm("a", "t", "tr", _W, 14))
-add("v01_true_range", lambda b: b.withColumn("true_range", trend.true_range()), "true_range", oracle=plain(f"round({TRUE_RANGE}, 6) AS true_range"))
+QUERIES["v01_true_range"] = lambda spark, d: bars_week(spark, d).select("provider", "ticker", "trading_date", trend.true_range().alias("true_range"))
+SQL["v01_true_range"] = plain(f"{TRUE_RANGE} AS true_range")
 add("v02_atr", lambda b: trend.add_atr(b), "atr", oracle=with_(BARS, *_ATR, select=f"SELECT {KEYS}, round(y, 6) AS atr FROM a"))
 add("v03_atr_percent", lambda b: volatility.add_atr_percent(b), "atr_percent", oracle=with_(BARS, *_ATR, select=f"SELECT {KEYS}, round({div('100 * y', 'close')}, 6) AS atr_percent FROM a JOIN b USING ({KEYS})"))
 add("v04_adr", lambda b: b.withColumns({"adr": volatility.adr(), "adr_percent": volatility.adr_percent()}), "adr", "adr_percent", oracle=plain(f"round({rolling('avg', '(high - low)', 20)}, 6) AS adr, round({div(f'100 * ({rolling("avg", "(high - low)", 20)})', 'close')}, 6) AS adr_percent"))
