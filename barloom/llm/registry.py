@@ -21,4 +21,9 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_exact_dedup": exact_dedup.ORACLE}
+    return {
+        "op6_secret_scan": secret_scan.ORACLE,
+        "op7_exact_dedup": exact_dedup.ORACLE,
+        "op9_suffix_dedup": suffix_dedup.ORACLE,
+        "op10_decontamination": decontamination.ORACLE,
+    }

@@ -115,3 +115,20 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.coalesce(_listed(base), F.lit("")), 256).alias("base_sha256"),
         F.coalesce(_listed(F.col("findings")), F.lit("")).alias("spans"),
     )
+
+
+_SQL_ASSIGN = r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+ORACLE = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+     k AS (
+       SELECT doc_id, 1 AS rank, 'assign' AS kind, string_split_regex(t, '@assign') AS p, regexp_extract_all(t, '@assign', 0) AS m, list_transform(regexp_extract_all(t, '@assign', 2), lambda x: length(x) >= 8) AS ok FROM d
+       UNION ALL SELECT doc_id, 2, 'access', string_split_regex(t, 'AKIA[A-Z0-9]+'), regexp_extract_all(t, 'AKIA[A-Z0-9]+'), list_transform(regexp_extract_all(t, 'AKIA[A-Z0-9]+'), lambda x: length(x) >= 16) FROM d
+       UNION ALL SELECT doc_id, 3, 'hex', string_split_regex(t, '[0-9a-f]{32,}'), regexp_extract_all(t, '[0-9a-f]{32,}'), list_transform(regexp_extract_all(t, '[0-9a-f]{32,}'), lambda x: true) FROM d
+       UNION ALL SELECT doc_id, 4, 'pem', string_split_regex(t, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'), regexp_extract_all(t, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'), list_transform(regexp_extract_all(t, '-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----'), lambda x: true) FROM d),
+     e AS (SELECT doc_id, rank, kind, unnest(range(1, len(m) + 1)) AS i, p, m, ok FROM k WHERE len(m) > 0),
+     s AS (SELECT doc_id, rank, kind, CAST(list_sum(list_transform(list_slice(p, 1, i), lambda x: length(x))) + coalesce(list_sum(list_transform(list_slice(m, 1, i - 1), lambda x: length(x))), 0) AS BIGINT) AS a, length(m[i]) AS n FROM e WHERE ok[i]),
+     g AS (SELECT doc_id, count(CASE WHEN kind = 'assign' THEN 1 END) AS n_assign, count(CASE WHEN kind = 'access' THEN 1 END) AS n_access, count(CASE WHEN kind = 'hex' THEN 1 END) AS n_hex,
+             string_agg(CASE WHEN rank < 4 THEN kind || ':' || a || ':' || (a + n) END, ',' ORDER BY a, rank) AS base, string_agg(kind || ':' || a || ':' || (a + n), ',' ORDER BY a, rank) AS spans FROM s GROUP BY doc_id)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans
+FROM d LEFT JOIN g USING (doc_id)
+""".replace("@assign", _SQL_ASSIGN)

@@ -28,6 +28,8 @@ minimizers; a minimizer that very many different contexts share is handled in ba
 from __future__ import annotations
 
 from hashlib import blake2b
+from itertools import groupby
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -145,7 +147,10 @@ class Block:
         end = np.append(begin[1:], len(least))
         ok = of[begin] >= 0
         begin, end = begin[ok], end[ok]
-        return least[begin], begin, end, doc[of[begin]]
+        with np.errstate(over="ignore"):  # a minimum is small more often than not: mixed again, so that ranges are even
+            h = least[begin] * _X
+            h = (h ^ (h >> np.uint64(32))) * _M
+        return h, begin, end, doc[of[begin]]
 
 
 def _zip(x: np.ndarray) -> bytes:
@@ -212,8 +217,51 @@ def lyndon_order(text: bytes, strings: list[tuple[int, int]]) -> list[int]:
     return order
 
 
+def _windows(strings: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
+    """(all bytes, starts, ends, where a string of LENGTH bytes starts that another one's hash agrees with)."""
+    text = b"".join(strings)
+    ends = np.cumsum([len(s) for s in strings])
+    starts = ends - np.array([len(s) for s in strings])
+    whole = np.zeros(len(text) + 1, np.int32)
+    np.add.at(whole, starts, 1)
+    np.add.at(whole, ends - LENGTH + 1, -1)
+    at = np.flatnonzero(np.cumsum(whole)[:-1] > 0)
+    h = gram_hashes(np.frombuffer(text, np.uint8), LENGTH)[at]
+    _, back, count = np.unique(h, return_inverse=True, return_counts=True)
+    again = np.zeros(len(text), bool)
+    again[at[count[back] > 1]] = True
+    return text, starts, ends, again
+
+
 def least_ids(strings: list[bytes], ids: list[int]) -> list[np.ndarray]:
-    """For each string, the smallest id among all strings with the same LENGTH bytes, by start."""
+    """For each of the different strings, the smallest id among all strings with the same LENGTH bytes, by start.
+
+    Hashes rule out what is in one place only; the stretches that are left are cut out, and stretches that are equal as
+    a whole are taken once. The suffix order is then built of those that agree with others in part.
+    """
+    out = [np.full(len(s) - LENGTH + 1, i, np.int64) for s, i in zip(strings, ids, strict=True)]
+    text, starts, ends, again = _windows(strings)
+    edges = np.flatnonzero(np.diff(again.view(np.int8), prepend=0, append=0))
+    first, last = edges[::2], edges[1::2]
+    inside = np.searchsorted(ends, first, side="right")
+    stretches: dict[bytes, list[tuple[int, int]]] = {}
+    for a, b, k in zip(first.tolist(), last.tolist(), inside.tolist(), strict=True):
+        stretches.setdefault(text[a : b + LENGTH - 1], []).append((k, a - int(starts[k])))
+    if not stretches:
+        return out
+    least = [min(ids[k] for k, _ in own) for own in stretches.values()]
+    every = list(stretches)
+    _, s_starts, s_ends, parts = _windows(every)
+    some = [k for k, (a, b) in enumerate(zip(s_starts.tolist(), s_ends.tolist(), strict=True)) if parts[a:b].any()]
+    found: dict[int, np.ndarray] = dict(zip(some, _by_suffix_order([every[k] for k in some], [least[k] for k in some]), strict=True)) if some else {}
+    for k, (s, own) in enumerate(stretches.items()):
+        n = len(s) - LENGTH + 1
+        for string, at in own:
+            out[string][at : at + n] = found.get(k, least[k])
+    return out
+
+
+def _by_suffix_order(strings: list[bytes], ids: list[int]) -> list[np.ndarray]:
     ends = np.cumsum([len(s) for s in strings])
     starts = ends - np.array([len(s) for s in strings])
     text = b"".join(strings)
@@ -224,7 +272,8 @@ def least_ids(strings: list[bytes], ids: list[int]) -> list[np.ndarray]:
     windows = np.lib.stride_tricks.sliding_window_view(np.frombuffer(text, np.uint8), LENGTH)
     same = np.ones(len(order) - 1, bool)
     for k in range(0, len(same), 100_000):
-        same[k : k + 100_000] = (windows[order[k : k + 100_001][:-1]] == windows[order[k + 1 : k + 100_001]]).all(1)
+        near = order[k : k + 100_001]
+        same[k : k + 100_000] = (windows[near[:-1]] == windows[near[1:]]).all(1)
     group = np.concatenate([[0], np.cumsum(~same)])
     least = np.minimum.reduceat(np.array(ids, np.int64)[of], np.flatnonzero(np.concatenate([[True], ~same])))
     out = np.empty(len(text), np.int64)
@@ -300,46 +349,40 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             rows += zip(t.column("h").to_pylist(), t.column("bytes").to_pylist(), t.column("doc").to_pylist(), [b] * len(t), t.column("at").to_pylist(), strict=True)
         rows.sort()
         block, first, last = [], [], []
-        i = 0
-        batch: list = []
-        size = 0
-
-        def settle():
-            strings, ids, owners = [s for s, _, _ in batch], [m for _, m, _ in batch], [o for _, _, o in batch]
-            for least, own in zip(least_ids(strings, ids), owners, strict=True):
-                for doc, b, at in own:
-                    mark(least < doc, b, at)
 
-        def mark(gone, b, at):
-            if gone.all():
-                edges = np.array([0, len(gone)])
-            else:
-                edges = np.flatnonzero(np.diff(gone.view(np.int8), prepend=0, append=0))
+        def mark(gone: np.ndarray, b: int, at: int) -> None:
+            edges = np.flatnonzero(np.diff(gone.view(np.int8), prepend=0, append=0))
             for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
                 block.append(b)
                 first.append(at + x)
                 last.append(at + y)
 
-        while i < len(rows):
-            h, group = rows[i][0], {}
-            while i < len(rows) and rows[i][0] == h:
-                group.setdefault(rows[i][1], []).append(rows[i][2:])
-                i += 1
-            if len(group) == 1:  # the same bytes each time
-                for s, own in group.items():
+        def settle(strings: dict[bytes, list]) -> None:
+            least = least_ids(list(strings), [min(own)[0] for own in strings.values()])
+            for own, ids in zip(strings.values(), least, strict=True):
+                for doc, b, at in own:
+                    mark(ids < doc, b, at)
+
+        batch: dict[bytes, list] = {}
+        size = 0
+        for _, group in groupby(rows, key=itemgetter(0)):
+            strings: dict[bytes, list] = {}
+            for _, s, *own in group:
+                strings.setdefault(s, []).append(tuple(own))
+            if len(strings) == 1:  # the same bytes each time
+                for s, own in strings.items():
                     least = min(own)[0]
                     for doc, b, at in own:
                         if doc > least:
                             mark(np.ones(len(s) - LENGTH + 1, bool), b, at)
                 continue
-            for s, own in group.items():
-                batch.append((s, min(own)[0], own))
-                size += len(s)
+            batch.update(strings)  # equal strings have equal minimizers, so none is there yet
+            size += sum(map(len, strings))
             if size > BATCH_BYTES:
-                settle()
-                batch, size = [], 0
+                settle(batch)
+                batch, size = {}, 0
         if batch:
-            settle()
+            settle(batch)
         return pa.table({"block": pa.array(block, pa.int32()), "a": pa.array(first, pa.int64()), "b": pa.array(last, pa.int64())})
 
     runs = known.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(run_rows, "to int, block int, data binary")
@@ -376,3 +419,19 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_substrings(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+ORACLE = r"""WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+     t AS (SELECT doc_id, q, substr(h, 512 * q + 1, 610) AS t FROM (SELECT doc_id, h, unnest(range(0, CAST(ceil(length(h) / 512) AS BIGINT))) AS q FROM d)),
+     w AS (SELECT doc_id, 256 * q + k + 1 AS p, substr(t, 2 * k + 1, 100) AS s FROM (SELECT doc_id, q, t, unnest(range(0, least(256, CAST(length(t) / 2 AS BIGINT) - 49))) AS k FROM t WHERE length(t) >= 100)),
+     m AS (SELECT s, min(doc_id) AS least FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+     g AS (SELECT doc_id, p FROM w JOIN m USING (s) WHERE doc_id > least),
+     c AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM g),
+     k AS (SELECT doc_id, p, sum(new) OVER (PARTITION BY doc_id ORDER BY p) AS k FROM c),
+     i AS (SELECT doc_id, min(p) AS a, max(p) + 49 AS z FROM k GROUP BY doc_id, k),
+     v AS (SELECT *, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM i),
+     r AS (SELECT doc_id, CAST(sum(z - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans, string_agg(substr(h, 2 * before + 1, 2 * (a - before - 1)), '' ORDER BY a) || substr(first(h), 2 * max(z) + 1) AS kept
+           FROM v JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT d.doc_id, CAST(length(h) / 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, h))) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)
+"""
