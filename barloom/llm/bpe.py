@@ -3,12 +3,14 @@
 Encoding, in four steps:
 
 1. Documents are dealt to blocks of about ``BLOCK_CHARS`` characters, and packed.
-2. Each block is split into words; its distinct words go to the word table, which is dealt by word and sorted, so
-   that each distinct word of the corpus is encoded once, whatever number of blocks it is in.
-3. The ids of a word go back to the blocks that have it, by its place among the block's words (one row a word and
-   block, never one a position).
+2. Each block is split into words; its distinct words go to the word table, which is dealt to ranges by a hash of the
+   word: all blocks' copies of a word meet in one range, and each distinct word of the corpus is encoded once.
+3. The ids go back to the blocks that have the words, in the order in which the words came (an entry a word and block,
+   never one a position).
 4. Each block puts the ids in place of its words, by position.
 
+Words and ids travel packed, a row a block and range, so the shuffles are a fraction of the text.
+
 A word is a run between spaces and line feeds, both of which the tokenizer always drops and never looks across; where
 a word is Latin letters followed by ASCII marks, it is cut there (another boundary that the tokenizer always has) and
 the letters are lower-cased, which keeps the word table small. Every other word is given to the tokenizer as it is,
@@ -29,15 +31,17 @@ import json
 import os
 import re
 from itertools import chain
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from barloom.llm.blocks import batches_of, pack, texts_of
 from barloom.llm.common import parallelism, table
 
-BLOCK_CHARS = 16_000_000
+BLOCK_CHARS = 6_000_000
 MAX_VOCABULARY = 1_000_000
 DEFAULT_FILE = "word_bpe_49k.json"
 
@@ -50,11 +54,13 @@ def vocabulary_file(name: str = DEFAULT_FILE) -> str:
     return public_tokenizers.path(name)
 
 
-def pieces_of(word: str) -> tuple[str, ...]:
+def pieces_of(run: str) -> tuple[str, ...]:
     """What the word table has for a run between spaces."""
-    cut = _CUT.fullmatch(word)
+    if run.isascii() and run.isalpha():
+        return (run.lower(),)
+    cut = _CUT.fullmatch(run)
     if cut is None:
-        return (word,)
+        return (run,)
     return tuple(x for x in (cut[1].lower(), cut[2]) if x)
 
 
@@ -81,116 +87,86 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     """One row per row of docs: the id column and ids array<int>."""
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(_read(path or vocabulary_file()))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    part = rows.groupBy(F.spark_partition_id()).agg(F.sum(F.length("text")).alias("n"))
-    parts = max(1, -(-(part.agg(F.max("n")).first()[0] or 0) // block_chars))
-    # By partition, then by hash: the same block for a row however often its partition is computed, and in any order.
-    rows = rows.withColumn("block", F.spark_partition_id() * parts + F.pmod(F.xxhash64("id", "text"), F.lit(parts)).cast("int"))
-    id_type = rows.schema["id"].dataType
+    packed, n_blocks = pack(docs, id_col, text_col, block_chars)
+    ranges = max(parallelism(spark), n_blocks // 8)
+    id_type = docs.schema[id_col].dataType
 
     def words(key, block):
-        runs: set[str] = set()
-        for text in _texts(block):
-            runs.update(runs_of(text))
-        found = _distinct(runs)
-        return pa.table({"block": pa.array([key[0].as_py()] * len(found), pa.int32()), "at": pa.array(range(len(found)), pa.int32()), "word": pa.array(found, pa.string())})
-
-    def ids_of(batches):
-        tok, last, last_ids = _tokenizer(spec.value), None, None
-        for batch in batches:
-            got = batch.column("word").to_pylist()
-            new = [w for i, w in enumerate(got) if w != (got[i - 1] if i else last)]  # sorted: the same words are neighbours
-            known = {w: e.ids for w, e in zip(new, tok.encode_batch(new, add_special_tokens=False), strict=True)}
-            if last is not None:
-                known.setdefault(last, last_ids)
-            ids = [known[w] for w in got]
-            if got:
-                last, last_ids = got[-1], ids[-1]
-            yield pa.RecordBatch.from_arrays([batch.column("block"), batch.column("at"), pa.array(ids, pa.list_(pa.int32()))], names=["block", "at", "ids"])
+        rows = [(to, _zip("\n".join(own).encode())) for to, own in _dealt(_distinct(_pieces(block)), ranges)]
+        return pa.table({"to": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "words": pa.array([r[1] for r in rows], pa.binary())})
+
+    def ids_of(key, table_):
+        lists = [_unzip(x.as_py()).decode().split("\n") for x in table_.column("words")]
+        tok, ids = _tokenizer(spec.value), {}
+        every = sorted(set(chain.from_iterable(lists)))
+        for k in range(0, len(every), 20_000):
+            some = every[k : k + 20_000]
+            ids.update((w, np.array(e.ids, np.int32).tobytes()) for w, e in zip(some, tok.encode_batch(some, add_special_tokens=False), strict=True))
+        out = []
+        for own in lists:
+            found = [ids[w] for w in own]
+            sizes = np.array([len(x) // 4 for x in found], np.int32)
+            out.append(_zip(sizes.tobytes() + b"".join(found)))
+        return pa.table({"block": table_.column("block"), "to": table_.column("to"), "ids": pa.array(out, pa.binary())})
 
     def put(key, coded, block):
-        runs_seen: set[str] = set()
-        for text in _texts(block):
-            runs_seen.update(runs_of(text))
-        by_at = dict(zip(coded.column("at").to_pylist(), coded.column("ids").to_pylist(), strict=True))
-        ids = _Runs((w, by_at[k]) for k, w in enumerate(_distinct(runs_seen)))
+        known = dict(zip(coded.column("to").to_pylist(), coded.column("ids").to_pylist(), strict=True))
+        ids: dict[str, list[int]] = {}
+        pieces = _pieces(block)
+        for to, own in _dealt(_distinct(pieces), ranges):
+            x = np.frombuffer(_unzip(known[to]), np.int32)
+            ends = np.cumsum(x[: len(own)]) + len(own)
+            flat = x.tolist()
+            ids.update((w, flat[a:b]) for w, a, b in zip(own, [len(own), *ends[:-1].tolist()], ends.tolist(), strict=True))
+        runs = {r: ids[p[0]] if len(p) == 1 else [i for x in p for i in ids[x]] for r, p in pieces.items()}
         done, out, ends = [], [], [0]
-        for docs_ in _batches(block):
+        for docs_ in batches_of(block):
             done.append(docs_.column("id"))
             for text in docs_.column("text").to_pylist():
-                out.append(np.fromiter(chain.from_iterable(map(ids.of.__getitem__, runs_of(text))), dtype=np.int32))
+                out.append(np.fromiter(chain.from_iterable(map(runs.__getitem__, runs_of(text))), dtype=np.int32))
                 ends.append(ends[-1] + len(out[-1]))
         flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
-        lists = pa.LargeListArray.from_arrays(pa.array(ends, pa.int64()), flat).cast(pa.list_(pa.int32()))
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
         return pa.table({"id": pa.concat_arrays(done), "ids": lists})
 
-    packed = rows.mapInArrow(_packed, "block int, docs binary")
-    coded = (
-        packed.groupBy("block")
-        .applyInArrow(words, "block int, at int, word string")
-        .repartition(parallelism(spark), "word")
-        .sortWithinPartitions("word")
-        .mapInArrow(ids_of, "block int, at int, ids array<int>")
-    )
+    table_ = packed.groupBy("block").applyInArrow(words, "to int, block int, words binary")
+    coded = table_.groupBy("to").applyInArrow(ids_of, "block int, to int, ids binary")
     done = coded.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(put, f"id {id_type.simpleString()}, ids array<int>")
     return done.withColumnRenamed("id", id_col)
 
 
-PACK_BYTES = 4 << 20
-
-
-def _packed(batches):
-    """Rows (id, text, block) as rows (block, compressed rows): text is moved between tasks in this form only."""
-    held: dict[int, list[pa.RecordBatch]] = {}
-    size: dict[int, int] = {}
-
-    def flush(block: int) -> pa.RecordBatch:
-        rows, sink = held.pop(block), pa.BufferOutputStream()
-        size.pop(block)
-        with pa.ipc.new_stream(sink, rows[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-            out.write_table(pa.Table.from_batches(rows).combine_chunks())
-        return pa.RecordBatch.from_arrays([pa.array([block], pa.int32()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["block", "docs"])
-
-    for batch in batches:
-        blocks = batch.column("block").to_numpy(zero_copy_only=False)
-        own = batch.select(["id", "text"])
-        for block in np.unique(blocks).tolist():
-            rows = own.filter(pa.array(blocks == block))
-            held.setdefault(block, []).append(rows)
-            size[block] = size.get(block, 0) + rows.nbytes
-            if size[block] > PACK_BYTES:
-                yield flush(block)
-    for block in list(held):
-        yield flush(block)
-
+def _zip(x: bytes) -> bytes:
+    import zstandard
 
-def _batches(block: pa.Table):
-    for x in block.column("docs"):
-        yield from pa.ipc.open_stream(x.as_buffer())
+    return zstandard.ZstdCompressor(level=3).compress(x)
 
 
-def _texts(block: pa.Table):
-    for docs in _batches(block):
-        yield from docs.column("text").to_pylist()
+def _unzip(x: bytes) -> bytes:
+    import zstandard
 
+    return zstandard.ZstdDecompressor().decompress(x)
 
-def _distinct(runs: set[str]) -> list[str]:
-    return sorted({p for r in runs for p in pieces_of(r)})
 
+def _pieces(block: pa.Table) -> dict[str, tuple[str, ...]]:
+    """The pieces of each distinct run of a block."""
+    runs: set[str] = set()
+    for text in texts_of(block):
+        runs.update(runs_of(text))
+    return {r: pieces_of(r) for r in runs}
 
-class _Runs:
-    """Ids of runs, put together from the ids of their words when first asked for."""
 
-    def __init__(self, words):
-        ids = dict(words)
+def _distinct(pieces: dict[str, tuple[str, ...]]) -> list[str]:
+    """The distinct words among them, in order."""
+    return sorted({p for own in pieces.values() for p in own})
 
-        class Of(dict):
-            def __missing__(self, run: str) -> list[int]:
-                p = pieces_of(run)
-                found = self[run] = ids[p[0]] if len(p) == 1 else [i for x in p for i in ids[x]]
-                return found
 
-        self.of = Of()
+def _dealt(words: list[str], ranges: int):
+    """(range, its words in order): a word is always in the same range."""
+    to = np.array([crc32(w.encode()) % ranges for w in words], np.int64)
+    order = np.argsort(to, kind="stable")
+    for own in np.split(order, np.flatnonzero(np.diff(to[order])) + 1):
+        if len(own):
+            yield int(to[own[0]]), [words[k] for k in own.tolist()]
 
 
 def piece_table(path: str | None = None) -> list[str]:

@@ -30,8 +30,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from barloom.llm.common import table
 
 FIT_ROWS = 20_000
-MAX_WORDS = 50_000
-MAX_GRAMS = 50_000
+MAX_WORDS = 20_000
+MAX_GRAMS = 20_000
 LONGEST = 5
 UNDECIDED = "und"
 
@@ -102,10 +102,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_row
 
     def count_words(batches):
         for batch in batches:
-            seen: Counter = Counter()
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
-                seen.update((lang, w) for w in words_in(text))
-            yield _counts(seen)
+            for k in range(0, batch.num_rows, 500):
+                some = batch.slice(k, 500)
+                seen: dict[str, Counter] = {}
+                for text, lang in zip(some.column("text").to_pylist(), some.column("lang").to_pylist(), strict=True):
+                    seen.setdefault(lang, Counter()).update(words_in(text))
+                yield _counts({(lang, w): n for lang, own in seen.items() for w, n in own.items()})
 
     def count_grams(batches):
         for batch in batches:
@@ -122,7 +124,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_row
     return Model(_top(words, max_words), _top(grams, max_grams))
 
 
-def _counts(seen: Counter) -> pa.RecordBatch:
+def _counts(seen: dict[tuple[str, str], int]) -> pa.RecordBatch:
     lang, x = zip(*seen, strict=True) if seen else ((), ())
     return pa.RecordBatch.from_arrays([pa.array(lang, pa.string()), pa.array(x, pa.string()), pa.array(list(seen.values()), pa.int64())], names=["lang", "x", "n"])
 
@@ -130,7 +132,8 @@ def _counts(seen: Counter) -> pa.RecordBatch:
 def _top(counts: DataFrame, most: int) -> dict[tuple[str, str], int]:
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "x")
     top = counts.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most)
-    return {(r["lang"], r["x"]): r["n"] for r in top.select("lang", "x", "n").collect()}
+    found = top.select("lang", "x", "n").toArrow()
+    return dict(zip(zip(found["lang"].to_pylist(), found["x"].to_pylist(), strict=True), found["n"].to_pylist(), strict=True))
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:

@@ -28,8 +28,6 @@ minimizers; a minimizer that very many different contexts share is handled in ba
 from __future__ import annotations
 
 from hashlib import blake2b
-from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -48,10 +46,25 @@ _LAST_ID = 2**63 - 1
 _M, _X = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
 
+PIECE = 1 << 14  # positions at a time: what is in work stays in the processor's cache
+
+
+def _piecewise(f, x: np.ndarray, width: int, kind) -> np.ndarray:
+    """f over x in pieces, each with the width - 1 values after it that its last results need."""
+    n = max(0, len(x) - width + 1)
+    out = np.empty(n, kind)
+    for i in range(0, n, PIECE):
+        out[i : i + PIECE] = f(x[i : min(i + PIECE, n) + width - 1], width)
+    return out
+
+
 def gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
-    """A hash of each k bytes, by doubling."""
-    if len(b) < k:
-        return np.zeros(0, np.uint64)
+    """A hash of each k bytes."""
+    return _piecewise(_gram_hashes, b, k, np.uint64)
+
+
+def _gram_hashes(b: np.ndarray, k: int) -> np.ndarray:
+    """By doubling."""
     with np.errstate(over="ignore"):
         h, n, power = (b.astype(np.uint64) + np.uint64(1)) * _X, 1, _M
         acc, have = None, 0
@@ -82,6 +95,10 @@ def _pow(x: np.uint64, n: int) -> np.uint64:
 
 
 def window_min(h: np.ndarray, w: int) -> np.ndarray:
+    return _piecewise(_window_min, h, w, h.dtype)
+
+
+def _window_min(h: np.ndarray, w: int) -> np.ndarray:
     n = 1
     size = len(h) - w + 1
     while n * 2 <= w:
@@ -233,34 +250,83 @@ def _windows(strings: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.nd
     return text, starts, ends, again
 
 
-def least_ids(strings: list[bytes], ids: list[int]) -> list[np.ndarray]:
-    """For each of the different strings, the smallest id among all strings with the same LENGTH bytes, by start.
+def smaller_elsewhere(strings: list[bytes], ids: list[int]) -> list[list[tuple[int, int]]]:
+    """For each of the different strings, the runs [first, last) of starts whose LENGTH bytes are in a string with a smaller id.
 
     Hashes rule out what is in one place only; the stretches that are left are cut out, and stretches that are equal as
     a whole are taken once. The suffix order is then built of those that agree with others in part.
     """
-    out = [np.full(len(s) - LENGTH + 1, i, np.int64) for s, i in zip(strings, ids, strict=True)]
+    out: list[list[tuple[int, int]]] = [[] for _ in strings]
     text, starts, ends, again = _windows(strings)
     edges = np.flatnonzero(np.diff(again.view(np.int8), prepend=0, append=0))
     first, last = edges[::2], edges[1::2]
     inside = np.searchsorted(ends, first, side="right")
+    at = first - starts[inside]
     stretches: dict[bytes, list[tuple[int, int]]] = {}
-    for a, b, k in zip(first.tolist(), last.tolist(), inside.tolist(), strict=True):
-        stretches.setdefault(text[a : b + LENGTH - 1], []).append((k, a - int(starts[k])))
+    for a, b, k, i in zip(first.tolist(), (last + LENGTH - 1).tolist(), inside.tolist(), at.tolist(), strict=True):
+        stretches.setdefault(text[a:b], []).append((k, i))
     if not stretches:
         return out
     least = [min(ids[k] for k, _ in own) for own in stretches.values()]
     every = list(stretches)
-    _, s_starts, s_ends, parts = _windows(every)
-    some = [k for k, (a, b) in enumerate(zip(s_starts.tolist(), s_ends.tolist(), strict=True)) if parts[a:b].any()]
-    found: dict[int, np.ndarray] = dict(zip(some, _by_suffix_order([every[k] for k in some], [least[k] for k in some]), strict=True)) if some else {}
-    for k, (s, own) in enumerate(stretches.items()):
-        n = len(s) - LENGTH + 1
-        for string, at in own:
-            out[string][at : at + n] = found.get(k, least[k])
+    _, s_starts, _, parts = _windows(every)
+    touched = np.add.reduceat(parts, s_starts) > 0
+    some = np.flatnonzero(touched).tolist()
+    found = dict(zip(some, _by_suffix_order([every[k] for k in some], [least[k] for k in some]), strict=True)) if some else {}
+    for n, (s, own) in enumerate(stretches.items()):
+        size, of = len(s) - LENGTH + 1, found.get(n)
+        for k, i in own:
+            if of is None:
+                if least[n] < ids[k]:
+                    out[k].append((i, i + size))
+            else:
+                cuts = np.flatnonzero(np.diff((of < ids[k]).view(np.int8), prepend=0, append=0)).tolist()
+                out[k] += [(i + x, i + y) for x, y in zip(cuts[::2], cuts[1::2], strict=True)]
     return out
 
 
+def _decided(groups: dict[int, dict[bytes, list]]) -> tuple[list[int], list[int], list[int]]:
+    """minimizer -> string -> its places (doc, block, at): (block, first, last) of the strings of LENGTH bytes that go."""
+    block: list[int] = []
+    first: list[int] = []
+    last: list[int] = []
+
+    def mark(b: int, x: int, y: int) -> None:
+        block.append(b)
+        first.append(x)
+        last.append(y)
+
+    def settle(strings: dict[bytes, list]) -> None:
+        least = [min(own)[0] for own in strings.values()]
+        runs = smaller_elsewhere(list(strings), least)
+        for (s, own), i, some in zip(strings.items(), least, runs, strict=True):
+            for doc, b, at in own:
+                if doc > i:
+                    mark(b, at, at + len(s) - LENGTH + 1)
+                else:
+                    for x, y in some:
+                        mark(b, at + x, at + y)
+
+    batch: dict[bytes, list] = {}
+    size = 0
+    for strings in groups.values():
+        if len(strings) == 1:  # the same bytes each time
+            for s, own in strings.items():
+                least = min(own)[0]
+                for doc, b, at in own:
+                    if doc > least:
+                        mark(b, at, at + len(s) - LENGTH + 1)
+            continue
+        batch.update(strings)  # equal strings have equal minimizers, so none is there yet
+        size += sum(map(len, strings))
+        if size > BATCH_BYTES:
+            settle(batch)
+            batch, size = {}, 0
+    if batch:
+        settle(batch)
+    return block, first, last
+
+
 def _by_suffix_order(strings: list[bytes], ids: list[int]) -> list[np.ndarray]:
     ends = np.cumsum([len(s) for s in strings])
     starts = ends - np.array([len(s) for s in strings])
@@ -343,46 +409,12 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         return pa.table({"to": pa.array(to[cuts[:-1]], pa.int32()), "block": pa.array([key[0].as_py()] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
 
     def decide(key, packs):
-        rows = []
+        groups: dict[int, dict[bytes, list]] = {}
         for b, x in zip(packs.column("block").to_pylist(), packs.column("data"), strict=True):
             t = pa.ipc.open_stream(x.as_buffer()).read_all()
-            rows += zip(t.column("h").to_pylist(), t.column("bytes").to_pylist(), t.column("doc").to_pylist(), [b] * len(t), t.column("at").to_pylist(), strict=True)
-        rows.sort()
-        block, first, last = [], [], []
-
-        def mark(gone: np.ndarray, b: int, at: int) -> None:
-            edges = np.flatnonzero(np.diff(gone.view(np.int8), prepend=0, append=0))
-            for x, y in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
-                block.append(b)
-                first.append(at + x)
-                last.append(at + y)
-
-        def settle(strings: dict[bytes, list]) -> None:
-            least = least_ids(list(strings), [min(own)[0] for own in strings.values()])
-            for own, ids in zip(strings.values(), least, strict=True):
-                for doc, b, at in own:
-                    mark(ids < doc, b, at)
-
-        batch: dict[bytes, list] = {}
-        size = 0
-        for _, group in groupby(rows, key=itemgetter(0)):
-            strings: dict[bytes, list] = {}
-            for _, s, *own in group:
-                strings.setdefault(s, []).append(tuple(own))
-            if len(strings) == 1:  # the same bytes each time
-                for s, own in strings.items():
-                    least = min(own)[0]
-                    for doc, b, at in own:
-                        if doc > least:
-                            mark(np.ones(len(s) - LENGTH + 1, bool), b, at)
-                continue
-            batch.update(strings)  # equal strings have equal minimizers, so none is there yet
-            size += sum(map(len, strings))
-            if size > BATCH_BYTES:
-                settle(batch)
-                batch, size = {}, 0
-        if batch:
-            settle(batch)
+            for h, own, doc, at in zip(*(t.column(c).to_pylist() for c in ("h", "bytes", "doc", "at")), strict=True):
+                groups.setdefault(h, {}).setdefault(own, []).append((doc, b, at))
+        block, first, last = _decided(groups)
         return pa.table({"block": pa.array(block, pa.int32()), "a": pa.array(first, pa.int64()), "b": pa.array(last, pa.int64())})
 
     runs = known.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(run_rows, "to int, block int, data binary")
