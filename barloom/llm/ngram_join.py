@@ -4,10 +4,11 @@
    shingle). Texts with the same set are one class, found by its hash with ordinary combining; only one
    representative of each class goes on.
 2. Chosen paths. In each of several independent runs, every set picks shared tokens: token t of a set of n is picked
-   at a level if a hash of (run, level, t) is below RATE / (similarity * n), so two sets that share a token pick it
-   together, and ever more surely the more they share. Sets meet in the bucket of a picked token. A bucket of more
-   than SMALL sets is split again by the tokens picked at the next level, LEVELS deep. The number of runs follows
-   from the chance that a pair at the threshold stays together through all levels, and the target recall.
+   if a hash of (path so far, t) is below RATE / (similarity * n), so two sets that share a token pick it together, and
+   ever more surely the more they share. Sets meet in the bucket of a picked token. A bucket of more than SMALL sets
+   is split again by tokens that are picked afresh for this bucket (its texts are read again for that), LEVELS deep.
+   The number of runs follows from the chance that a pair at the threshold stays together through all levels, and the
+   target recall; the pair that is least likely to meet is a set inside the other.
 3. Small buckets are compared by brute force on sketches (LANES minhashes of a byte). A bucket that is still large at
    the last level is a crowd of alike sets: there each set is compared with leaders only, sets not near one become
    leaders, and sets link to all leaders within reach; the reach is so wide that two sets over the threshold always
@@ -95,8 +96,9 @@ class Shingler:
 
 
 def runs_for(similar: float = SIMILAR, recall: float = RECALL, rate: float = RATE, levels: int = LEVELS) -> int:
-    """Runs until a pair at the threshold meets with the target's chance. It shares 2s/(1+s) of either set."""
-    mean, meets = rate / similar * 2 * similar / (1 + similar), 1.0
+    """Runs until a pair at the threshold meets with the target's chance. At least it shares s of the greater set (all of
+    the smaller one), so that it picks rate / s * s tokens together, afresh on each path."""
+    mean, meets = rate, 1.0
     for _ in range(levels):
         meets = 1 - math.exp(-mean * meets)
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
@@ -128,15 +130,23 @@ def _picked(s: np.ndarray, seed: np.uint64, similar: float, rate: float) -> np.n
     return u[u <= np.uint64(min(2**64 - 1, int(rate / (similar * len(s)) * 2**64)))]
 
 
+def _paths(s: np.ndarray, bucket: int, similar: float, rate: float) -> np.ndarray:
+    """Buckets one level below a bucket; the tokens are picked by a hash of its own."""
+    at = np.array([bucket], np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        picked = _picked(s, _mix(at ^ _MIX1)[0] | np.uint64(1), similar, rate)
+        return _mix(picked ^ _mix(at + _MIX2)).view(np.int64)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, similar: float, runs: int) -> DataFrame:
-    """(doc, class hash, sketch, picks): picks has a row of tokens for each run and level."""
+    """(doc, class hash, sketch, picks): picks has a row of tokens for each run."""
     from hashlib import blake2b
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL")
 
     def run(batches):
         shingle = Shingler()
-        seeds = [_seed(r * LEVELS + level) | np.uint64(1) for r in range(runs) for level in range(LEVELS)]
+        seeds = [_seed(r) | np.uint64(1) for r in range(runs)]
         for batch in batches:
             doc, key, sketch, picks = [], [], [], []
             for d, t in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
@@ -219,23 +229,39 @@ def _compare(rows: DataFrame, reach: float, crowds: bool) -> DataFrame:
     return dealt.mapInArrow(links, "a long, b long, bucket long")
 
 
-def candidates(sets: DataFrame, runs: int) -> DataFrame:
-    """Links (a, b) that connect all sets that may be over the threshold. sets: (doc, sketch, picks)."""
+def _deeper(paths: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """paths (bucket, doc) -> (doc, bucket) one level below, by tokens that each bucket picks afresh."""
+    own = paths.groupBy("doc").agg(F.collect_list("bucket").alias("buckets"))  # as many as the doc's picks, however large the buckets
+
+    def run(batches):
+        shingle = Shingler()
+        for batch in batches:
+            ids, found = [], []
+            for d, buckets, t in zip(batch.column("doc").to_pylist(), batch.column("buckets").to_pylist(), batch.column("text"), strict=True):
+                s = shingle(t.as_py())
+                if len(s):
+                    below = np.unique(np.concatenate([_paths(s, b, similar, RATE) for b in buckets]))
+                    ids.append(np.full(len(below), d, np.int64))
+                    found.append(below)
+            columns = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (ids, found)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "bucket"])
+
+    return own.join(texts, "doc").select("doc", "buckets", "text").mapInArrow(run, "doc long, bucket long").distinct()
+
+
+def candidates(sets: DataFrame, texts: DataFrame, runs: int, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) that connect all sets that may be over the threshold. sets: (doc, sketch, picks); texts: (doc, text)."""
     path = lambda *c: F.xxhash64(*c)
-    tokens = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.transform(F.get("picks", r * LEVELS), lambda t: F.struct(r.alias("run"), t.alias("t"))))))
-    level = sets.select("doc", tokens.alias("x")).select("doc", F.col("x.run").alias("run"), path("x.run", "x.t").alias("bucket")).distinct()
+    tokens = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.transform(F.get("picks", r), lambda t: F.struct(r.alias("run"), t.alias("t"))))))
+    level = sets.filter(F.size("picks") > 0).select("doc", tokens.alias("x")).select("doc", path("x.run", "x.t").alias("bucket")).distinct()
     small, large = [], None
     for depth in range(1, LEVELS + 1):
         size = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         sized = level.join(size, "bucket")
+        small.append(sized.filter(F.col("size") <= SMALL).select("bucket", "doc"))
         if depth < LEVELS:
-            small.append(sized.filter(F.col("size") <= SMALL).select("bucket", "doc"))
-            more = sized.filter(F.col("size") > SMALL).join(sets.select("doc", "picks"), "doc")
-            t = F.explode(F.get("picks", F.col("run") * LEVELS + depth))
-            level = more.select("doc", "run", "bucket", t.alias("t")).select("doc", "run", path("bucket", "t").alias("bucket")).distinct()
-            level = written(level, "paths")
+            level = written(_deeper(sized.filter(F.col("size") > SMALL), texts, similar), "paths")
         else:
-            small.append(sized.filter(F.col("size") <= SMALL).select("bucket", "doc"))
             salt = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / CROWD)).cast("int")
             large = sized.filter(F.col("size") > SMALL).select("bucket", salt.alias("salt"), "doc")
     with_sketch = sets.select("doc", "sketch")
@@ -327,10 +353,10 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     classes = written(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
     sets = rows.join(classes, (rows["key"] == classes["key"]) & (rows["doc"] == classes["rep"])).select("doc", "sketch", "picks", "n")
     sets = written(sets.dropDuplicates(["doc"]), "sets")
-    coarse = written(components(candidates(sets, runs)), "coarse")
+    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
+    coarse = written(components(candidates(sets, texts, runs, similar)), "coarse")
     sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = coarse.join(sizes, "component").join(sets.select("doc", "n"), F.col("node") == F.col("doc")).select(F.col("component").alias("grp"), "size", "doc", "n")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
     exact = written(exact_links(members.join(texts, "doc"), similar), "exact")
     groups = components(exact.filter("other IS NOT NULL").select(F.col("doc").alias("a"), F.col("other").alias("b")))
     counts = exact.filter("other IS NULL").groupBy("doc").agg(F.sum("links").alias("links"))

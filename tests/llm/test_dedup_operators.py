@@ -75,6 +75,16 @@ def test_runs_reach_the_target():
     assert ngram_join.runs_for(recall=0.5) <= ngram_join.runs_for(recall=0.999)
 
 
+def test_ngram_join_keeps_its_recall_through_all_levels(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 1)  # each pair is alone in its buckets, and goes down all levels
+    docs = []
+    for i in range(3000):
+        words = [f"p{i}w{k}" for k in range(54)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:44]))]  # 40 of 50 shingles
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(got[2 * i] == 0 for i in range(3000)) <= 10
+
+
 def test_components_of_a_path_a_star_and_pairs(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 20)] + [(300, 301), (301, 300), (5, 5)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
