@@ -8,11 +8,13 @@
    ever more surely the more they share. Sets meet in the bucket of a picked token. A bucket of more than SMALL sets
    is split again by tokens that are picked afresh for this bucket (its texts are read again for that), LEVELS deep.
    The number of runs follows from the chance that a pair at the threshold stays together through all levels, and the
-   target recall; the pair that is least likely to meet is a set inside the other.
+   target recall; the pair that is least likely to meet is a set inside the other. A set too small to be over the
+   threshold with any other set (of under four shingles, at 0.8) picks nothing.
 3. Small buckets are compared by brute force on sketches (LANES minhashes of a byte). A bucket that is still large at
    the last level is a crowd of alike sets: there each set is compared with leaders only, sets not near one become
    leaders, and sets link to all leaders within reach; the reach is so wide that two sets over the threshold always
-   end up linked through leaders. Such buckets are dealt to blocks of CROWD sets, whose leaders meet once more.
+   end up linked through leaders. Such buckets are dealt to blocks of CROWD sets, whose leaders meet once more: in one
+   block if they are few, otherwise in all pairs of blocks of CROWD leaders, each pair of blocks on its own.
 4. Linked sets form coarse groups, in which every pair over the threshold lies. Their texts are fetched and each pair
    of a group is compared exactly, in blocks of BLOCK sets that are multiplied as matrices; out come each set's number of
    links, and a spanning forest of the true links. No list of pairs is ever written.
@@ -138,6 +140,11 @@ def _paths(s: np.ndarray, bucket: int, similar: float, rate: float) -> np.ndarra
         return _mix(picked ^ _mix(at + _MIX2)).view(np.int64)
 
 
+def _alone(n: int, similar: float) -> bool:
+    """Whether a set of n is under the threshold with every other set (at best it lacks one shingle of that)."""
+    return n * 1_000_000 < round(similar * 1_000_000) * (n + 1)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, similar: float, runs: int) -> DataFrame:
     """(doc, class hash, sketch, picks): picks has a row of tokens for each run."""
     from hashlib import blake2b
@@ -159,7 +166,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, similar: float, runs:
                     continue
                 key.append(blake2b(s.tobytes(), digest_size=16).digest())
                 sketch.append(_sketch(s))
-                picks.append([_picked(s, seed, similar, RATE).view(np.int64) for seed in seeds])
+                picks.append([] if _alone(len(s), similar) else [_picked(s, seed, similar, RATE).view(np.int64) for seed in seeds])
             yield pa.RecordBatch.from_arrays(
                 [pa.array(doc, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(picks, pa.list_(pa.list_(pa.int64())))],
                 names=["doc", "key", "sketch", "picks"],
@@ -187,24 +194,50 @@ def _bucket_links(docs: np.ndarray, lanes: np.ndarray, crowd: bool, reach: float
         lead, left = int(left[0]), left[1:]
         alike = _agree(lanes, lanes[lead])
         pairs += [(int(docs[lead]), int(docs[j])) for j in np.flatnonzero(alike >= reach) if j != lead]
-        pairs = forest(pairs)
+        if len(pairs) > 8 * len(docs):
+            pairs = forest(pairs)
         leaders.append(lead)
         left = left[alike[left] < NEAR]
-    return pairs, leaders
+    return forest(pairs), leaders
+
+
+def _cross_links(docs: np.ndarray, lanes: np.ndarray, side: np.ndarray, reach: float) -> list[tuple[int, int]]:
+    """Links between the two sides of a pair of blocks, as a forest."""
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
+    pairs: list[tuple[int, int]] = []
+    for i in left:
+        pairs += [(int(docs[i]), int(docs[right[j]])) for j in np.flatnonzero(_agree(lanes[right], lanes[i]) >= reach)]
+        if len(pairs) > 8 * len(docs):
+            pairs = forest(pairs)
+    return forest(pairs)
+
+
+def leader_blocks(leaders: DataFrame) -> DataFrame:
+    """leaders (bucket, doc) -> (bucket, salt, side, doc): those of a bucket in one block, or in all pairs of its blocks."""
+    size = leaders.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    rows = leaders.join(size, "bucket").withColumn("blocks", F.ceil(F.col("size") / CROWD).cast("long"))
+    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc", F.lit(1)), "blocks")).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    p, q = F.least("own", "met"), F.greatest("own", "met")
+    return rows.select("bucket", (p * F.col("blocks") + q).alias("salt"), (F.col("own") > F.col("met")).cast("int").alias("side"), "doc")
 
 
 def _compare(rows: DataFrame, reach: float, crowds: bool) -> DataFrame:
-    """rows (bucket, salt, doc, sketch) -> (a, b) links, and, for crowds, (a, null, bucket) for each leader."""
+    """rows (bucket, salt, side, doc, sketch) -> (a, b) links, and, for crowds, (a, null, bucket) for each leader. Where a
+    (bucket, salt) has both sides, only sets of different sides are compared."""
     n = parallelism(rows.sparkSession)
 
     def links(batches):
-        key, docs, lanes = None, [], []
+        key, docs, lanes, sides = None, [], [], []
 
         def close():
             a, b, of = [], [], []
             if len(docs) > 1 or (crowds and docs):
                 crowd = crowds and len(docs) > SMALL
-                found, leaders = _bucket_links(np.array(docs), np.frombuffer(b"".join(lanes), np.uint8).reshape(-1, LANES), crowd, reach)
+                sketch = np.frombuffer(b"".join(lanes), np.uint8).reshape(-1, LANES)
+                if any(sides):
+                    found, leaders = _cross_links(np.array(docs), sketch, np.array(sides), reach), []
+                else:
+                    found, leaders = _bucket_links(np.array(docs), sketch, crowd, reach)
                 a += [x for x, _ in found]
                 b += [y for _, y in found]
                 of += [key[0]] * len(found)
@@ -215,13 +248,14 @@ def _compare(rows: DataFrame, reach: float, crowds: bool) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(of, pa.int64())], names=["a", "b", "bucket"])
 
         for batch in batches:
-            for k, s, d, x in zip(*(batch.column(c).to_pylist() for c in ("bucket", "salt", "doc", "sketch")), strict=True):
+            for k, s, side, d, x in zip(*(batch.column(c).to_pylist() for c in ("bucket", "salt", "side", "doc", "sketch")), strict=True):
                 if (k, s) != key:
                     if docs:
                         yield close()
-                    key, docs, lanes = (k, s), [], []
+                    key, docs, lanes, sides = (k, s), [], [], []
                 docs.append(d)
                 lanes.append(x)
+                sides.append(side)
         if docs:
             yield close()
 
@@ -263,17 +297,16 @@ def candidates(sets: DataFrame, texts: DataFrame, runs: int, similar: float = SI
             level = written(_deeper(sized.filter(F.col("size") > SMALL), texts, similar), "paths")
         else:
             salt = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / CROWD)).cast("int")
-            large = sized.filter(F.col("size") > SMALL).select("bucket", salt.alias("salt"), "doc")
+            large = sized.filter(F.col("size") > SMALL).select("bucket", salt.alias("salt"), F.lit(0).alias("side"), "doc")
     with_sketch = sets.select("doc", "sketch")
     every = small[0]
     for s in small[1:]:
         every = every.unionByName(s)
-    out = _compare(every.withColumn("salt", F.lit(0)).join(with_sketch, "doc"), REACH, False).select("a", "b")
+    out = _compare(every.withColumns({"salt": F.lit(0), "side": F.lit(0)}).join(with_sketch, "doc"), REACH, False).select("a", "b")
     crowd = written(_compare(large.join(with_sketch, "doc"), REACH, True), "crowds")
     out = out.unionByName(crowd.filter("b IS NOT NULL").select("a", "b"))
-    leaders = crowd.filter("b IS NULL").select("bucket", F.lit(0).alias("salt"), F.col("a").alias("doc")).distinct()
-    many = leaders.groupBy("bucket").count().filter("count > 1").select("bucket")
-    met = _compare(leaders.join(many, "bucket").join(with_sketch, "doc"), LEADERS_REACH, True)
+    leaders = crowd.filter("b IS NULL").select("bucket", F.col("a").alias("doc")).distinct()
+    met = _compare(leader_blocks(leaders).join(with_sketch, "doc"), LEADERS_REACH, True)
     return out.unionByName(met.filter("b IS NOT NULL").select("a", "b")).distinct()
 
 

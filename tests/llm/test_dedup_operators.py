@@ -85,6 +85,42 @@ def test_ngram_join_keeps_its_recall_through_all_levels(spark, monkeypatch):
     assert sum(got[2 * i] == 0 for i in range(3000)) <= 10
 
 
+def test_sets_too_small_for_the_threshold_have_no_candidates(spark):
+    docs = [(i, f"one two three four five w{i}") for i in range(100)] + [(200 + i, "a b c d e f") for i in range(2)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert not any(t for r in ngram_join.sketches(df, "doc_id", "text", 0.8, 5).collect() for t in r["picks"])
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar_groups(df).collect()) == brute_groups(docs)
+    assert [ngram_join._alone(n, 0.8) for n in (3, 4)] == [True, False]
+
+
+def test_many_leaders_meet_in_bounded_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CROWD", 16)
+    blocks = ngram_join.leader_blocks(spark.createDataFrame([(7, i) for i in range(200)] + [(8, 1), (8, 2), (9, 3)], "bucket long, doc long")).collect()
+    tasks, met = defaultdict(list), set()
+    for r in blocks:
+        tasks[r["bucket"], r["salt"]].append((r["side"], r["doc"]))
+    assert max(map(len, tasks.values())) < 80
+    for (bucket, _), rows in tasks.items():
+        cross = any(s for s, _ in rows)
+        met |= {(bucket, min(a, b), max(a, b)) for s, a in rows for t, b in rows if a != b and (s != t or not cross)}
+    assert met == {(7, a, b) for a in range(200) for b in range(a + 1, 200)} | {(8, 1, 2)}
+
+
+def test_crowd_with_many_leaders_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    monkeypatch.setattr(ngram_join, "CROWD", 8)
+    rng = random.Random(3)
+    base = [f"w{k}" for k in range(120)]
+    docs = []
+    for i in range(90):  # alike in part: most are leaders
+        w = list(base)
+        for _ in range(rng.choice([1, 2, 3, 8])):
+            w[rng.randrange(120)] = f"x{i}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar_groups(df).collect()) == brute_groups(docs)
+
+
 def test_components_of_a_path_a_star_and_pairs(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, 100 + i) for i in range(1, 20)] + [(300, 301), (301, 300), (5, 5)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "a long, b long")).collect()}
