@@ -1,8 +1,8 @@
 """Language identification by known words first, with a backoff to ever shorter character n-grams.
 
 Fitting counts words by language over labelled rows, and the n-grams (LONGEST down to 1 characters, with word ends
-marked) of those words. The rows to fit on are a sample by hash of at most about ``fit_rows`` rows; the model keeps
-the ``max_words`` words and ``max_grams`` n-grams with the highest counts of each language. These three bounds are
+marked) of those words. Equal texts of a language count once. A language of up to ``fit_rows`` different texts is learned
+from all of them, a more frequent one from a sample by hash of about ``fit_rows``; the model keeps the ``max_words`` words and ``max_grams`` n-grams with the highest counts of each language. These three bounds are
 the model's size, which is what makes it safe to send it to every task; prediction then reads whole texts.
 
 A word in the word list scores its log frequency per language. A word that is not scores the mean log frequency of
@@ -16,7 +16,6 @@ repeated rows get the same answer; other columns pass through ``predict`` (``lan
 
 from __future__ import annotations
 
-import math
 import re
 from collections import Counter
 
@@ -30,8 +29,8 @@ from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 from barloom.llm.common import table
 
 FIT_ROWS = 20_000
-MAX_WORDS = 20_000
-MAX_GRAMS = 20_000
+MAX_WORDS = 50_000
+MAX_GRAMS = 50_000
 LONGEST = 5
 UNDECIDED = "und"
 
@@ -93,12 +92,18 @@ class Model:
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
 
+def fit_sample(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS) -> DataFrame:
+    """Different (text, lang) to learn from: all of a language, or a share by hash of about fit_rows of them."""
+    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna().withColumn("hash", F.xxhash64("text"))
+    of = 1 << 30
+    n = labelled.select("lang", "hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    share = n.select("lang", F.when(F.col("n") <= fit_rows, of).otherwise(F.floor(F.lit(float(of * fit_rows)) / F.col("n"))).alias("share"))
+    picked = labelled.join(F.broadcast(share), "lang").filter(F.pmod("hash", F.lit(of)) < F.col("share"))  # a row a language, as in the model
+    return picked.dropDuplicates(["lang", "hash"]).select("text", "lang")
+
+
 def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_rows: int = FIT_ROWS, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
-    labelled = docs.select(F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).dropna()
-    n = labelled.count()
-    if n > fit_rows:
-        of = 1 << 30
-        labelled = labelled.filter(F.pmod(F.xxhash64("text"), F.lit(of)) < F.lit(math.floor(of * fit_rows / n)))
+    labelled = fit_sample(docs, text_col, lang_col, fit_rows)
 
     def count_words(batches):
         for batch in batches:

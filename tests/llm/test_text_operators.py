@@ -154,3 +154,13 @@ def test_decontamination_equals_brute_force(spark):
 def test_op_digests_are_of_what_the_operator_returns(spark, data):
     r = decontamination.op10_decontamination(spark, data).filter("n_items = 0").first()
     assert r["items_sha256"] == hashlib.sha256(b"").hexdigest()
+
+
+def test_a_rare_language_is_learned_whole_and_copies_once(spark):
+    rows = [(f"the text number w{i}", "en") for i in range(2000)] + [("one copy of many", "en")] * 1000 + [(f"zqx vrr{i}", "xx") for i in range(3)]
+    df = spark.createDataFrame(rows, "text string, lang string")
+    got = language_id.fit_sample(df, fit_rows=50).collect()
+    assert sum(r["lang"] == "xx" for r in got) == 3
+    assert 20 <= sum(r["lang"] == "en" for r in got) <= 90 and len(set(got)) == len(got)
+    assert language_id.fit(df, fit_rows=50).langs == ["en", "xx"]
+    assert (language_id.MAX_WORDS, language_id.MAX_GRAMS) == (50_000, 50_000)
