@@ -7,8 +7,12 @@ the label of the nearest decided neighbour, looking both ways; if both are as ne
 the blocks of an article are good and all others bad.
 
 Before the passes, what is never main text by its markup is dropped: scripts, styles, forms and the like by tag;
-menus, headers, footers, sidebars, notices, adverts and comments by tag, role, or the words of class and id. Where a
-page has an ``article`` or ``main`` that holds text, blocks outside it are bad.
+menus, headers, footers, sidebars, notices, adverts and comments by tag, role, or the names in class and id. A name that
+is a mark (or whose BEM block is) drops a container unless that holds most of the page's prose or of its articles; a name
+of which a mark is only a part (``with-sidebar``) drops a container only if it holds neither prose nor an ``h1``; inline
+tags are dropped by marks only, whatever they hold. Where
+``article`` and ``main`` hold the greater part of the text outside links, blocks outside them are bad; otherwise they
+don't count. On a page without any block that has enough stop words of the known languages, length decides instead.
 
 Defined cases: null and empty html, and pages without a good block, give the empty text; unclosed and stray tags and
 comments are tolerated (an end tag closes what is open inside it; an unclosed comment or script runs to the end); a
@@ -73,35 +77,69 @@ _WORD = re.compile(r"[^\W\d_]+")
 
 
 class Block:
-    __slots__ = ("label", "linked", "main", "text")
+    __slots__ = ("label", "linked", "main", "own", "prose", "text", "within")
 
-    def __init__(self, text: str, linked: int, main: bool):
+    def __init__(self, text: str, linked: int, main: bool, tags: set[str], within: tuple[int, ...]):
         self.text, self.linked, self.main, self.label = text, linked, main, ""
+        self.own = max(0, len(text) - linked)  # characters outside links
+        self.prose = self.own if linked <= MAX_LINKS * len(text) and ("p" in tags or len(text) >= SHORT) else 0
+        self.within = within  # marked containers that hold it
 
 
-def _dropped(tag: str, rest: str) -> bool:
+def _dropped(tag: str, rest: str) -> str:
+    """always; mark or part: by a class or id that is a mark, or has one among its words; or nothing."""
     if tag in DROPPED:
-        return True
+        return "always"
     if tag in ("html", "body", "article", "main") or "=" not in rest:
-        return False
+        return ""
+    found = ""
     for name, value in _ATTRIBUTE.findall(rest):
-        words = re.split(r"[^a-z0-9]+", value.strip("\"'").lower())
-        if ROLES.intersection(words) if name.lower() == "role" else MARKS.intersection(words):
-            return True
-    return False
+        names = value.strip("\"'").lower().split()
+        if name.lower() == "role":
+            if ROLES.intersection(names):
+                return "always"
+        elif any(n in MARKS or re.split("__|--", n)[0] in MARKS for n in names):
+            found = "mark"
+        elif not found and any(MARKS.intersection(re.split(r"[^a-z0-9]+", n)) for n in names):
+            found = "part"
+    return found
+
+
+def _without_marked(blocks: list[Block], kinds: list[str], titles: set[int]) -> list[Block]:
+    """The blocks outside the marked containers that are to be dropped."""
+    prose, mains = [0] * len(kinds), [0] * len(kinds)
+    for b in blocks:
+        for k in b.within:
+            prose[k] += b.prose
+            mains[k] += b.own * b.main
+    all_prose, all_mains = sum(b.prose for b in blocks), sum(b.own for b in blocks if b.main)
+
+    def gone(k: int) -> bool:
+        if kinds[k] == "part":
+            return not prose[k] and k not in titles
+        return prose[k] * 2 <= all_prose and (mains[k] < LONG or mains[k] * 2 <= all_mains)
+
+    dropped = {k for k in range(len(kinds)) if gone(k)}
+    return [b for b in blocks if dropped.isdisjoint(b.within)]
 
 
 def blocks_of(html: str) -> list[Block]:
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
-    open_: list[tuple[str, bool]] = []  # tags that are open, and whether each is dropped
+    open_: list[tuple[str, bool, bool]] = []  # tags that are open, whether each is dropped, and whether it is marked
+    kinds: list[str] = []  # of marked containers
+    within: list[int] = []  # marked containers that are open
+    titles: set[int] = set()  # marked containers with an h1
     drop = mains = anchors = 0
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            out.append(Block(text, len(" ".join(unescape("".join(links)).split())), mains > 0))
+            tags = {t for t, *_ in open_}
+            if "h1" in tags:
+                titles.update(within)
+            out.append(Block(text, len(" ".join(unescape("".join(links)).split())), mains > 0, tags, tuple(within)))
         parts.clear()
         links.clear()
 
@@ -127,10 +165,12 @@ def blocks_of(html: str) -> list[Block]:
         elif tag == "br":
             say(" ")
         if m["end"]:
-            if any(t == tag for t, _ in open_):
+            if any(t == tag for t, *_ in open_):
                 while open_:
-                    t, dropped = open_.pop()
+                    t, dropped, marked = open_.pop()
                     drop -= dropped
+                    if marked:
+                        within.pop()
                     mains -= t in MAIN
                     anchors -= t == "a"
                     if t == tag:
@@ -138,35 +178,49 @@ def blocks_of(html: str) -> list[Block]:
         elif tag not in VOID and not m["rest"].endswith("/"):
             if tag == "p":
                 while open_ and open_[-1][0] not in BLOCK:  # inline tags end with their paragraph
-                    t, dropped = open_.pop()
+                    t, dropped, marked = open_.pop()
                     drop -= dropped
                     anchors -= t == "a"
+                    if marked:
+                        within.pop()
                 if open_ and open_[-1][0] == "p":
-                    drop -= open_.pop()[1]
+                    _, dropped, marked = open_.pop()
+                    drop -= dropped
+                    if marked:
+                        within.pop()
             if tag in RAW:
                 end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
                 at = end.end() if end else len(html)
                 continue
-            dropped = _dropped(tag, m["rest"])
-            open_.append((tag, dropped))
+            kind = _dropped(tag, m["rest"])
+            marked = kind in ("mark", "part") and tag in BLOCK
+            dropped = kind == "always" or (kind == "mark" and not marked)
+            if marked:
+                within.append(len(kinds))
+                kinds.append(kind)
+            open_.append((tag, dropped, marked))
             drop += dropped
             mains += tag in MAIN
             anchors += tag == "a"
     flush()
-    return out
+    return _without_marked(out, kinds, titles)
 
 
 def classify(blocks: list[Block]) -> None:
     """Both passes: sets each block's label to good or bad."""
-    has_main = any(b.main for b in blocks)
+    has_main = any(b.main for b in blocks) and sum(b.own for b in blocks if b.main) * 2 >= sum(b.own for b in blocks)
+    shares = []
     for b in blocks:
+        b.main = b.main and has_main
         words = _WORD.findall(b.text.lower())
-        stops = sum(w in STOP_WORDS for w in words) / max(1, len(words))
+        shares.append(sum(w in STOP_WORDS for w in words) / max(1, len(words)))
+    known = any(x >= FEW_STOPS for x, b in zip(shares, blocks, strict=True) if len(b.text) >= SHORT and b.linked <= MAX_LINKS * len(b.text))
+    for b, stops in zip(blocks, shares, strict=True):
         if b.linked > MAX_LINKS * len(b.text) or (has_main and not b.main):
             b.label = "bad"
         elif len(b.text) < SHORT:
             b.label = ""
-        elif stops >= MANY_STOPS:
+        elif stops >= MANY_STOPS or not known:
             b.label = "good" if len(b.text) > LONG or b.main else ""
         else:
             b.label = "" if stops >= FEW_STOPS or b.main else "bad"

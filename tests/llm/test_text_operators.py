@@ -41,6 +41,23 @@ def test_extraction_without_markup_of_the_article_goes_by_stop_words():
     assert html_extract.main_text(page) == f"{' '.join(good.split())}\nshort one"
 
 
+ENGLISH = " ".join(("It was the best of times and it was the worst of times, and that is what they had in those days. " * 3).split())
+POLISH = " ".join(("Wszyscy mieszkańcy miasteczka zebrali się wczoraj przed ratuszem, żeby wspólnie obejrzeć pokaz sztucznych ogni. " * 3).split())
+
+
+@pytest.mark.parametrize("attributes", ['class="layout with-sidebar"', 'id="page" class="header-fixed"', 'class="content social-share-on"', 'class="widget"'])
+def test_extraction_keeps_a_marked_container_with_the_main_text(attributes):
+    page = f"""<body><div {attributes}><div class="post-header"><h1>The title</h1></div><p>{ENGLISH}</p><div class="sidebar__list">Other pages</div></div>
+    <div class="cookie-notice">We use cookies</div></body>"""
+    assert html_extract.main_text(page) == f"The title\n{ENGLISH}"
+    assert html_extract.main_text(f"<div {attributes}><article><p>{ENGLISH}</p></article></div>") == ENGLISH
+
+
+def test_extraction_of_unknown_languages_and_beside_a_teaser():
+    assert html_extract.main_text(f"<div><p>{POLISH}</p></div>") == POLISH
+    assert ENGLISH in html_extract.main_text(f"<div><p>{ENGLISH}</p></div><article>See this as well</article>")
+
+
 @pytest.mark.parametrize("html", [None, "", "<", "<p", "<!-- open", "<script>x", "</div></p>", "&nbsp;", "<article></article>"])
 def test_extraction_of_broken_pages_is_empty(html):
     assert html_extract.main_text(html).strip("<p") == ""
