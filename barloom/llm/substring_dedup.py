@@ -1,7 +1,7 @@
 """Substring deduplication over sliding spans of sentences.
 
 A text is cut into sentences (after a final mark, and at line ends; a sentence of more than LONG_SENTENCE words is cut
-every LONG_SENTENCE words, so that any long passage has several). Each run of SPAN consecutive sentences is hashed
+every LONG_SENTENCE words from its start, so that copies which begin in mid-sentence may be cut elsewhere). Each run of SPAN consecutive sentences is hashed
 after normalising (lower case, words only); a run with fewer than SPAN_WORDS words is lengthened until it has them,
 once to the right from each first sentence and once to the left from each last one, so that every sentence of
 a repeated passage that is long enough lies in a run that lies in the passage. Runs meet globally by hash; all but the
