@@ -22,7 +22,7 @@ ranked by sorting their words, which have at most a run's length, instead of bei
 Defined cases: null is the empty text; texts of fewer than LENGTH bytes lose nothing; rows with the same id count as
 one document for each other; strings repeated only within a document stay; a null id counts as larger than any other;
 an empty table gives an empty result; other columns are not read. A run's strings in one task are those of a range of
-minimizers; a minimizer that very many different contexts share is handled in batches but is read by one task.
+minimizers; a minimizer that very many different contexts share enters one batch whole, in one task.
 """
 
 from __future__ import annotations
