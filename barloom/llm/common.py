@@ -19,11 +19,13 @@ def text_of(name: str = "text") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; a folder of our own only where it is unset."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where all runs on this machine."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if not where:
         where = spark.sparkContext.getCheckpointDir()
     if not where:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = "file://" + tempfile.mkdtemp(prefix="barloom-")
         spark.sparkContext.setCheckpointDir(where)
     return where
@@ -37,6 +39,11 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(name: str) -> str:
+    """A column name that no input can have."""
+    return f"{name}_{uuid.uuid4().hex}"
+
+
 def parallelism(spark: SparkSession) -> int:
     """Shuffle partitions of the session: how many tasks a shuffle of this job should have."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

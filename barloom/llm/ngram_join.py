@@ -4,29 +4,32 @@
    shingle). Texts with the same set are one class, found by its hash with ordinary combining; only one
    representative of each class goes on.
 2. Chosen paths. In each of several independent runs, every set picks shared tokens: token t of a set of n is picked
-   if a hash of (path so far, t) is below RATE / (similarity * n), so two sets that share a token pick it together, and
-   ever more surely the more they share. Sets meet in the bucket of a picked token. A bucket of more than SMALL sets
-   is split again by tokens that are picked afresh for this bucket (its texts are read again for that), LEVELS deep.
-   The number of runs follows from the chance that a pair at the threshold stays together through all levels, and the
-   target recall; the pair that is least likely to meet is a set inside the other. A set too small to be over the
-   threshold with any other set (of under four shingles, at 0.8) picks nothing.
-3. Small buckets are compared by brute force on sketches (LANES minhashes of a byte). A bucket that is still large at
-   the last level is a crowd of alike sets: there each set is compared with leaders only, sets not near one become
-   leaders, and sets link to all leaders within reach; the reach is so wide that two sets over the threshold always
-   end up linked through leaders. Such buckets are dealt to blocks of CROWD sets, whose leaders meet once more: in one
-   block if they are few, otherwise in all pairs of blocks of CROWD leaders, each pair of blocks on its own.
-4. Linked sets form coarse groups, in which every pair over the threshold lies. Their texts are fetched and each pair
-   of a group is compared exactly, in blocks of BLOCK sets that are multiplied as matrices; out come each set's number of
-   links, and a spanning forest of the true links. No list of pairs is ever written.
+   if a hash of (run, level, t) is below RATE / (similarity * n), so two sets that share a token pick it together, and
+   ever more surely the more they share. Sets meet in the bucket of a picked token. The number of runs follows from the
+   chance that a pair at the threshold stays together through all levels, and the target recall; the pair that is
+   least likely to meet is a set inside the other. A set too small to be over the threshold with any other set (of
+   under four shingles, at 0.8) picks nothing.
+3. Small buckets are compared by brute force on sketches (LANES minhashes of a byte). Buckets of more than SMALL sets
+   first collapse: in blocks of CROWD sets, a set that all but equals a leader is linked to it and represented by it.
+   Leaders whose average similarity to their bucket is so high that splitting would not part them (``central``) are
+   compared on the spot, with all leaders of the bucket, in pairs of blocks; the others are split again by tokens
+   picked afresh, LEVELS deep. What is left at the last level is compared in pairs of blocks.
+4. Linked sets form coarse groups, in which every pair over the threshold lies. Only their shingle sets are fetched, and
+   every pair of a group is decided exactly. Groups of more than BLOCK sets have a center: sets within half the distance
+   of the threshold from it are all linked to each other (the Jaccard distance is a metric), so they are counted
+   without being compared; only sets farther out are compared, with all others, in pairs of blocks that are multiplied as
+   matrices. Out come each set's number of links, and a spanning forest of the true links. No list of pairs is ever written.
 5. Components of the true links are the final groups.
 
 A sketch only proposes; what counts as a link is exact. Pairs can be lost only where no run brings them together
-(recall), never because of the size of a bucket.
+(recall), never because of the size of a bucket. Sets far from the center of a crowd are sent to each block of it: shuffle
+and comparisons there grow as far sets x sets of the group; everything else moves each set a constant number of times.
 
 Defined cases: null, empty and wordless texts have no shingle: each is its own group, without links; repeated rows are
-copies (of a text with words: linked to each other); with a null id they can't be told apart and are left out of the
-comparison, as groups of their own with a null class_id; an empty table gives an empty result; texts of any length are used
-whole; other columns are not read, whatever their names. Ids are integers.
+copies (of a text with words: linked to each other); rows that share an id but not the text are sets of their own; with
+a null id they can't be told apart and are left out of the comparison, as groups of their own with a null class_id; an
+empty table gives an empty result; texts of any length are used whole; other columns are not read, whatever their names.
+``drop_similar`` keeps an id with all its rows if any of its rows stays. Ids are integers.
 """
 
 from __future__ import annotations
@@ -36,10 +39,10 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import parallelism, table, written
+from barloom.llm.common import fresh, parallelism, table, written
 from barloom.llm.components import components, forest
 
 WORDS = 5
@@ -50,7 +53,8 @@ LEVELS = 3
 SMALL = 64
 CROWD = 4096
 LANES = 128
-REACH, NEAR, LEADERS_REACH = 0.58, 0.93, 0.45  # of lanes that agree: link, need no leader, link of two leaders
+NEAR = 0.93  # of lanes that agree: a leader represents the set
+REACH = (0.64, 0.55, 0.49)  # of lanes that agree: link, by how many of the two sets represent others
 BLOCK = 512
 
 _WORD = re.compile(r"\w+")
@@ -63,9 +67,9 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _seed(n: int) -> np.uint64:
+def _seeds(n: int) -> np.ndarray:
     with np.errstate(over="ignore"):
-        return _mix(np.array([n + 1], np.uint64) * np.uint64(0x9E3779B97F4A7C15))[0]
+        return _mix(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 class _WordHashes(dict):
@@ -97,15 +101,25 @@ class Shingler:
             return np.unique(_mix(out))
 
 
+def key_of(s: np.ndarray) -> bytes:
+    from hashlib import blake2b
+
+    return blake2b(s.tobytes(), digest_size=16).digest()
+
+
 def runs_for(similar: float = SIMILAR, recall: float = RECALL, rate: float = RATE, levels: int = LEVELS) -> int:
-    """Runs until a pair at the threshold meets with the target's chance. At least it shares s of the greater set (all of
-    the smaller one), so that it picks rate / s * s tokens together, afresh on each path."""
-    mean, meets = rate, 1.0
-    for _ in range(levels):
-        meets = 1 - math.exp(-mean * meets)
+    """Runs until a pair at the threshold meets with the target's chance, were it to go down all levels. At least it
+    shares s of the greater set (all of the smaller one), so that it picks rate / s * s tokens together at each level."""
+    meets = (1 - math.exp(-rate)) ** levels
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - meets)))
 
 
+def central_at(similar: float = SIMILAR, rate: float = RATE) -> float:
+    """The average similarity from which sets of a size pick more than one token together: splitting doesn't part them."""
+    shared = similar / rate
+    return shared / (2 - shared)
+
+
 def _lane_seeds() -> tuple[np.ndarray, np.ndarray]:
     with np.errstate(over="ignore"):
         x = _mix(np.arange(1, LANES + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
@@ -128,16 +142,12 @@ def _sketch(s: np.ndarray) -> bytes:
 
 
 def _picked(s: np.ndarray, seed: np.uint64, similar: float, rate: float) -> np.ndarray:
-    u = s * seed
-    return u[u <= np.uint64(min(2**64 - 1, int(rate / (similar * len(s)) * 2**64)))]
+    return s[_mix_low(s, seed) <= np.uint64(min(2**64 - 1, int(rate / (similar * len(s)) * 2**64)))]
 
 
-def _paths(s: np.ndarray, bucket: int, similar: float, rate: float) -> np.ndarray:
-    """Buckets one level below a bucket; the tokens are picked by a hash of its own."""
-    at = np.array([bucket], np.int64).view(np.uint64)
+def _mix_low(s: np.ndarray, seed: np.uint64) -> np.ndarray:
     with np.errstate(over="ignore"):
-        picked = _picked(s, _mix(at ^ _MIX1)[0] | np.uint64(1), similar, rate)
-        return _mix(picked ^ _mix(at + _MIX2)).view(np.int64)
+        return s * seed
 
 
 def _alone(n: int, similar: float) -> bool:
@@ -145,237 +155,362 @@ def _alone(n: int, similar: float) -> bool:
     return n * 1_000_000 < round(similar * 1_000_000) * (n + 1)
 
 
-def sketches(docs: DataFrame, id_col: str, text_col: str, similar: float, runs: int) -> DataFrame:
-    """(doc, class hash, sketch, picks): picks has a row of tokens for each run."""
-    from hashlib import blake2b
+def _level(depth: int) -> str:
+    return f"picks_{depth}"
+
 
+def sketches(docs: DataFrame, id_col: str, text_col: str, similar: float, runs: int) -> DataFrame:
+    """(doc, key, sketch, picks_0 ...): the key of the set, and for each level a row of picked tokens for each run."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text")).filter("doc IS NOT NULL")
+    names = [_level(d) for d in range(LEVELS)]
 
     def run(batches):
-        shingle = Shingler()
-        seeds = [_seed(r) | np.uint64(1) for r in range(runs)]
+        shingle, seeds = Shingler(), _seeds(runs * LEVELS).reshape(LEVELS, runs)
         for batch in batches:
-            doc, key, sketch, picks = [], [], [], []
-            for d, t in zip(batch.column("doc").to_pylist(), batch.column("text"), strict=True):
+            key, sketch, picks = [], [], [[] for _ in names]
+            for t in batch.column("text"):
                 s = shingle(t.as_py())
-                doc.append(d)
-                if not len(s):
-                    key.append(None)
-                    sketch.append(None)
-                    picks.append(None)
-                    continue
-                key.append(blake2b(s.tobytes(), digest_size=16).digest())
-                sketch.append(_sketch(s))
-                picks.append([] if _alone(len(s), similar) else [_picked(s, seed, similar, RATE).view(np.int64) for seed in seeds])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), pa.array(picks, pa.list_(pa.list_(pa.int64())))],
-                names=["doc", "key", "sketch", "picks"],
-            )
-
-    return rows.mapInArrow(run, "doc long, key binary, sketch binary, picks array<array<long>>")
+                key.append(key_of(s) if len(s) else None)
+                sketch.append(_sketch(s) if len(s) else None)
+                none = not len(s) or _alone(len(s), similar)
+                for own, level in zip(picks, seeds, strict=True):
+                    own.append([] if none else [_picked(s, seed, similar, RATE).view(np.int64) for seed in level])
+            columns = [batch.column("doc"), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), *(pa.array(p, pa.list_(pa.list_(pa.int64()))) for p in picks)]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc", "key", "sketch", *names])
+
+    return rows.mapInArrow(run, "doc long, key binary, sketch binary, " + ", ".join(f"{n} array<array<long>>" for n in names))
+
+
+def _whole_groups(batches, keys: list[str], rows: int = 20_000):
+    """Tables of whole groups, and where in them each group starts. Rows come sorted by keys."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+
+    def cut(last: bool):
+        t = pa.Table.from_batches(held).combine_chunks()
+        new = np.zeros(t.num_rows, bool)
+        new[0] = True
+        for k in keys:
+            x = t[k].to_numpy()
+            new[1:] |= x[1:] != x[:-1]
+        at = np.flatnonzero(new)
+        end = t.num_rows if last else int(at[-1])
+        return t, at[at < end], end
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.num_rows
+        if size >= rows:
+            t, at, end = cut(False)
+            if end:
+                yield t.slice(0, end), np.append(at, end)
+            held = t.slice(end).to_batches()
+            size = t.num_rows - end
+    if size:
+        t, at, end = cut(True)
+        yield t, np.append(at, end)
+
+
+def _lanes_of(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t["sketch"].to_pylist()), np.uint8).reshape(-1, LANES)
 
 
 def _agree(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return (a == b).mean(axis=-1)
-
-
-def _bucket_links(docs: np.ndarray, lanes: np.ndarray, crowd: bool, reach: float) -> tuple[list[tuple[int, int]], list[int]]:
-    """Links of a bucket as a forest, and its leaders (by position; all of them if it is no crowd)."""
-    if not crowd:
-        pairs = []
-        for i in range(len(docs) - 1):
-            near = np.flatnonzero(_agree(lanes[i + 1 :], lanes[i]) >= reach)
-            pairs += [(int(docs[i]), int(docs[i + 1 + j])) for j in near]
-        return forest(pairs), list(range(len(docs)))
-    leaders: list[int] = []
-    pairs = []
-    left = np.arange(len(docs))
-    while len(left):
-        lead, left = int(left[0]), left[1:]
-        alike = _agree(lanes, lanes[lead])
-        pairs += [(int(docs[lead]), int(docs[j])) for j in np.flatnonzero(alike >= reach) if j != lead]
-        if len(pairs) > 8 * len(docs):
-            pairs = forest(pairs)
-        leaders.append(lead)
-        left = left[alike[left] < NEAR]
-    return forest(pairs), leaders
-
-
-def _cross_links(docs: np.ndarray, lanes: np.ndarray, side: np.ndarray, reach: float) -> list[tuple[int, int]]:
-    """Links between the two sides of a pair of blocks, as a forest."""
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    pairs: list[tuple[int, int]] = []
-    for i in left:
-        pairs += [(int(docs[i]), int(docs[right[j]])) for j in np.flatnonzero(_agree(lanes[right], lanes[i]) >= reach)]
-        if len(pairs) > 8 * len(docs):
-            pairs = forest(pairs)
-    return forest(pairs)
-
-
-def leader_blocks(leaders: DataFrame) -> DataFrame:
-    """leaders (bucket, doc) -> (bucket, salt, side, doc): those of a bucket in one block, or in all pairs of its blocks."""
-    size = leaders.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    rows = leaders.join(size, "bucket").withColumn("blocks", F.ceil(F.col("size") / CROWD).cast("long"))
-    rows = rows.withColumn("own", F.pmod(F.xxhash64("doc", F.lit(1)), "blocks")).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    p, q = F.least("own", "met"), F.greatest("own", "met")
-    return rows.select("bucket", (p * F.col("blocks") + q).alias("salt"), (F.col("own") > F.col("met")).cast("int").alias("side"), "doc")
-
-
-def _compare(rows: DataFrame, reach: float, crowds: bool) -> DataFrame:
-    """rows (bucket, salt, side, doc, sketch) -> (a, b) links, and, for crowds, (a, null, bucket) for each leader. Where a
-    (bucket, salt) has both sides, only sets of different sides are compared."""
-    n = parallelism(rows.sparkSession)
-
-    def links(batches):
-        key, docs, lanes, sides = None, [], [], []
-
-        def close():
-            a, b, of = [], [], []
-            if len(docs) > 1 or (crowds and docs):
-                crowd = crowds and len(docs) > SMALL
-                sketch = np.frombuffer(b"".join(lanes), np.uint8).reshape(-1, LANES)
-                if any(sides):
-                    found, leaders = _cross_links(np.array(docs), sketch, np.array(sides), reach), []
-                else:
-                    found, leaders = _bucket_links(np.array(docs), sketch, crowd, reach)
-                a += [x for x, _ in found]
-                b += [y for _, y in found]
-                of += [key[0]] * len(found)
-                if crowds:
-                    a += [int(docs[i]) for i in leaders]
-                    b += [None] * len(leaders)
-                    of += [key[0]] * len(leaders)
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(of, pa.int64())], names=["a", "b", "bucket"])
+    """The number of lanes that agree."""
+    return np.bitwise_count((a == b).view(np.uint64)).sum(-1, dtype=np.int64)
 
-        for batch in batches:
-            for k, s, side, d, x in zip(*(batch.column(c).to_pylist() for c in ("bucket", "salt", "side", "doc", "sketch")), strict=True):
-                if (k, s) != key:
-                    if docs:
-                        yield close()
-                    key, docs, lanes, sides = (k, s), [], [], []
-                docs.append(d)
-                lanes.append(x)
-                sides.append(side)
-        if docs:
-            yield close()
 
-    dealt = rows.repartition(n, "bucket", "salt").sortWithinPartitions("bucket", "salt", "doc")
-    return dealt.mapInArrow(links, "a long, b long, bucket long")
+def _mean_agreement(lanes: np.ndarray) -> np.ndarray:
+    """Of each sketch with all of them, by counting the bytes of each lane."""
+    total = np.zeros(len(lanes))
+    for k in range(LANES):
+        total += np.bincount(lanes[:, k], minlength=256)[lanes[:, k]]
+    return total / (LANES * len(lanes))
+
+
+def _edges(pairs: list[tuple[int, int]]) -> pa.RecordBatch:
+    tree = forest(pairs)
+    return pa.RecordBatch.from_arrays([pa.array([x for x, _ in tree], pa.int64()), pa.array([y for _, y in tree], pa.int64())], names=["a", "b"])
+
 
+def _dealt(rows: DataFrame, *keys: str) -> DataFrame:
+    return rows.repartition(parallelism(rows.sparkSession), *keys).sortWithinPartitions(*keys)
 
-def _deeper(paths: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
-    """paths (bucket, doc) -> (doc, bucket) one level below, by tokens that each bucket picks afresh."""
-    own = paths.groupBy("doc").agg(F.collect_list("bucket").alias("buckets"))  # as many as the doc's picks, however large the buckets
+
+def small_links(rows: DataFrame) -> DataFrame:
+    """rows (bucket, node, sketch) of small buckets -> links (a, b): all pairs of a bucket, kept as a forest."""
 
     def run(batches):
-        shingle = Shingler()
-        for batch in batches:
-            ids, found = [], []
-            for d, buckets, t in zip(batch.column("doc").to_pylist(), batch.column("buckets").to_pylist(), batch.column("text"), strict=True):
-                s = shingle(t.as_py())
-                if len(s):
-                    below = np.unique(np.concatenate([_paths(s, b, similar, RATE) for b in buckets]))
-                    ids.append(np.full(len(below), d, np.int64))
-                    found.append(below)
-            columns = [pa.array(np.concatenate(x) if x else [], pa.int64()) for x in (ids, found)]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc", "bucket"])
-
-    return own.join(texts, "doc").select("doc", "buckets", "text").mapInArrow(run, "doc long, bucket long").distinct()
-
-
-def candidates(sets: DataFrame, texts: DataFrame, runs: int, similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) that connect all sets that may be over the threshold. sets: (doc, sketch, picks); texts: (doc, text)."""
-    path = lambda *c: F.xxhash64(*c)
-    tokens = F.explode(F.flatten(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.transform(F.get("picks", r), lambda t: F.struct(r.alias("run"), t.alias("t"))))))
-    level = sets.filter(F.size("picks") > 0).select("doc", tokens.alias("x")).select("doc", path("x.run", "x.t").alias("bucket")).distinct()
-    small, large = [], None
-    for depth in range(1, LEVELS + 1):
+        for t, _ in _whole_groups(batches, ["bucket"]):
+            bucket, node, lanes = t["bucket"].to_numpy(), t["node"].to_numpy(), _lanes_of(t)
+            reps, pairs = t["full"].to_numpy(), []
+            reach = np.array(REACH) * LANES
+            for d in range(1, len(bucket)):
+                i = np.flatnonzero(bucket[d:] == bucket[:-d])
+                if not len(i):
+                    break
+                i = i[_agree(lanes[i], lanes[i + d]) >= reach[reps[i] + reps[i + d]]]
+                pairs += zip(node[i].tolist(), node[i + d].tolist(), strict=True)
+            yield _edges(pairs)
+
+    return _dealt(rows, "bucket").mapInArrow(run, "a long, b long")
+
+
+def collapse(rows: DataFrame, central: float) -> DataFrame:
+    """rows (bucket, run, salt, node, full, sketch) of large buckets -> links (a, b, null ...) of sets to the leader that
+    represents them, and leaders (a, null, bucket, run, full, central)."""
+
+    def run(batches):
+        for t, cuts in _whole_groups(batches, ["bucket", "salt"]):
+            nodes, lanes, full = t["node"].to_numpy(), _lanes_of(t), t["full"].to_numpy()
+            out: list[tuple] = []
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                own, node, mean = lanes[x:y], nodes[x:y], _mean_agreement(lanes[x:y])
+                bucket, r = t["bucket"][x].as_py(), t["run"][x].as_py()
+                left = np.argsort(-mean, kind="stable")
+                while len(left):
+                    lead, left = int(left[0]), left[1:]
+                    like = _agree(own[left], own[lead]) >= NEAR * LANES
+                    out += [(int(node[lead]), int(n), None, None, None, None) for n in node[left[like]]]
+                    out.append((int(node[lead]), None, bucket, r, max(int(full[x + lead]), int(like.any())), bool(mean[lead] >= central)))
+                    left = left[~like]
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True) if out else [[]] * 6, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["a", "b", "bucket", "run", "full", "central"])
+
+    return _dealt(rows, "bucket", "salt").mapInArrow(run, "a long, b long, bucket long, run int, full int, central boolean")
+
+
+def block_pairs(rows: DataFrame, group: str, node: str, first: Column, block: int) -> DataFrame:
+    """rows with (p, q, side): those for which ``first`` holds meet each other and all others of their group, in pairs of
+    blocks of about ``block`` rows; side 1 is block q of a pair of different blocks. Others don't meet each other."""
+    rows = rows.withColumn("first", first)
+    count = lambda c: F.ceil(F.count_if(c) / block).cast("long")
+    sizes = rows.groupBy(group).agg(count(F.col("first")).alias("n_first"), count(~F.col("first")).alias("n_rest"), F.count(F.lit(1)).alias("rows"))
+    sizes = sizes.filter("n_first > 0 AND rows > 1").drop("rows")
+    own = F.when(F.col("first"), F.pmod(F.xxhash64(node, F.lit(1)), "n_first")).otherwise(F.col("n_first") + F.pmod(F.xxhash64(node, F.lit(1)), F.greatest("n_rest", F.lit(1))))
+    last = F.col("n_first") + F.when(F.col("first"), F.col("n_rest")).otherwise(0) - 1
+    met = rows.join(sizes, group).withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    out = met.withColumns({"p": F.least("own", "met"), "q": F.greatest("own", "met"), "side": (F.col("own") > F.col("met")).cast("int")})
+    return out.drop("n_first", "n_rest", "own", "met", "first")
+
+
+def leader_links(rows: DataFrame) -> DataFrame:
+    """rows (bucket, p, q, side, node, full, sketch) -> links (a, b) within or between the blocks, kept as a forest."""
+
+    def run(batches):
+        reach = np.array(REACH) * LANES
+        for t, cuts in _whole_groups(batches, ["bucket", "p", "q"]):
+            nodes, lanes, full, sides, p, q = t["node"].to_numpy(), _lanes_of(t), *(t[c].to_numpy() for c in ("full", "side", "p", "q"))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                at = np.arange(x, y)
+                one = p[x] == q[x]
+                left, right = (at, at) if one else (at[sides[x:y] == 0], at[sides[x:y] == 1])
+                pairs: list[tuple[int, int]] = []
+                own, reps = lanes[right], full[right]
+                for k, i in enumerate(left.tolist()):
+                    j = np.flatnonzero(_agree(own[k + 1 :] if one else own, lanes[i]) >= reach[full[i] + (reps[k + 1 :] if one else reps)])
+                    pairs += [(int(nodes[i]), n) for n in nodes[right[j + k + 1 if one else j]].tolist()]
+                    if len(pairs) > 8 * len(at):
+                        pairs = forest(pairs)
+                yield _edges(pairs)
+
+    return _dealt(rows, "bucket", "p", "q").mapInArrow(run, "a long, b long")
+
+
+def candidates(sets: DataFrame, runs: int, similar: float = SIMILAR) -> DataFrame:
+    """Links (a, b) that connect all sets that may be over the threshold. sets: (node, sketch, picks_0 ...)."""
+    tokens = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.transform(F.get(_level(0), r), lambda t: F.struct(r.alias("run"), t.alias("t")))))
+    level = sets.filter(F.size(_level(0)) > 0).select("node", F.explode(tokens).alias("x")).select(F.xxhash64("x.run", "x.t").alias("bucket"), "x.run", "node", F.lit(0).alias("full"))
+    with_sketch = sets.select("node", "sketch")
+    small, links = [], []
+    for depth in range(LEVELS):
         size = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
         sized = level.join(size, "bucket")
-        small.append(sized.filter(F.col("size") <= SMALL).select("bucket", "doc"))
-        if depth < LEVELS:
-            level = written(_deeper(sized.filter(F.col("size") > SMALL), texts, similar), "paths")
-        else:
-            salt = F.pmod(F.xxhash64("doc"), F.ceil(F.col("size") / CROWD)).cast("int")
-            large = sized.filter(F.col("size") > SMALL).select("bucket", salt.alias("salt"), F.lit(0).alias("side"), "doc")
-    with_sketch = sets.select("doc", "sketch")
+        small.append(sized.filter(F.col("size") <= SMALL).select("bucket", "node", "full"))
+        salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CROWD)).cast("int")
+        large = sized.filter(F.col("size") > SMALL).select("bucket", "run", salt.alias("salt"), "node", "full")
+        crowd = written(collapse(large.join(with_sketch, "node"), central_at(similar)), "crowds")
+        links.append(crowd.filter("b IS NOT NULL").select("a", "b"))
+        leaders = crowd.filter("b IS NULL").select("bucket", "run", F.col("a").alias("node"), "full", "central")
+        stays = F.col("central") if depth < LEVELS - 1 else F.lit(True)
+        met = block_pairs(leaders, "bucket", "node", stays, CROWD).select("bucket", "p", "q", "side", "node", "full")
+        links.append(leader_links(met.join(with_sketch, "node")))
+        below = leaders.filter("NOT central")
+        if depth == LEVELS - 1 or below.isEmpty():
+            break
+        picks = sets.select("node", F.col(_level(depth + 1)).alias("picks"))
+        # two buckets of a run may pick the same token: the path tells them apart
+        level = written(below.join(picks, "node").select("bucket", "run", "node", "full", F.explode(F.get("picks", F.col("run"))).alias("t")).select(F.xxhash64("bucket", "t").alias("bucket"), "run", "node", "full"), "paths")
     every = small[0]
     for s in small[1:]:
         every = every.unionByName(s)
-    out = _compare(every.withColumns({"salt": F.lit(0), "side": F.lit(0)}).join(with_sketch, "doc"), REACH, False).select("a", "b")
-    crowd = written(_compare(large.join(with_sketch, "doc"), REACH, True), "crowds")
-    out = out.unionByName(crowd.filter("b IS NOT NULL").select("a", "b"))
-    leaders = crowd.filter("b IS NULL").select("bucket", F.col("a").alias("doc")).distinct()
-    met = _compare(leader_blocks(leaders).join(with_sketch, "doc"), LEADERS_REACH, True)
-    return out.unionByName(met.filter("b IS NOT NULL").select("a", "b")).distinct()
+    out = small_links(every.join(with_sketch, "node"))
+    for x in links:
+        out = out.unionByName(x)
+    return out.distinct()
 
 
-def _links_in(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, similar: float) -> list[tuple[int, int]]:
-    """Pairs (i, j), i of left and j of right, with Jaccard at least similar."""
+def _common(sets: list[np.ndarray]) -> np.ndarray:
+    """How many shingles each two sets share, as products of 0/1 matrices over the shingles that are in several sets."""
     every, at = np.unique(np.concatenate(sets), return_inverse=True)
-    sizes = np.array([len(s) for s in sets])
-    row = np.repeat(np.arange(len(sets)), sizes)
+    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
     shared = np.bincount(at, minlength=len(every)) > 1
     column = np.cumsum(shared) - 1
     keep = shared[at]
     row, col = row[keep], column[at[keep]]
     order = np.argsort(col, kind="stable")
     row, col = row[order], col[order]
-    common = np.zeros((len(left), len(right)), np.float32)
+    common = np.zeros((len(sets), len(sets)), np.float32)
     width = 4096
     cuts = np.searchsorted(col, np.arange(0, int(shared.sum()) + width, width))
     for k in range(len(cuts) - 1):
-        m = np.zeros((len(sets), width), np.float32)
-        m[row[cuts[k] : cuts[k + 1]], col[cuts[k] : cuts[k + 1]] - k * width] = 1
-        common += m[left] @ m[right].T
-    union = sizes[left][:, None] + sizes[right][None, :] - common
-    # in whole numbers: common / union >= similar
-    hit = np.argwhere(common.astype(np.float64) * 1_000_000 >= round(similar * 1_000_000) * union.astype(np.float64))
-    return [(int(left[i]), int(right[j])) for i, j in hit]
-
-
-def exact_links(members: DataFrame, similar: float) -> DataFrame:
-    """members (grp, size, doc, n, text) -> (doc, links, other): links of doc (copies counted) in a pair of blocks;
-    rows with other instead are true links that connect."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc"), F.col("blocks")).cast("int")
-    rows = members.withColumn("blocks", blocks).withColumn("own", own)
-    met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    rows = rows.withColumn("met", met).select("grp", F.least("own", "met").alias("p"), F.greatest("own", "met").alias("q"), "own", "doc", "n", "text")
-    n = parallelism(members.sparkSession)
-
-    def compare(batches):
-        shingle, key, held = Shingler(), None, []
-
-        def close():
-            sets = [shingle(t) for *_, t in held]
-            side = np.array([o for o, *_ in held])
-            left, right = np.flatnonzero(side == key[1]), np.flatnonzero(side == key[2])
-            pairs = _links_in(sets, left, right, similar)
-            if key[1] == key[2]:
-                pairs = [(i, j) for i, j in pairs if i < j]
-            count: dict[int, int] = {}
-            for i, j in pairs:
-                count[held[i][1]] = count.get(held[i][1], 0) + held[j][2]
-                count[held[j][1]] = count.get(held[j][1], 0) + held[i][2]
-            tree = forest((held[i][1], held[j][1]) for i, j in pairs)
-            doc = [*count, *(a for a, _ in tree)]
-            links = [*count.values(), *(0 for _ in tree)]
-            other = [*(None for _ in count), *(b for _, b in tree)]
-            return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(links, pa.int64()), pa.array(other, pa.int64())], names=["doc", "links", "other"])
+        m = np.zeros((len(sets), min(width, int(shared.sum()) - k * width)), np.float32) if cuts[k] < cuts[k + 1] else None
+        if m is not None:
+            m[row[cuts[k] : cuts[k + 1]], col[cuts[k] : cuts[k + 1]] - k * width] = 1
+            common += m @ m.T
+    return common
+
 
+def _linked(sets: list[np.ndarray], similar: float) -> np.ndarray:
+    """A matrix: which sets have a Jaccard of at least similar, in whole numbers. None with itself."""
+    common = _common(sets).astype(np.float64)
+    sizes = np.array([len(s) for s in sets])
+    hit = common * 1_000_000 >= round(similar * 1_000_000) * (sizes[:, None] + sizes[None, :] - common)
+    np.fill_diagonal(hit, False)
+    return hit
+
+
+def _tree(hit: np.ndarray) -> list[tuple[int, int]]:
+    """A spanning forest of a symmetric matrix of links."""
+    out, left = [], np.ones(len(hit), bool)
+    for root in range(len(hit)):
+        if not left[root]:
+            continue
+        left[root] = False
+        open_ = [root]
+        while open_:
+            i = open_.pop()
+            new = np.flatnonzero(hit[i] & left)
+            left[new] = False
+            out += [(i, j) for j in new.tolist()]
+            open_ += new.tolist()
+    return out
+
+
+def exact_links(rows: DataFrame, similar: float) -> DataFrame:
+    """rows (grp, p, q, side, node, n, shingles) -> (node, links, null): links of a set, copies counted, within or between
+    the blocks; and (node, null, other): true links that connect."""
+
+    def run(batches):
+        for t, cuts in _whole_groups(batches, ["grp", "p", "q"], 2 * BLOCK):
+            nodes, n, sides, p, q = (t[c].to_numpy() for c in ("node", "n", "side", "p", "q"))
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                if y - x < 2:
+                    continue
+                hit = _linked([np.frombuffer(s, np.uint64) for s in t["shingles"].slice(x, y - x).to_pylist()], similar)
+                if p[x] != q[x]:
+                    hit &= sides[x:y, None] != sides[None, x:y]
+                own, links = nodes[x:y], hit @ n[x:y]
+                some, tree = np.flatnonzero(links), _tree(hit)
+                a = np.array([i for i, _ in tree], np.int64)
+                node = pa.array(np.concatenate([own[some], own[a]]), pa.int64())
+                count = pa.array([*links[some].tolist(), *([None] * len(tree))], pa.int64())
+                other = pa.array([*([None] * len(some)), *(int(own[j]) for _, j in tree)], pa.int64())
+                yield pa.RecordBatch.from_arrays([node, count, other], names=["node", "links", "other"])
+
+    return _dealt(rows, "grp", "p", "q").mapInArrow(run, "node long, links long, other long")
+
+
+def fetched_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """members (grp, size, node, n, rep, key) with the shingles of each, a row a node."""
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text"))
+
+    def run(batches):
+        shingle = Shingler()
         for batch in batches:
-            for r in zip(*(batch.column(c).to_pylist() for c in ("grp", "p", "q", "own", "doc", "n", "text")), strict=True):
-                if r[:3] != key:
-                    if len(held) > 1:
-                        yield close()
-                    key, held = r[:3], []
-                held.append(r[3:])
-        if len(held) > 1:
-            yield close()
+            sets = [shingle(t.as_py()) for t in batch.column("text")]
+            own = pa.array([key_of(s) == k for s, k in zip(sets, batch.column("key").to_pylist(), strict=True)])
+            columns = [*(batch.column(c) for c in ("grp", "size", "node", "n")), pa.array([s.tobytes() for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["grp", "size", "node", "n", "shingles"]).filter(own)
+
+    found = written(members.join(texts, "rep").select("grp", "size", "node", "n", "key", "text").mapInArrow(run, "grp long, size long, node long, n long, shingles binary"), "shingles")
+    return found if found.count() == members.count() else found.dropDuplicates(["node"])
+
+
+def centers(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(grp, center): of each block of CROWD members, the one with the highest average similarity; of those, the highest."""
+    salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CROWD)).cast("int")
+    rows = members.select("grp", salt.alias("salt"), "node").join(sets.select("node", "sketch"), "node")
+
+    def run(batches):
+        for t, cuts in _whole_groups(batches, ["grp", "salt"]):
+            lanes, out = _lanes_of(t), []
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                mean = _mean_agreement(lanes[x:y])
+                k = int(np.argmax(mean))
+                out.append((t["grp"][x].as_py(), t["node"][x + k].as_py(), float(mean[k])))
+            columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)]
+            yield pa.RecordBatch.from_arrays(columns, names=["grp", "node", "mean"])
 
-    dealt = rows.repartition(n, "grp", "p", "q").sortWithinPartitions("grp", "p", "q")
-    return dealt.mapInArrow(compare, "doc long, links long, other long")
+    return _dealt(rows, "grp", "salt").mapInArrow(run, "grp long, node long, mean double").groupBy("grp").agg(F.max_by("node", F.struct("mean", "node")).alias("center"))
+
+
+def near_center(rows: DataFrame, center: DataFrame, similar: float) -> DataFrame:
+    """rows (grp, size, node, n, shingles) with ``near``: within half the threshold's distance of the group's center."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("long")
+    own = rows.withColumns({"block": F.pmod(F.xxhash64("node"), blocks), "middle": F.lit(0)})
+    middle = rows.join(center, (rows["grp"] == center["grp"]) & (rows["node"] == center["center"])).select(rows["grp"], "size", "node", "n", "shingles")
+    middle = middle.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1))).withColumn("middle", F.lit(-1))
+
+    def run(batches):
+        limit = 1_000_000 + round(similar * 1_000_000)
+        for t, cuts in _whole_groups(batches, ["grp", "block"], 2 * BLOCK):
+            near = np.zeros(t.num_rows, bool)
+            data = t["shingles"].to_pylist()
+            for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                c = np.frombuffer(data[x], np.uint64)
+                for k in range(x + 1, y):
+                    s = np.frombuffer(data[k], np.uint64)
+                    common = len(np.intersect1d(c, s, assume_unique=True))
+                    near[k] = 2_000_000 * common >= limit * (len(c) + len(s) - common)
+            t = t.append_column("near", pa.array(near)).filter(pa.array(t["middle"].to_numpy() == 0))
+            yield from t.select(["grp", "node", "n", "near", "shingles"]).combine_chunks().to_batches()
+
+    both = own.unionByName(middle)
+    dealt = both.repartition(parallelism(rows.sparkSession), "grp", "block").sortWithinPartitions("grp", "block", "middle")
+    return dealt.mapInArrow(run, "grp long, node long, n long, near boolean, shingles binary")
+
+
+def true_links(docs: DataFrame, members: DataFrame, sets: DataFrame, id_col: str, text_col: str, similar: float) -> DataFrame:
+    """(node, links, null) and (node, null, other), as from exact_links, for all coarse groups."""
+    found = fetched_sets(docs, members, id_col, text_col)
+    one = found.filter(F.col("size") <= BLOCK).select("grp", F.lit(0).cast("long").alias("p"), F.lit(0).cast("long").alias("q"), F.lit(0).alias("side"), "node", "n", "shingles")
+    crowds = members.filter(F.col("size") > BLOCK)
+    if crowds.isEmpty():
+        return exact_links(one, similar)
+    center = written(centers(crowds, sets), "centers")
+    near = written(near_center(found.filter(F.col("size") > BLOCK), center, similar), "near")
+    all_near = near.filter("near").groupBy("grp").agg(F.sum("n").alias("all"))
+    inside = near.filter("near").select("grp", "node", "n").join(all_near, "grp").join(center, "grp")
+    none = F.lit(None).cast("long")
+    counted = inside.select("node", (F.col("all") - F.col("n")).alias("links"), none.alias("other"))
+    spokes = inside.filter("node <> center").select("node", none.alias("links"), F.col("center").alias("other"))
+    far = block_pairs(near.select("grp", "node", "n", "near"), "grp", "node", ~F.col("near"), BLOCK).select("grp", "p", "q", "side", "node", "n")
+    compared = exact_links(one.unionByName(far.join(near.select("node", "shingles"), "node").select(*one.columns)), similar)
+    return compared.unionByName(counted).unionByName(spokes)
+
+
+def classes_of(rows: DataFrame) -> DataFrame:
+    """(key, rep, n, node): a class of equal sets, its smallest id, its rows, and a number of its own: rep, or a hash of
+    the key where an id has several texts and so stands for several classes."""
+    classes = written(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
+    shared = classes.groupBy("rep").agg(F.min("key").alias("least"), F.count(F.lit(1)).alias("of")).filter("of > 1").drop("of")
+    if shared.isEmpty():
+        return classes.withColumn("node", F.col("rep"))
+    own = F.when(F.col("key") != F.col("least"), F.xxhash64("key")).otherwise(F.col("rep"))
+    return classes.join(shared, "rep", "left").select("key", "rep", "n", own.alias("node"))
 
 
 def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similar: float = SIMILAR, recall: float = RECALL) -> DataFrame:
@@ -383,28 +518,30 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     shingles), n_links (other rows with a similarity of at least similar, copies included)."""
     runs = runs_for(similar, recall)
     rows = written(sketches(docs, id_col, text_col, similar, runs), "sketches")
-    classes = written(rows.filter("key IS NOT NULL").groupBy("key").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("n")), "classes")
-    sets = rows.join(classes, (rows["key"] == classes["key"]) & (rows["doc"] == classes["rep"])).select("doc", "sketch", "picks", "n")
-    sets = written(sets.dropDuplicates(["doc"]), "sets")
-    texts = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("text"))
-    coarse = written(components(candidates(sets, texts, runs, similar)), "coarse")
+    classes = classes_of(rows)
+    one = rows.join(classes.select("key", F.col("rep").alias("doc"), "rep", "n", "node"), ["key", "doc"]).drop("doc")
+    sets = written(one.dropDuplicates(["node"]), "sets")
+    coarse = written(components(candidates(sets, runs, similar)), "coarse")
     sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    members = coarse.join(sizes, "component").join(sets.select("doc", "n"), F.col("node") == F.col("doc")).select(F.col("component").alias("grp"), "size", "doc", "n")
-    exact = written(exact_links(members.join(texts, "doc"), similar), "exact")
-    groups = components(exact.filter("other IS NOT NULL").select(F.col("doc").alias("a"), F.col("other").alias("b")))
-    counts = exact.filter("other IS NULL").groupBy("doc").agg(F.sum("links").alias("links"))
-    of_rep = classes.join(groups, F.col("rep") == F.col("node"), "left").join(counts, F.col("rep") == F.col("doc"), "left")
-    of_rep = of_rep.select("key", "rep", F.coalesce("component", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
-    known = rows.select("doc", "key").join(of_rep, "key", "left")
+    members = coarse.join(sizes, "component").join(sets.select("node", "n", "rep", "key"), "node").select(F.col("component").alias("grp"), "size", "node", "n", "rep", "key")
+    exact = written(true_links(docs, written(members, "members"), sets, id_col, text_col, similar), "exact")
+    groups = components(exact.filter("other IS NOT NULL").select(F.col("node").alias("a"), F.col("other").alias("b")))
+    counts = exact.filter("other IS NULL").groupBy("node").agg(F.sum("links").alias("links"))
+    least = groups.join(sets.select("node", "rep"), "node").groupBy("component").agg(F.min("rep").alias("class_id"))
+    linked = groups.join(least, "component").select("node", "class_id").join(counts, "node", "left")
+    of_class = classes.join(linked, "node", "left").select("key", "rep", F.coalesce("class_id", "rep").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"))
+    known = rows.select("doc", "key").join(of_class, "key", "left")
     out = known.select(F.col("doc").alias(id_col), F.coalesce("class_id", "doc").alias("class_id"), F.coalesce("rep", "doc").alias("rep_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    lost = docs.filter(F.col(id_col).isNull()).select(F.col(id_col).cast("long").alias(id_col), F.lit(None).cast("long").alias("class_id"), F.lit(None).cast("long").alias("rep_id"), F.lit(0).cast("long").alias("n_links"))
+    null = F.lit(None).cast("long")
+    lost = docs.filter(F.col(id_col).isNull()).select(null.alias(id_col), null.alias("class_id"), null.alias("rep_id"), F.lit(0).cast("long").alias("n_links"))
     return out.unionByName(lost)
 
 
 def drop_similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one document of each group, the one with the smallest id; rows with a null id stay."""
-    gone = similar_groups(docs, id_col, text_col).filter(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("__gone"), "left_anti")
+    gone = fresh("gone")
+    found = similar_groups(docs, id_col, text_col).groupBy(F.col(id_col).alias(gone)).agg(F.bool_and(F.col(id_col) != F.col("class_id")).alias("all")).filter("all").select(gone)
+    return docs.join(found, docs[id_col] == found[gone], "left_anti")
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -88,22 +88,57 @@ def test_ngram_join_keeps_its_recall_through_all_levels(spark, monkeypatch):
 def test_sets_too_small_for_the_threshold_have_no_candidates(spark):
     docs = [(i, f"one two three four five w{i}") for i in range(100)] + [(200 + i, "a b c d e f") for i in range(2)]
     df = spark.createDataFrame(docs, "doc_id long, text string")
-    assert not any(t for r in ngram_join.sketches(df, "doc_id", "text", 0.8, 5).collect() for t in r["picks"])
+    assert not any(t for r in ngram_join.sketches(df, "doc_id", "text", 0.8, 5).collect() for t in r["picks_0"])
     assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar_groups(df).collect()) == brute_groups(docs)
     assert [ngram_join._alone(n, 0.8) for n in (3, 4)] == [True, False]
 
 
-def test_many_leaders_meet_in_bounded_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "CROWD", 16)
-    blocks = ngram_join.leader_blocks(spark.createDataFrame([(7, i) for i in range(200)] + [(8, 1), (8, 2), (9, 3)], "bucket long, doc long")).collect()
+def test_many_leaders_meet_in_bounded_blocks(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(7, i, i < 60) for i in range(200)] + [(8, 1, True), (8, 2, True), (9, 3, True), (10, 4, False), (10, 5, False)], "bucket long, node long, head boolean")
     tasks, met = defaultdict(list), set()
-    for r in blocks:
-        tasks[r["bucket"], r["salt"]].append((r["side"], r["doc"]))
+    for r in ngram_join.block_pairs(rows, "bucket", "node", F.col("head"), 16).collect():
+        tasks[r["bucket"], r["p"], r["q"]].append((r["side"], r["node"]))
     assert max(map(len, tasks.values())) < 80
-    for (bucket, _), rows in tasks.items():
-        cross = any(s for s, _ in rows)
-        met |= {(bucket, min(a, b), max(a, b)) for s, a in rows for t, b in rows if a != b and (s != t or not cross)}
-    assert met == {(7, a, b) for a in range(200) for b in range(a + 1, 200)} | {(8, 1, 2)}
+    for (bucket, p, q), own in tasks.items():
+        met |= {(bucket, min(a, b), max(a, b)) for s, a in own for t, b in own if a != b and (s != t or p == q)}
+    assert met == {(7, a, b) for a in range(60) for b in range(a + 1, 200)} | {(8, 1, 2)}
+
+
+def test_repeated_rows_and_reused_ids(spark):
+    text = " ".join(f"w{k}" for k in range(60))
+    near, other = text + " x", " ".join(f"v{k}" for k in range(60))
+    rows = lambda docs: sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+    assert rows([(5, text), (5, text), (7, near)]) == [(5, 5, 2), (5, 5, 2), (7, 5, 2)]
+    assert rows([(5, text), (5, other), (7, near)]) == [(5, 5, 0), (5, 5, 1), (7, 5, 1)]
+    assert rows([(5, text), (5, other), (7, near), (9, other + " y")]) == [(5, 5, 1), (5, 5, 1), (7, 5, 1), (9, 5, 1)]
+    docs = [(7, near), (7, other), (5, text), (8, near), (None, text)]
+    kept = ngram_join.drop_similar(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 5, 7, 7]
+
+
+def test_crowd_around_a_center_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 16)
+    monkeypatch.setattr(ngram_join, "SMALL", 8)
+    rng, docs = random.Random(7), []
+    base = [f"w{k}" for k in range(200)]
+    for i in range(120):
+        w = list(base)
+        for _ in range(rng.choice([0, 1, 1, 2, 3, 5, 7])):
+            w[rng.randrange(200)] = f"x{rng.randrange(50)}"
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar_groups(df).collect()) == brute_groups(docs)
+
+
+def test_very_long_texts_and_clashing_names(spark):
+    long = " ".join(f"w{k % 9973}" for k in range(300_000))
+    docs = [(1, long), (2, long + " end"), (3, "short text")]
+    df = spark.createDataFrame([(*d, "x", 1) for d in docs], "doc_id long, text string, __gone string, node long")
+    assert sorted((r["doc_id"], r["class_id"], r["n_links"]) for r in ngram_join.similar_groups(df).collect()) == [(1, 1, 1), (2, 1, 1), (3, 3, 0)]
+    kept = ngram_join.drop_similar(df)
+    assert kept.columns == df.columns and sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
 
 
 def test_crowd_with_many_leaders_equals_brute_force(spark, monkeypatch):
