@@ -56,6 +56,7 @@ LANES = 128
 NEAR = 0.93  # of lanes that agree: a leader represents the set
 REACH = (0.64, 0.55, 0.49)  # of lanes that agree: link, by how many of the two sets represent others
 BLOCK = 512
+SALTS = 16
 
 _WORD = re.compile(r"\w+")
 _MIX1, _MIX2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
@@ -141,13 +142,11 @@ def _sketch(s: np.ndarray) -> bytes:
     return ((least * np.uint32(0x9E3779B1)) >> np.uint32(13)).astype(np.uint8).tobytes()
 
 
-def _picked(s: np.ndarray, seed: np.uint64, similar: float, rate: float) -> np.ndarray:
-    return s[_mix_low(s, seed) <= np.uint64(min(2**64 - 1, int(rate / (similar * len(s)) * 2**64)))]
-
-
-def _mix_low(s: np.ndarray, seed: np.uint64) -> np.ndarray:
+def _picked(s: np.ndarray, seeds: np.ndarray, similar: float, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """How many tokens of the set each seed picks, and those tokens."""
     with np.errstate(over="ignore"):
-        return s * seed
+        hit = s[None, :] * seeds[:, None] <= np.uint64(min(2**64 - 1, int(rate / (similar * len(s)) * 2**64)))
+    return hit.sum(axis=1), np.broadcast_to(s, hit.shape)[hit].view(np.int64)
 
 
 def _alone(n: int, similar: float) -> bool:
@@ -165,17 +164,21 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, similar: float, runs:
     names = [_level(d) for d in range(LEVELS)]
 
     def run(batches):
-        shingle, seeds = Shingler(), _seeds(runs * LEVELS).reshape(LEVELS, runs)
+        shingle, seeds = Shingler(), _seeds(runs * LEVELS)
+        none = np.zeros(runs * LEVELS, np.int64), np.zeros(0, np.int64)
         for batch in batches:
-            key, sketch, picks = [], [], [[] for _ in names]
+            key, sketch, picks = [], [], []
             for t in batch.column("text"):
                 s = shingle(t.as_py())
                 key.append(key_of(s) if len(s) else None)
                 sketch.append(_sketch(s) if len(s) else None)
-                none = not len(s) or _alone(len(s), similar)
-                for own, level in zip(picks, seeds, strict=True):
-                    own.append([] if none else [_picked(s, seed, similar, RATE).view(np.int64) for seed in level])
-            columns = [batch.column("doc"), pa.array(key, pa.binary()), pa.array(sketch, pa.binary()), *(pa.array(p, pa.list_(pa.list_(pa.int64()))) for p in picks)]
+                picks.append(_picked(s, seeds, similar, RATE) if len(s) and not _alone(len(s), similar) else none)
+            columns = [batch.column("doc"), pa.array(key, pa.binary()), pa.array(sketch, pa.binary())]
+            for d in range(LEVELS):  # lists of lists, from where each ends
+                own = [(n[d * runs : (d + 1) * runs], x[n[: d * runs].sum() : n[: (d + 1) * runs].sum()]) for n, x in picks]
+                ends = np.concatenate([[0], *(n for n, _ in own)]).cumsum()
+                inner = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int64), *(x for _, x in own)])))
+                columns.append(pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * runs, pa.int32()), inner))
             yield pa.RecordBatch.from_arrays(columns, names=["doc", "key", "sketch", *names])
 
     return rows.mapInArrow(run, "doc long, key binary, sketch binary, " + ", ".join(f"{n} array<array<long>>" for n in names))
@@ -288,12 +291,15 @@ def block_pairs(rows: DataFrame, group: str, node: str, first: Column, block: in
     rows = rows.withColumn("first", first)
     count = lambda c: F.ceil(F.count_if(c) / block).cast("long")
     sizes = rows.groupBy(group).agg(count(F.col("first")).alias("n_first"), count(~F.col("first")).alias("n_rest"), F.count(F.lit(1)).alias("rows"))
-    sizes = sizes.filter("n_first > 0 AND rows > 1").drop("rows")
+    # salted: a group may be as large as it likes, and most of its rows are those of few groups
+    salts = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    sizes = sizes.filter("n_first > 0 AND rows > 1").drop("rows").withColumn("salt", salts)
+    rows = rows.withColumn("salt", F.pmod(F.xxhash64(node, F.lit(2)), F.lit(SALTS)).cast("int"))
     own = F.when(F.col("first"), F.pmod(F.xxhash64(node, F.lit(1)), "n_first")).otherwise(F.col("n_first") + F.pmod(F.xxhash64(node, F.lit(1)), F.greatest("n_rest", F.lit(1))))
     last = F.col("n_first") + F.when(F.col("first"), F.col("n_rest")).otherwise(0) - 1
-    met = rows.join(sizes, group).withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    met = rows.join(sizes, [group, "salt"]).withColumn("own", own).withColumn("met", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     out = met.withColumns({"p": F.least("own", "met"), "q": F.greatest("own", "met"), "side": (F.col("own") > F.col("met")).cast("int")})
-    return out.drop("n_first", "n_rest", "own", "met", "first")
+    return out.drop("n_first", "n_rest", "own", "met", "first", "salt")
 
 
 def leader_links(rows: DataFrame) -> DataFrame:
@@ -435,7 +441,8 @@ def fetched_sets(docs: DataFrame, members: DataFrame, id_col: str, text_col: str
             columns = [*(batch.column(c) for c in ("grp", "size", "node", "n")), pa.array([s.tobytes() for s in sets], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["grp", "size", "node", "n", "shingles"]).filter(own)
 
-    found = written(members.join(texts, "rep").select("grp", "size", "node", "n", "key", "text").mapInArrow(run, "grp long, size long, node long, n long, shingles binary"), "shingles")
+    # sorted and merged at every size: sending the members to all tasks, as Spark would do with few, would not scale with them
+    found = written(members.hint("merge").join(texts, "rep").select("grp", "size", "node", "n", "key", "text").mapInArrow(run, "grp long, size long, node long, n long, shingles binary"), "shingles")
     return found if found.count() == members.count() else found.dropDuplicates(["node"])
 
 
@@ -520,7 +527,9 @@ def similar_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = written(sketches(docs, id_col, text_col, similar, runs), "sketches")
     classes = classes_of(rows)
     one = rows.join(classes.select("key", F.col("rep").alias("doc"), "rep", "n", "node"), ["key", "doc"]).drop("doc")
-    sets = written(one.dropDuplicates(["node"]), "sets")
+    sets = written(one, "sets")
+    if sets.count() > classes.count():  # rows with the same id and text
+        sets = written(sets.dropDuplicates(["node"]), "sets")
     coarse = written(components(candidates(sets, runs, similar)), "coarse")
     sizes = coarse.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     members = coarse.join(sizes, "component").join(sets.select("node", "n", "rep", "key"), "node").select(F.col("component").alias("grp"), "size", "node", "n", "rep", "key")
