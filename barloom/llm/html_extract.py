@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
-from barloom.llm.common import table
+from barloom.llm.common import fresh, table
 
 # Common function words.
 STOP_WORDS = frozenset(
@@ -69,8 +69,9 @@ MARKS = frozenset(
     """.split()
 )
 
+# possessive throughout: an attempt reads each character once, whether it matches or not
 _MARKUP = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?:[^>\"']|\"[^\"]*\"|'[^']*'|[\"'])*?)>", re.S
+    r"""<!--.*?(?:-->|\Z)|<[!?][^>]*+>?|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<rest>[^>"']*+(?:"[^"]*+"[^>"']*+|'[^']*+'[^>"']*+)*+)>|<(?P<odd_end>/?)(?P<odd>[a-zA-Z][^\s/>]*+)(?P<odd_rest>[^>]*+)>""", re.S
 )
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -79,11 +80,11 @@ _WORD = re.compile(r"[^\W\d_]+")
 class Block:
     __slots__ = ("label", "linked", "main", "own", "prose", "text", "within")
 
-    def __init__(self, text: str, linked: int, main: bool, tags: set[str], within: tuple[int, ...]):
+    def __init__(self, text: str, linked: int, main: bool, paragraph: bool, within: int):
         self.text, self.linked, self.main, self.label = text, linked, main, ""
         self.own = max(0, len(text) - linked)  # characters outside links
-        self.prose = self.own if linked <= MAX_LINKS * len(text) and ("p" in tags or len(text) >= SHORT) else 0
-        self.within = within  # marked containers that hold it
+        self.prose = self.own if linked <= MAX_LINKS * len(text) and (paragraph or len(text) >= SHORT) else 0
+        self.within = within  # the innermost marked container that holds it, or -1
 
 
 def _dropped(tag: str, rest: str) -> str:
@@ -105,105 +106,110 @@ def _dropped(tag: str, rest: str) -> str:
     return found
 
 
-def _without_marked(blocks: list[Block], kinds: list[str], titles: set[int]) -> list[Block]:
-    """The blocks outside the marked containers that are to be dropped."""
-    prose, mains = [0] * len(kinds), [0] * len(kinds)
+def _without_marked(blocks: list[Block], kinds: list[str], outer: list[int], titles: set[int]) -> list[Block]:
+    """The blocks outside the marked containers that are to be dropped. A container comes after those that hold it."""
+    prose, mains, title = [0] * len(kinds), [0] * len(kinds), [k in titles for k in range(len(kinds))]
     for b in blocks:
-        for k in b.within:
-            prose[k] += b.prose
-            mains[k] += b.own * b.main
+        if b.within >= 0:
+            prose[b.within] += b.prose
+            mains[b.within] += b.own * b.main
+    for k in range(len(kinds) - 1, -1, -1):
+        if outer[k] >= 0:
+            prose[outer[k]] += prose[k]
+            mains[outer[k]] += mains[k]
+            title[outer[k]] |= title[k]
     all_prose, all_mains = sum(b.prose for b in blocks), sum(b.own for b in blocks if b.main)
-
-    def gone(k: int) -> bool:
-        if kinds[k] == "part":
-            return not prose[k] and k not in titles
-        return prose[k] * 2 <= all_prose and (mains[k] < LONG or mains[k] * 2 <= all_mains)
-
-    dropped = {k for k in range(len(kinds)) if gone(k)}
-    return [b for b in blocks if dropped.isdisjoint(b.within)]
+    gone: list[bool] = []
+    for k, kind in enumerate(kinds):
+        if outer[k] >= 0 and gone[outer[k]]:
+            gone.append(True)
+        elif kind == "part":
+            gone.append(not prose[k] and not title[k])
+        else:
+            gone.append(prose[k] * 2 <= all_prose and (mains[k] < LONG or mains[k] * 2 <= all_mains))
+    return [b for b in blocks if b.within < 0 or not gone[b.within]]
 
 
 def blocks_of(html: str) -> list[Block]:
+    """Cut and dropped in one walk; what is open is counted by name, so a step costs the same at any depth."""
     out: list[Block] = []
     parts: list[str] = []
     links: list[str] = []
     open_: list[tuple[str, bool, bool]] = []  # tags that are open, whether each is dropped, and whether it is marked
+    names: dict[str, int] = {}  # how often each is open
     kinds: list[str] = []  # of marked containers
-    within: list[int] = []  # marked containers that are open
+    outer: list[int] = []  # the marked container around each
     titles: set[int] = set()  # marked containers with an h1
-    drop = mains = anchors = 0
+    inner, drop, mains = -1, 0, 0
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         if text:
-            tags = {t for t, *_ in open_}
-            if "h1" in tags:
-                titles.update(within)
-            out.append(Block(text, len(" ".join(unescape("".join(links)).split())), mains > 0, tags, tuple(within)))
+            if inner >= 0 and names.get("h1"):
+                titles.add(inner)
+            out.append(Block(text, len(" ".join(unescape("".join(links)).split())), mains > 0, bool(names.get("p")), inner))
         parts.clear()
         links.clear()
 
     def say(text: str) -> None:
         if text and not drop:
             parts.append(text)
-            if anchors:
+            if names.get("a"):
                 links.append(text)
 
-    at = 0
+    def close() -> str:
+        nonlocal inner, drop, mains
+        t, dropped, marked = open_.pop()
+        names[t] -= 1
+        drop -= dropped
+        mains -= t in MAIN
+        if marked:
+            inner = outer[inner]
+        return t
+
+    at, last = 0, html.rfind(">")
     while True:
-        m = _MARKUP.search(html, at)
+        m = _MARKUP.search(html, at) if at <= last else None
         if m is None:
-            say(html[at:])
+            rest = html.find("<!--", at)  # an unclosed comment runs to the end
+            say(html[at:] if rest < 0 else html[at:rest])
             break
         say(html[at : m.start()])
         at = m.end()
-        tag = (m["tag"] or "").lower()
+        tag, rest = (m["tag"] or m["odd"] or "").lower(), m["rest"] or m["odd_rest"] or ""
         if not tag:
             continue
         if tag in BLOCK:
             flush()
         elif tag == "br":
             say(" ")
-        if m["end"]:
-            if any(t == tag for t, *_ in open_):
-                while open_:
-                    t, dropped, marked = open_.pop()
-                    drop -= dropped
-                    if marked:
-                        within.pop()
-                    mains -= t in MAIN
-                    anchors -= t == "a"
-                    if t == tag:
-                        break
-        elif tag not in VOID and not m["rest"].endswith("/"):
+        if m["end"] or m["odd_end"]:
+            if names.get(tag):
+                while close() != tag:
+                    pass
+        elif tag not in VOID and not rest.endswith("/"):
             if tag == "p":
                 while open_ and open_[-1][0] not in BLOCK:  # inline tags end with their paragraph
-                    t, dropped, marked = open_.pop()
-                    drop -= dropped
-                    anchors -= t == "a"
-                    if marked:
-                        within.pop()
+                    close()
                 if open_ and open_[-1][0] == "p":
-                    _, dropped, marked = open_.pop()
-                    drop -= dropped
-                    if marked:
-                        within.pop()
+                    close()
             if tag in RAW:
-                end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(html, at)
+                end = re.compile(rf"</{tag}\b[^>]*+>?", re.I).search(html, at)
                 at = end.end() if end else len(html)
                 continue
-            kind = _dropped(tag, m["rest"])
+            kind = _dropped(tag, rest)
             marked = kind in ("mark", "part") and tag in BLOCK
             dropped = kind == "always" or (kind == "mark" and not marked)
             if marked:
-                within.append(len(kinds))
+                outer.append(inner)
+                inner = len(kinds)
                 kinds.append(kind)
             open_.append((tag, dropped, marked))
+            names[tag] = names.get(tag, 0) + 1
             drop += dropped
             mains += tag in MAIN
-            anchors += tag == "a"
     flush()
-    return _without_marked(out, kinds, titles)
+    return _without_marked(out, kinds, outer, titles)
 
 
 def classify(blocks: list[Block]) -> None:
@@ -252,6 +258,7 @@ def main_text(html: str | None) -> str:
 def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """pages without the html column, with text."""
     fields = [f for f in pages.schema.fields if f.name not in ("text", html_col)]
+    html_name = fresh("html")
 
     def run(batches):
         for batch in batches:
@@ -260,7 +267,7 @@ def extract_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], text], names=[*batch.schema.names[:-1], "text"])
 
     out = StructType([*fields, StructField("text", StringType())])
-    return pages.select(*[f"`{f.name}`" for f in fields], F.col(html_col).alias("__html")).mapInArrow(run, out)
+    return pages.select(*[f"`{f.name}`" for f in fields], F.col(html_col).alias(html_name)).mapInArrow(run, out)
 
 
 def op3_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
