@@ -26,12 +26,13 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
-from barloom.llm.common import table
+from barloom.llm.common import table, written
 
 FIT_ROWS = 20_000
 MAX_WORDS = 50_000
 MAX_GRAMS = 50_000
 LONGEST = 5
+SALTS = 16
 UNDECIDED = "und"
 
 _WORD = re.compile(r"[^\W\d_]+")
@@ -124,7 +125,8 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", fit_row
             yield _counts(seen)
 
     shape = "lang string, x string, n long"
-    words = labelled.mapInArrow(count_words, shape).groupBy("lang", "x").agg(F.sum("n").alias("n"))
+    # read by the word list and by the n-grams
+    words = written(labelled.mapInArrow(count_words, shape).groupBy("lang", "x").agg(F.sum("n").alias("n")), "words")
     grams = words.mapInArrow(count_grams, shape).groupBy("lang", "x").agg(F.sum("n").alias("n"))
     return Model(_top(words, max_words), _top(grams, max_grams))
 
@@ -135,8 +137,11 @@ def _counts(seen: dict[tuple[str, str], int]) -> pa.RecordBatch:
 
 
 def _top(counts: DataFrame, most: int) -> dict[tuple[str, str], int]:
-    order = Window.partitionBy("lang").orderBy(F.desc("n"), "x")
-    top = counts.withColumn("at", F.row_number().over(order)).filter(F.col("at") <= most)
+    """The most frequent of each language: those of each salted part, and of these, however many there were, at most SALTS * most."""
+    order = F.desc("n"), "x"
+    parts = counts.withColumn("salt", F.pmod(F.xxhash64("x"), F.lit(SALTS)))
+    parts = parts.withColumn("at", F.row_number().over(Window.partitionBy("lang", "salt").orderBy(*order))).filter(F.col("at") <= most)
+    top = parts.withColumn("at", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).filter(F.col("at") <= most)
     found = top.select("lang", "x", "n").toArrow()
     return dict(zip(zip(found["lang"].to_pylist(), found["x"].to_pylist(), strict=True), found["n"].to_pylist(), strict=True))
 

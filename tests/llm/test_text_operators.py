@@ -1,3 +1,5 @@
+import random
+from collections import Counter
 import hashlib
 import re
 
@@ -181,3 +183,95 @@ def test_a_rare_language_is_learned_whole_and_copies_once(spark):
     assert 20 <= sum(r["lang"] == "en" for r in got) <= 90 and len(set(got)) == len(got)
     assert language_id.fit(df, fit_rows=50).langs == ["en", "xx"]
     assert (language_id.MAX_WORDS, language_id.MAX_GRAMS) == (50_000, 50_000)
+
+
+WRAPPERS = (
+    "<article>{}</article>", "<main>{}</main>", "<div id=content>{}</div>", '<div class="layout has-sidebar">{}</div>', '<section class="post-body">{}</section>',
+    "<table><tr><td>{}</td></tr></table>", '<div id="page-with-sidebar"><div>{}</div></div>', '<main><div class="post with-header">{}</div></main>', '<div class="content no-comments">{}', "{}",
+)
+AROUND = (
+    ('<nav><a href="/">Home</a><a href="/a">About</a></nav>', "<footer>All rights reserved</footer>"),
+    ('<ul class="menu"><li><a href="/1">One of the links</a></li><li><a href="/2">Two of the links</a></li></ul>', '<div class="comments"><p>I like it.</p><p>So do I.</p></div><aside>Related</aside>'),
+    ('<div role="banner">The site</div><form><label>Search</label><input></form>', '<div id="cookie-notice" class="cookie">We use cookies.</div><script>var x = "</p>";</script>'),
+)
+
+
+@pytest.mark.parametrize("wrapper", WRAPPERS)
+@pytest.mark.parametrize("before, after", AROUND)
+def test_extraction_over_templates(wrapper, before, after):
+    second = "It was in the spring of that year that they came to the town, and all of them had been on the road for more than a month."
+    body = f"<h1>On the road</h1><p>{ENGLISH}</p><p>{second} <a href='x'>More</a> &amp; more.</p>"
+    page = f"<html><head><title>T</title><style>p {{}}</style></head><body>{before}{wrapper.format(body)}{after}</body></html>"
+    assert html_extract.main_text(page) in (f"On the road\n{ENGLISH}\n{second} More & more.", f"{ENGLISH}\n{second} More & more.") if "banner" in before and wrapper == "{}" else html_extract.main_text(page) == f"On the road\n{ENGLISH}\n{second} More & more."
+
+
+@pytest.mark.parametrize("html", ['<p>x</p><a ' + '"x' * 300_000, '<a "x ' * 100_000 + ">", "<div class=ad>x" * 50_000, "<b>" * 100_000 + "</i>" * 100_000, "<a '>" * 100_000 + '"', "<!--" * 100_000, "<" * 500_000])
+def test_hostile_pages_take_linear_time(html):
+    import time
+
+    began = time.perf_counter()
+    html_extract.main_text(html)
+    assert time.perf_counter() - began < 5
+
+
+def plain_language(learn, texts, top_words, top_grams):
+    """The rules of the docstring, without Spark or tables."""
+    import math
+
+    words, grams = {}, {}
+    for lang, text in sorted({(g, t) for g, t in learn}):
+        for w in re.findall(r"[^\W\d_]+", text.lower()):
+            words.setdefault(lang, Counter())[w] += 1
+    for lang, own in words.items():
+        grams[lang] = Counter()
+        for w, n in own.items():
+            for k in range(1, 6):
+                for i in range(len(w) + 3 - k):
+                    grams[lang][f" {w} "[i : i + k]] += n
+    cut = lambda c, most: {g: dict(sorted(own.items(), key=lambda x: (-x[1], x[0]))[:most]) for g, own in c.items()}
+    words, grams = cut(words, top_words), cut(grams, top_grams)
+    langs = sorted(words)
+
+    def logs(table):
+        every = {x for own in table.values() for x in own}
+        total = {g: sum(table[g].get(x, 0) + 0.5 for x in every) + 0.5 for g in langs}
+        return {x: [math.log((table[g].get(x, 0) + 0.5) / total[g]) for g in langs] for x in every}
+
+    word_log, gram_log = logs(words), logs(grams)
+    out = []
+    for text in texts:
+        found = re.findall(r"[^\W\d_]+", (text or "").lower())
+        if not found:
+            out.append("und")
+            continue
+        total = [0.0] * len(langs)
+        for w in found:
+            add = word_log.get(w)
+            for k in range(5, 0, -1):
+                if add:
+                    break
+                known = [gram_log[g] for g in (f" {w} "[i : i + k] for i in range(len(w) + 3 - k)) if g in gram_log]
+                add = [sum(x) / len(known) for x in zip(*known, strict=True)] if known else None
+            total = [a + b for a, b in zip(total, add or [0.0] * len(langs), strict=True)]
+        out.append(langs[total.index(max(total))])
+    return out
+
+
+def test_language_model_equals_its_rules_by_brute_force(spark):
+    rng = random.Random(11)
+    stems = {"aa": "ka lo mi ru ter".split(), "bb": "ka pe xi ron das".split(), "cc": "lo pe zu nig vor".split()}
+    say = lambda g, n: " ".join("".join(rng.choice(stems[g]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(i, say(g := rng.choice("aa bb cc".split()), rng.randint(3, 30)), g) for i in range(200)]
+    rows += [(300, rows[0][1], rows[0][2]), (301, None, "aa"), (302, "12 34", "bb"), (303, say("aa", 8), None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    for most in (20, 10_000):
+        model = language_id.fit(df, max_words=most, max_grams=most)
+        got = {r["doc_id"]: r["lang_pred"] for r in language_id.predict(df, model).collect()}
+        want = plain_language([(g, t) for _, t, g in rows if t is not None and g is not None], [t for _, t, _ in rows], most, most)
+        assert [got[i] for i, *_ in rows] == want
+
+
+def test_language_sample_is_never_empty(spark):
+    same = [(i, "the same words again", "aa") for i in range(2000)]
+    df = spark.createDataFrame([*same, (5000, "ein anderes", "bb")], "doc_id long, text string, lang string")
+    assert language_id.fit(df, fit_rows=20).langs == ["aa", "bb"]
