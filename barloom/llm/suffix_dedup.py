@@ -13,11 +13,12 @@ blocks of documents (see blocks.py); text is shuffled once, compressed, and that
    over all LENGTH bytes.
 4. Each document loses the bytes that steps 1 and 3 found.
 
-Lyndon grouping: a suffix's longest Lyndon prefix ends where the next smaller suffix begins; going from right to left,
-words are merged while the word before is smaller, which gives each suffix its group and a pointer to the next
-smaller suffix. Groups rank as their words do. Then one linear pass in rank order appends to its group each suffix that
-points to the suffix at hand, and so emits the order within every group; nothing is renamed or sorted again. (Groups are
-ranked by sorting their words, which have at most a run's length, instead of being refined in descending order.)
+Lyndon grouping: suffixes begin in groups of the same first byte, and groups are processed from the highest down. Each
+suffix of the group at hand points to the previous suffix of a lower group; those that are pointed to leave their own
+groups for new ones just above, ranked by how often they are pointed to. At the end the suffixes of a group share their
+longest Lyndon prefix. Then one pass in rank order appends to its group each suffix whose next smaller suffix is
+the one at hand, found by following the same pointers, and so emits the order within every group; nothing is renamed or
+compared again.
 
 Defined cases: null is the empty text; texts of fewer than LENGTH bytes lose nothing; rows with the same id count as
 one document for each other; strings repeated only within a document stay; a null id counts as larger than any other;
@@ -188,50 +189,86 @@ def _range_of(h: np.ndarray, n: int) -> np.ndarray:
 
 
 def lyndon_order(text: bytes, strings: list[tuple[int, int]]) -> list[int]:
-    """The starts of all suffixes of the strings [start, end) of text, in order; a string's end sorts before all bytes."""
-    n = len(text)
-    size = [1] * n
-    points = [0] * n
-    for s, e in strings:
-        for i in range(e - 1, s - 1, -1):
-            j = i + 1
-            c = text[i]
-            while j < e:
-                d = text[j]
-                if c > d or (c == d and text[i:j] >= text[j : j + size[j]]):
-                    break
-                j += size[j]
-            size[i] = j - i
-            points[i] = j
-    words = [text[i : i + k] for i, k in enumerate(size)]
-    count: dict[bytes, int] = {}
-    for w in words:
-        count[w] = count.get(w, 0) + 1
-    place, at = {}, 0
-    for w in sorted(count):
-        place[w] = at
-        at += count[w]
-    behind: list[list[int] | None] = [None] * (n + 1)  # suffixes that point to a suffix of the same string
-    order = [0] * n
+    """The starts of all suffixes of the strings [start, end) of text, in order; a string's end sorts before all bytes.
+
+    Two phases, each a constant number of steps a suffix. ``order`` holds the groups as intervals, ``first`` the
+    start of each suffix's interval, ``smaller`` the previous suffix of a lower group. Ends of strings are a lowest
+    group of their own, which is never split.
+    """
+    # every string ends in 0, which is below all bytes
+    codes: list[int] = [0]
+    origin = [-1]
     for s, e in strings:
-        for i in range(s, e):
-            j = points[i]
-            if j == e:
-                w = words[i]
-                order[place[w]] = i
-                place[w] += 1
-            elif behind[j] is None:
-                behind[j] = [i]
+        codes += [c + 1 for c in text[s:e]]
+        codes.append(0)
+        origin += range(s, e)
+        origin.append(-1)
+    n = len(codes)
+    count = [0] * 258
+    for c in codes:
+        count[c + 1] += 1
+    for c in range(257):
+        count[c + 1] += count[c]
+    n_ends = count[1]
+    fill = count[:]
+    order, place, first = [0] * n, [0] * n, [0] * n
+    size = [0] * n
+    for i, c in enumerate(codes):
+        at = fill[c]
+        order[at], place[i], first[i] = i, at, count[c]
+        fill[c] = at + 1
+    for c in range(257):
+        if count[c + 1] > count[c]:
+            size[count[c]] = count[c + 1] - count[c]
+    smaller = [-1] * n
+    top = n
+    while top > n_ends:  # the highest group that is left, down to the ends
+        low = first[order[top - 1]]
+        members = order[low:top]
+        members.sort()
+        times: dict[int, int] = {}
+        for s in members:
+            p = s - 1
+            while first[p] >= low:  # a group already done, or this one: between its pointer and it nothing is lower
+                p = smaller[p]
+            smaller[s] = p
+            if p in times:
+                times[p] += 1
             else:
-                behind[j].append(i)
-    for r in range(n):
-        b = behind[order[r]]
-        if b is not None:
-            for i in b:
-                w = words[i]
-                order[place[w]] = i
-                place[w] += 1
-    return order
+                times[p] = 1
+        # those that point from most members rank highest in their group: they go to its end first
+        by_times: dict[int, list[int]] = {}
+        for p, k in times.items():
+            if first[p] >= n_ends:
+                by_times.setdefault(k, []).append(p)
+        for k in sorted(by_times, reverse=True):
+            moved: dict[int, list[int]] = {}
+            for p in by_times[k]:
+                moved.setdefault(first[p], []).append(p)
+            for group, own in moved.items():
+                end = group + size[group]
+                for p in own:
+                    end -= 1
+                    at, other = place[p], order[end]
+                    order[at], place[other] = other, at
+                    order[end], place[p] = p, end
+                if end > group:
+                    size[group] = end - group
+                    size[end] = len(own)
+                    for p in own:
+                        first[p] = end
+        top = low
+    # in rank order, each suffix lets those follow whose next smaller suffix it is: the ones before it, by their pointers
+    done, free = [False] * n, list(range(n))
+    for i in range(n):
+        s = order[i] - 1
+        while s > 0 and codes[s] and not done[s]:
+            done[s] = True
+            group = first[s]
+            order[free[group]] = s
+            free[group] += 1
+            s = smaller[s]
+    return [origin[i] for i in order[n_ends:]]
 
 
 def _windows(strings: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray]:
