@@ -4,7 +4,8 @@ Encoding, in four steps:
 
 1. Documents are dealt to blocks of about ``BLOCK_CHARS`` characters, and packed.
 2. Each block is split into words; its distinct words go to the word table, which is dealt to ranges by a hash of the
-   word: all blocks' copies of a word meet in one range, and each distinct word of the corpus is encoded once.
+   word: all blocks' copies of a word meet in one range, and each distinct word is encoded once (of a corpus of more than
+   SHARE blocks, about 24 GB, each share has its own table, so that no frequent word gathers entries without bound).
 3. The ids go back to the blocks that have the words, in the order in which the words came (an entry a word and block,
    never one a position).
 4. Each block puts the ids in place of its words, by position.
@@ -42,6 +43,7 @@ from barloom.llm.blocks import batches_of, pack, texts_of
 from barloom.llm.common import parallelism, table
 
 BLOCK_CHARS = 6_000_000
+SHARE = 4096
 MAX_VOCABULARY = 1_000_000
 DEFAULT_FILE = "word_bpe_49k.json"
 
@@ -88,11 +90,14 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     spark = docs.sparkSession
     spec = spark.sparkContext.broadcast(_read(path or vocabulary_file()))
     packed, n_blocks = pack(docs, id_col, text_col, block_chars)
-    ranges = max(parallelism(spark), n_blocks // 8)
+    # a share of SHARE blocks has a word table of its own, in ranges of about 8 blocks' words: bounded groups, however
+    # many blocks have a word, and as many rows as blocks
+    ranges = max(-(-parallelism(spark) // -(-n_blocks // SHARE)), min(n_blocks, SHARE) // 8, 1)
     id_type = docs.schema[id_col].dataType
 
     def words(key, block):
-        rows = [(to, _zip("\n".join(own).encode())) for to, own in _dealt(_distinct(_pieces(block)), ranges)]
+        share = key[0].as_py() // SHARE * ranges
+        rows = [(share + to, _zip("\n".join(own).encode())) for to, own in _dealt(_distinct(_pieces(block)), ranges)]
         return pa.table({"to": pa.array([r[0] for r in rows], pa.int32()), "block": pa.array([key[0].as_py()] * len(rows), pa.int32()), "words": pa.array([r[1] for r in rows], pa.binary())})
 
     def ids_of(key, table_):
@@ -111,10 +116,11 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
 
     def put(key, coded, block):
         known = dict(zip(coded.column("to").to_pylist(), coded.column("ids").to_pylist(), strict=True))
+        share = key[0].as_py() // SHARE * ranges
         ids: dict[str, list[int]] = {}
         pieces = _pieces(block)
         for to, own in _dealt(_distinct(pieces), ranges):
-            x = np.frombuffer(_unzip(known[to]), np.int32)
+            x = np.frombuffer(_unzip(known[share + to]), np.int32)
             ends = np.cumsum(x[: len(own)]) + len(own)
             flat = x.tolist()
             ids.update((w, flat[a:b]) for w, a, b in zip(own, [len(own), *ends[:-1].tolist()], ends.tolist(), strict=True))
