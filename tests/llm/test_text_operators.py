@@ -275,3 +275,34 @@ def test_language_sample_is_never_empty(spark):
     same = [(i, "the same words again", "aa") for i in range(2000)]
     df = spark.createDataFrame([*same, (5000, "ein anderes", "bb")], "doc_id long, text string, lang string")
     assert language_id.fit(df, fit_rows=20).langs == ["aa", "bb"]
+
+
+def test_a_benchmark_of_several_automata_hits_the_same(spark):
+    rng = random.Random(4)
+    words = [f"t{k}" for k in range(400)]
+    items = [(f"i{k}", " ".join(rng.choice(words) for _ in range(rng.choice([3, 20, 60, 400])))) for k in range(60)] + [(None, "t1 t2 t3"), ("e", ""), ("n", None), ("i0b", "T5, t6")]
+    docs = []
+    for k in range(80):
+        w = [rng.choice(words) for _ in range(60)]
+        for _ in range(rng.choice([0, 1, 2])):
+            own = (rng.choice(items)[1] or "x").split()
+            at = rng.randrange(len(own))
+            w[rng.randrange(40) :] = own[at : at + rng.choice([12, 13, 30])]
+        docs.append((k, " ".join(w), "n"))
+    docs += [(100, None, "x"), (101, "", "x"), docs[0], docs[0]]
+    df = spark.createDataFrame(docs, "doc_id long, text string, digest string")
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    key = lambda r: (r["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"]), tuple(map(tuple, r["spans"])), r["digest"])
+    once = sorted(map(key, decontamination.find_hits(df, bench).collect()))
+    assert any(r[2] for r in once)
+    for most in (100_000, 20_000):
+        assert decontamination.dealt_items(bench, decontamination.WINDOW, most)[1] > 1
+        assert sorted(map(key, decontamination.find_hits(df, bench, max_bytes=most).collect())) == once
+
+
+def test_words_in_several_shares_encode_alike(spark, monkeypatch):
+    monkeypatch.setattr(bpe, "SHARE", 2)
+    docs = [(k, f"the word {k} and the next, of Many {k % 7}") for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    want = {r["doc_id"]: r["ids"] for r in bpe.encode(df).collect()}
+    assert {r["doc_id"]: r["ids"] for r in bpe.encode(df, block_chars=100).collect()} == want
