@@ -3,7 +3,8 @@
 Every version of every document is content-addressed by the SHA-256 of its text: a blob. The ledger has a row for each
 blob and rule version that has been scanned, with what was found. A scan takes the blobs of the documents, leaves out
 each pair of blob and rule version that the ledger has, scans each remaining blob once whatever number of paths
-has it, and appends; findings are then joined back to all paths that have the blob.
+has it, and appends; findings are then joined back to all paths that have the blob. The ledger is a Parquet folder
+(``open_ledger``, ``update``, ``read_ledger``); a second update with the same documents scans nothing, which the query does and checks.
 
 Positions without leaving the JVM: splitting a text by a pattern gives the stretches between its matches, so the running
 sum of the lengths of stretches and matches gives each match's start, in code points.
@@ -18,10 +19,12 @@ not read; an empty ledger is None. One text is one group: findings of a blob are
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barloom.llm.common import table, text_of
+from barloom.llm.common import shared_dir, table, text_of, written
 
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 #: kind -> (rule version, pattern, group whose length counts, least length); in the order in which ties are listed
@@ -65,17 +68,53 @@ def _parts(kind: str) -> dict[str, Column]:
     }
 
 
-def scan(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text") -> DataFrame:
+SCANNED = "blob string, versions array<string>, findings array<struct<start:bigint,rank:int,kind:string,end:bigint>>"
+
+
+def open_ledger(spark: SparkSession, path: str | None = None) -> str:
+    """The folder of a ledger; a new one, in the shared folder, if none is named. Scans append to it."""
+    path = path or f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}"
+    spark.createDataFrame([], SCANNED).write.mode("append").parquet(path)
+    return path
+
+
+def read_ledger(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(SCANNED).parquet(path)
+
+
+def unseen(docs: DataFrame, ledger: DataFrame | None, text_col: str = "text", versions: tuple[str, ...] = VERSIONS) -> DataFrame:
+    """(blob, todo array<string>): each blob of docs with the rule versions that the ledger doesn't have for it. Texts stay where they are."""
+    everything = F.array(*map(F.lit, versions))
+    blobs = docs.select(F.sha2(text_of(text_col), 256).alias("blob")).distinct()
+    if ledger is None:
+        return blobs.withColumn("todo", everything)
+    seen = ledger.select("blob", F.explode("versions").alias("v")).groupBy("blob").agg(F.collect_set("v").alias("seen"))
+    none = F.array().cast("array<string>")
+    return blobs.join(seen, "blob", "left").select("blob", F.array_except(everything, F.coalesce("seen", none)).alias("todo")).filter(F.size("todo") > 0)
+
+
+def update(docs: DataFrame, path: str, text_col: str = "text", versions: tuple[str, ...] = VERSIONS) -> int:
+    """Scan what the ledger at path has not seen of docs, append it, and return the number of blobs scanned."""
+    spark = docs.sparkSession
+    ledger = read_ledger(spark, path)
+    if ledger.isEmpty():
+        before, new = 0, scan(docs, None, text_col, versions)
+    else:
+        todo = written(unseen(docs, ledger, text_col, versions), "unseen")
+        if todo.isEmpty():
+            return 0
+        before, new = ledger.count(), scan(docs, ledger, text_col, versions, todo)
+    new.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in ledger.schema)).write.mode("append").parquet(path)
+    return read_ledger(spark, path).count() - before
+
+
+def scan(docs: DataFrame, ledger: DataFrame | None = None, text_col: str = "text", versions: tuple[str, ...] = VERSIONS, todo: DataFrame | None = None) -> DataFrame:
     """New rows for the ledger: (blob, versions array<string>, findings array<struct<start,rank,kind,end>>)."""
-    everything = F.array(*map(F.lit, VERSIONS))
     blobs = blobs_of(docs, text_col)
     if ledger is None:
-        blobs = blobs.withColumn("todo", everything)
+        blobs = blobs.withColumn("todo", F.array(*map(F.lit, versions)))
     else:
-        seen = ledger.select("blob", F.explode("versions").alias("v")).groupBy("blob").agg(F.collect_set("v").alias("seen"))
-        none = F.array().cast("array<string>")
-        blobs = blobs.join(seen, "blob", "left").withColumn("todo", F.array_except(everything, F.coalesce("seen", none)))
-        blobs = blobs.filter(F.size("todo") > 0).drop("seen")
+        blobs = blobs.join(unseen(docs, ledger, text_col, versions) if todo is None else todo, "blob")
     parts: dict[str, Column] = {}
     for kind in RULES:
         parts |= _parts(kind)
@@ -107,7 +146,11 @@ def _listed(findings: Column) -> Column:
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = by_path(docs, scan(docs))
+    path = open_ledger(spark)
+    update(docs, path)
+    if update(docs, path):  # the same blobs again: the ledger has them all
+        raise RuntimeError("the ledger has lost blobs that it had scanned")
+    found = by_path(docs, read_ledger(spark, path))
     base = F.filter("findings", lambda f: f["kind"].isin(*BASE))
     count = lambda kind: F.coalesce(F.size(F.filter("findings", lambda f: f["kind"] == kind)), F.lit(0)).cast("long").alias(f"n_{kind}")
     return found.select(

@@ -133,6 +133,18 @@ def test_the_ledger_is_scanned_only_for_what_is_unseen(spark):
     assert kinds == {1: ["assign"], 2: ["pem", "assign"]}
 
 
+def test_a_stored_ledger_is_appended_to(spark):
+    docs = spark.createDataFrame([(i, t, "x") for i, t in enumerate(SECRETS)], "doc_id long, text string, versions string")
+    path = secret_scan.open_ledger(spark)
+    assert secret_scan.update(docs.filter("doc_id < 3"), path, versions=("base-1",)) == 3
+    assert secret_scan.update(docs.filter("doc_id < 3"), path, versions=("base-1",)) == 0
+    assert secret_scan.update(docs, path) == len({t or "" for t in SECRETS})  # three for the second version, the others for both
+    assert secret_scan.update(docs, path) == 0
+    assert secret_scan.update(docs.limit(0), path) == 0
+    found = secret_scan.by_path(docs, secret_scan.read_ledger(spark, path)).collect()
+    assert all([(f["kind"], f["start"], f["end"]) for f in r["findings"]] == spans_of(SECRETS[r["doc_id"]]) for r in found) and len(found) == len(SECRETS)
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
