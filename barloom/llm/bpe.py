@@ -117,21 +117,20 @@ def encode(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", tex
     def put(key, coded, block):
         known = dict(zip(coded.column("to").to_pylist(), coded.column("ids").to_pylist(), strict=True))
         share = key[0].as_py() // SHARE * ranges
-        ids: dict[str, list[int]] = {}
+        ids: dict[str, bytes] = {}
         pieces = _pieces(block)
         for to, own in _dealt(_distinct(pieces), ranges):
-            x = np.frombuffer(_unzip(known[share + to]), np.int32)
-            ends = np.cumsum(x[: len(own)]) + len(own)
-            flat = x.tolist()
-            ids.update((w, flat[a:b]) for w, a, b in zip(own, [len(own), *ends[:-1].tolist()], ends.tolist(), strict=True))
-        runs = {r: ids[p[0]] if len(p) == 1 else [i for x in p for i in ids[x]] for r, p in pieces.items()}
+            flat = _unzip(known[share + to])
+            ends = (4 * (np.cumsum(np.frombuffer(flat, np.int32, len(own))) + len(own))).tolist()
+            ids.update((w, flat[a:b]) for w, a, b in zip(own, [4 * len(own), *ends[:-1]], ends, strict=True))
+        runs = {r: ids[p[0]] if len(p) == 1 else b"".join(map(ids.__getitem__, p)) for r, p in pieces.items()}
         done, out, ends = [], [], [0]
         for docs_ in batches_of(block):
             done.append(docs_.column("id"))
             for text in docs_.column("text").to_pylist():
-                out.append(np.fromiter(chain.from_iterable(map(runs.__getitem__, runs_of(text))), dtype=np.int32))
-                ends.append(ends[-1] + len(out[-1]))
-        flat = pa.array(np.concatenate(out) if out else np.zeros(0, np.int32), pa.int32())
+                out.append(b"".join(map(runs.__getitem__, runs_of(text))))
+                ends.append(ends[-1] + len(out[-1]) // 4)
+        flat = pa.array(np.frombuffer(b"".join(out), np.int32), pa.int32())
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
         return pa.table({"id": pa.concat_arrays(done), "ids": lists})
 
