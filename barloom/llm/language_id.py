@@ -69,13 +69,13 @@ class Model:
         for n in range(min(LONGEST, len(word) + 2), 0, -1):
             known = [self.grams[g] for g in grams_of(word, n) if g in self.grams]
             if known:
-                return self.gram_log[known].mean(axis=0)
+                return np.add.reduce(self.gram_log[known]) / len(known)
         return np.zeros(len(self.langs))
 
     def score(self, words: list[str], memo: dict[str, np.ndarray]) -> tuple[str, float]:
         if not words or not self.langs:
             return UNDECIDED, 0.0
-        rows, times, total = [], [], np.zeros(len(self.langs))
+        rows, times, other, often, total = [], [], [], [], np.zeros(len(self.langs))
         for w, n in Counter(words).items():
             at = self.words.get(w)
             if at is not None:
@@ -86,9 +86,12 @@ class Model:
                     if len(memo) > 100_000:
                         memo.clear()
                     memo[w] = self.unseen(w)
-                total = total + n * memo[w]
+                other.append(memo[w])
+                often.append(n)
         if rows:
             total = total + np.asarray(times, float) @ self.word_log[rows]
+        if other:
+            total = total + np.asarray(often, float) @ np.asarray(other)
         best = int(np.argmax(total))
         return self.langs[best], float(1 / np.exp(total - total[best]).sum())
 
