@@ -125,28 +125,54 @@ def replay(rows: list[dict], rules: Rules) -> tuple[list[dict], list[tuple]]:
     return trades, curve
 
 
-def run_backtest(prices: DataFrame, signals: DataFrame, runs: dict[str, Rules]) -> DataFrame:
-    """All trades of all runs (TRADES). The price rows are repeated for each run."""
-    spark = prices.sparkSession
+EQUITY = "run string, trading_date date, equity double"
+
+
+def _rows_of_runs(prices: DataFrame, signals: DataFrame, runs: dict[str, Rules]) -> DataFrame | None:
     keys = ["provider", "ticker", ORDER]
     each = None
     for name, rules in runs.items():
         placed = ranked_candidates(signals, rules.minimum_score).select(*keys, "place", "atr")
         own = prices.select(*keys, "open", "high", "low", "close").join(placed, keys, "left").withColumn("run", F.lit(name))
         each = own if each is None else each.unionByName(own)
+    return each
 
+
+def _replayed(bars, name: str, rules: Rules):
+    rows = bars.sort_by([(ORDER, "ascending"), ("provider", "ascending"), ("ticker", "ascending")]).to_pylist()
+    return replay(rows, rules)
+
+
+def run_backtest(prices: DataFrame, signals: DataFrame, runs: dict[str, Rules]) -> DataFrame:
+    """All trades of all runs (TRADES). The price rows are repeated for each run."""
+    each = _rows_of_runs(prices, signals, runs)
     names = [c.strip().split(" ")[0] for c in TRADES.split(",")]
 
     def fold(key, bars):
         import pyarrow as pa
 
-        rows = bars.sort_by([(ORDER, "ascending"), ("provider", "ascending"), ("ticker", "ascending")]).to_pylist()
-        trades, _ = replay(rows, runs[key[0].as_py()])
+        run = key[0].as_py()
+        trades, _ = _replayed(bars, run, runs[run])
         kinds = {"entry_date": pa.date32(), "exit_date": pa.date32(), "quantity": pa.int64(), "ambiguous": pa.bool_(), "holding_sessions": pa.int32()}
         kinds |= dict.fromkeys(("run", "provider", "ticker", "exit_reason"), pa.string())
-        return pa.table({n: pa.array([key[0].as_py() if n == "run" else t[n] for t in trades], kinds.get(n, pa.float64())) for n in names})
+        return pa.table({n: pa.array([run if n == "run" else t[n] for t in trades], kinds.get(n, pa.float64())) for n in names})
+
+    return each.groupBy("run").applyInArrow(fold, TRADES) if each is not None else prices.sparkSession.createDataFrame([], TRADES)
+
+
+def equity_curves(prices: DataFrame, signals: DataFrame, runs: dict[str, Rules]) -> DataFrame:
+    """(run, trading_date, equity): cash and holdings at each close; the last day's is the cash after everything is sold."""
+    each = _rows_of_runs(prices, signals, runs)
+
+    def fold(key, bars):
+        import pyarrow as pa
+
+        run = key[0].as_py()
+        _, curve = _replayed(bars, run, runs[run])
+        columns = [[run] * len(curve), [d for d, _ in curve], [float(e) for _, e in curve]]
+        return pa.table({n: pa.array(c, k) for n, c, k in zip(("run", ORDER, "equity"), columns, (pa.string(), pa.date32(), pa.float64()), strict=True)})
 
-    return each.groupBy("run").applyInArrow(fold, TRADES) if each is not None else spark.createDataFrame([], TRADES)
+    return each.groupBy("run").applyInArrow(fold, EQUITY) if each is not None else prices.sparkSession.createDataFrame([], EQUITY)
 
 
 def summarize(trades: DataFrame, initial_cash: float) -> DataFrame:

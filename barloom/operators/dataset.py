@@ -67,6 +67,37 @@ def scope_violations(prices: DataFrame, universe: Universe, start: dt.date, end:
     return rows.unionByName(outside.distinct())
 
 
+def bundle_violations(bundle: DataFrame, features: BlockSet, targets: BlockSet, task: Task, data_end: dt.date | None = None) -> dict[str, int]:
+    """What a bundle may not have, counted in one pass over it (and one over its keys): repeated keys, no target, a target that
+    ends on or before its signal date, or after the data; and whether columns are missing or in another order."""
+    want = [*KEYS, *features.outputs, *targets.outputs, "target_end_date", "eligible", "reasons"]
+    out = {"columns": int(bundle.columns[: len(want)] != want)}
+    if out["columns"]:
+        return out
+    late = F.col("target_end_date") > F.lit(as_date(data_end)) if data_end is not None else F.lit(False)
+    counts = bundle.agg(
+        F.count_if(F.col(task.column).isNull()).alias("missing_target"), F.count_if(F.col("target_end_date") <= F.col(ORDER)).alias("ends_before_signal"),
+        F.count_if(late).alias("ends_after_data"), F.count_if(F.array_contains(F.array(*[F.col(k).isNull() for k in KEYS]), True)).alias("missing_key"),
+    ).first()
+    out |= counts.asDict()
+    return out | {"repeated_key": bundle.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count()}
+
+
+def check_bundle(bundle: DataFrame, features: BlockSet, targets: BlockSet, task: Task, data_end: dt.date | None = None) -> DataFrame:
+    """bundle, if there is nothing wrong with it."""
+    if found := {k: n for k, n in bundle_violations(bundle, features, targets, task, data_end).items() if n}:
+        raise ValueError(f"the bundle is not valid: {found}")
+    return bundle
+
+
+def tabular(bundle: DataFrame, features, target: str) -> DataFrame:
+    """(keys, x array<double> in the order of features, y double, target_end_date): rows for a learner that takes vectors."""
+    if unknown := [c for c in (*features, target) if c not in bundle.columns]:
+        raise ValueError(f"the bundle has no {unknown}")
+    x = F.array(*[F.col(c).cast("double") for c in features])
+    return bundle.select(*KEYS, x.alias("x"), F.col(target).cast("double").alias("y"), "target_end_date")
+
+
 def manifest(bundle: DataFrame, features: BlockSet, task: Task) -> dict:
     """Row count, date ranges, missing values by feature, and the target's classes or moments: one pass."""
     rows = bundle.agg(

@@ -32,6 +32,34 @@ def prediction_violations(p: DataFrame, threshold: float = 0.5) -> DataFrame:
     )
 
 
+def checked(p: DataFrame, threshold: float = 0.5) -> DataFrame:
+    """p, if targets are 0 or 1, scores between 0 and 1, classes what the threshold says, and keys there once."""
+    found = {k: n for k, n in prediction_violations(p, threshold).first().asDict().items() if n}
+    if again := p.groupBy("provider", "ticker", ORDER).agg(F.count(F.lit(1)).alias("n")).filter("n > 1").count():
+        found["repeated_key"] = again
+    if found:
+        raise ValueError(f"the predictions are not valid: {found}")
+    return p
+
+
+RANGES = 64
+
+
+def _in_ranges(at: DataFrame) -> tuple[DataFrame, list[str]]:
+    """One row a score, with the range that it falls in and what lies above that range: running sums go by range, so that no task has
+    all scores. Ranges end at percentiles of the scores; their bounds and totals (RANGES of each) are all that the driver sees."""
+    bounds = at.agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)])).first()[0] or []
+    limits = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
+    at = at.withColumn("__range", F.size(F.filter(limits, lambda b: b > F.col("score"))))
+    above_p, above_n, before = 0.0, 0.0, {}
+    for r in at.groupBy("__range").agg(F.sum("p").alias("p"), F.sum("n").alias("n")).orderBy("__range").collect():
+        before[r["__range"]] = above_p, above_n
+        above_p, above_n = above_p + (r["p"] or 0.0), above_n + (r["n"] or 0.0)
+    of = [before.get(k, (0.0, 0.0)) for k in range(RANGES)]
+    pick = lambda i: F.element_at(F.array(*[F.lit(x[i]) for x in of]), F.col("__range") + 1)
+    return at.withColumns({"p_before": pick(0), "n_before": pick(1), "all_p": F.lit(above_p), "all_n": F.lit(above_n)}), ["__range"]
+
+
 def classification(p: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """Metrics over all rows, or for each group of ``by``; NULL where a class is absent.
 
@@ -44,14 +72,20 @@ def classification(p: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
         F.sum(y).alias("p"), F.sum(1 - y).alias("n"), F.sum("predicted_class").alias("c"), F.sum(F.col("predicted_class") * y).alias("tp_c"),
         F.sum(-(y * F.log(clipped) + (1 - y) * F.log(1 - clipped))).alias("loss"), F.sum((s - y) * (s - y)).alias("sq"),
     )
-    down = Window.partitionBy(*by).orderBy(F.desc("score"))
-    upto = down.rowsBetween(Window.unboundedPreceding, 0)
-    at = at.withColumns({"tp": F.sum("p").over(upto), "fp": F.sum("n").over(upto), "all_p": F.sum("p").over(Window.partitionBy(*by)), "all_n": F.sum("n").over(Window.partitionBy(*by))})
-    at = at.withColumns({"precision_at": F.col("tp") / (F.col("tp") + F.col("fp")), "recall_at": divide("tp", "all_p")})
-    before = lambda c, first: F.lag(c, 1, first).over(down)
+    at, within = (at, list(by)) if by else _in_ranges(at)
+    upto = Window.partitionBy(*within).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
+    if by:
+        every = Window.partitionBy(*by)
+        at = at.withColumns({"p_before": F.lit(0.0), "n_before": F.lit(0.0), "all_p": F.sum("p").over(every), "all_n": F.sum("n").over(every)})
+    at = at.withColumns({"tp": F.col("p_before") + F.sum("p").over(upto), "fp": F.col("n_before") + F.sum("n").over(upto)})
+    tp0, fp0 = F.col("tp") - F.col("p"), F.col("fp") - F.col("n")  # counts, so differences are exact
+    at = at.withColumns({
+        "recall_at": divide("tp", "all_p"), "recall_before": divide(tp0, "all_p"), "precision_at": F.col("tp") / (F.col("tp") + F.col("fp")),
+        "precision_before": F.when(tp0 + fp0 > 0, tp0 / (tp0 + fp0)).otherwise(1.0),
+    })
+    gained = F.col("recall_at") - F.col("recall_before")
     at = at.withColumns({
-        "ap": (F.col("recall_at") - before("recall_at", 0.0)) * F.col("precision_at"),
-        "pr": (F.col("recall_at") - before("recall_at", 0.0)) * (F.col("precision_at") + before("precision_at", 1.0)) / 2.0,
+        "ap": gained * F.col("precision_at"), "pr": gained * (F.col("precision_at") + F.col("precision_before")) / 2.0,
         "auc": F.col("p") * (F.col("all_n") - F.col("fp") + F.col("n") / 2.0),
     })
     rows, P, N = F.sum(F.col("p") + F.col("n")), F.first("all_p"), F.first("all_n")
@@ -156,3 +190,12 @@ def ranking_summary(daily: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("dates"), F.avg("ndcg").alias("mean_ndcg"), F.avg("rank_ic").alias("mean_rank_ic"), F.avg((F.col("rank_ic") > 0).cast("double")).alias("positive_ic_share"),
         F.avg("top_k_mean_return").alias("mean_top_k_return"),
     )
+
+
+def evaluate(p: DataFrame, k: int = 5, bins: int = 10, quantiles: int = 5, seed: int = 0, threshold: float = 0.5) -> dict[str, DataFrame]:
+    """Every table of a report over valid predictions: metrics (one row), calibration, quantiles, top_k, random_top_k, lift, by_date."""
+    p = checked(p, threshold)
+    return {
+        "metrics": classification(p), "calibration": calibration(p, bins), "quantiles": quantile_table(p, quantiles), "top_k": top_k(p, k), "random_top_k": random_top_k(p, k, seed),
+        "lift": lift(p, k, seed), "by_date": by_date_metrics(p, k),
+    }

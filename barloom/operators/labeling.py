@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
+from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -77,3 +79,155 @@ def latest_session(sessions: DataFrame, **where) -> DataFrame:
 def heat_limit(df: DataFrame, x: str, share: float = 0.98) -> DataFrame:
     """One row: the percentile of the absolute finite values."""
     return df.agg(F.percentile(F.abs(finite(x)), share).alias("limit"))
+
+
+@dataclass(frozen=True)
+class LabelingRules:
+    """What is fixed for a session; only the two multiples may change while it goes on."""
+
+    window_size: int = 80
+    step_size: int = 60
+    forward_horizon: int = 10
+    atr_length: int = 14
+    atr_stop_multiple: float = 1.0
+    reward_risk_ratio: float = 2.0
+    commission_rate: float = 0.0025
+    pivot_high_left: int = 15
+    pivot_high_right: int = 15
+    pivot_low_left: int = 15
+    pivot_low_right: int = 15
+
+    def __post_init__(self):
+        whole = (self.window_size, self.step_size, self.forward_horizon, self.atr_length, self.pivot_high_left, self.pivot_high_right, self.pivot_low_left, self.pivot_low_right)
+        if min(whole) < 1 or self.atr_stop_multiple <= 0 or self.reward_risk_ratio < 2 or self.commission_rate < 0:
+            raise ValueError("lengths and the stop multiple must be positive, reward_risk_ratio at least 2")
+
+    def fixed(self) -> dict:
+        return {k: v for k, v in asdict(self).items() if k not in ("atr_stop_multiple", "reward_risk_ratio")}
+
+
+@dataclass(frozen=True)
+class Session:
+    """Progress of one labelling job: which ticker and which of its windows comes next."""
+
+    session_id: str
+    provider: str
+    tickers: tuple[str, ...]
+    rules: LabelingRules
+    created_at: dt.datetime
+    updated_at: dt.datetime
+    ticker_position: int = 0
+    window_position: int = 0
+    completed: bool = False
+
+    @property
+    def ticker(self) -> str:
+        if self.completed or not 0 <= self.ticker_position < len(self.tickers):
+            raise ValueError("the session has no current ticker")
+        return self.tickers[self.ticker_position]
+
+
+def create_session(provider: str, tickers, rules: LabelingRules, now: dt.datetime) -> Session:
+    kept = tuple(dict.fromkeys(t.strip() for t in tickers if t.strip()))
+    if not provider.strip() or not kept:
+        raise ValueError("a session needs a provider and a ticker")
+    return Session(uuid.uuid4().hex, provider, kept, rules, now, now)
+
+
+def save_window(
+    labels: DataFrame | None, session: Session, rules: LabelingRules, window: DataFrame, window_position: int, positive_dates, now: dt.datetime,
+    next_ticker: int | None = None, next_window: int | None = None, completed: bool | None = None,
+) -> tuple[DataFrame, Session]:
+    """(labels with all of a window labelled, the session moved on). window has the planned dates (trading_date) of the current ticker.
+
+    Refused: a completed session, other rules than the session's, a window that isn't the current one, positive dates outside the
+    window, positions that don't exist.
+    """
+    if session.completed:
+        raise ValueError("the session is completed")
+    if rules.fixed() != session.rules.fixed():
+        raise ValueError("the rules differ from the session's")
+    if window_position != session.window_position:
+        raise ValueError(f"the session is at window {session.window_position}, not {window_position}")
+    planned = {r[0] for r in window.select(ORDER).distinct().collect()}  # a window's dates, as many as its size
+    if outside := sorted(set(positive_dates) - planned):
+        raise ValueError(f"dates outside the window: {outside}")
+    if next_ticker is not None and not 0 <= next_ticker < len(session.tickers) or next_window is not None and next_window < 0:
+        raise ValueError("there is no such position")
+    spark = window.sparkSession
+    at = lambda dates: spark.createDataFrame([(session.session_id, session.provider, session.ticker, d) for d in sorted(dates)], "session_id string, provider string, ticker string, trading_date date")
+    merged = merge_labels(labels, at(planned), at(set(positive_dates)), now)
+    moved = replace(
+        session, rules=replace(session.rules, atr_stop_multiple=rules.atr_stop_multiple, reward_risk_ratio=rules.reward_risk_ratio), updated_at=now,
+        ticker_position=session.ticker_position if next_ticker is None else next_ticker, window_position=session.window_position if next_window is None else next_window,
+        completed=session.completed if completed is None else completed,
+    )
+    return merged, moved
+
+
+def prepare_frame(bars: DataFrame, rules: LabelingRules) -> DataFrame:
+    """bars with ema_10, ema_20, ema_50, atr, pivot_high and pivot_low, for all instruments at once."""
+    from barloom.operators.structure import add_pivot_points
+    from barloom.operators.trend import add_atr, add_ema
+
+    if missing := sorted({"open", "high", "low", "close", "volume"} - set(bars.columns)):
+        raise ValueError(f"columns are missing: {missing}")
+    df = add_ema(bars, "close", 10, 20, 50, names=["ema_10", "ema_20", "ema_50"])
+    df = add_atr(df, rules.atr_length)
+    out = add_pivot_points(df, high_left=rules.pivot_high_left, high_right=rules.pivot_high_right, low_left=rules.pivot_low_left, low_right=rules.pivot_low_right)
+    return out.select(*df.columns, "pivot_high", "pivot_low")
+
+
+def prepare_universe(bronze: DataFrame, provider: str, tickers, end: dt.date, rules: LabelingRules, start: dt.date | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(frames, windows, skipped): cleaned bars with indicators and the windows of the tickers that have one; of the others, why not.
+
+    Windows begin no earlier than start. skipped: (ticker, reason).
+    """
+    from barloom.operators.quality import clean_prices
+    from barloom.sources.bars import load_daily_prices
+
+    asked = list(dict.fromkeys(tickers))
+    spark = bronze.sparkSession
+    rows = load_daily_prices(bronze, provider, asked, None, end, ["open", "high", "low", "close", "adjusted_close", "volume"])
+    frames = prepare_frame(clean_prices(rows), rules)
+    first = frames.filter(F.col(ORDER) >= F.lit(start)) if start is not None else frames
+    windows = plan_windows(first, rules.window_size, rules.step_size, rules.forward_horizon)
+    there, able = rows.select("ticker").distinct(), windows.select("ticker").distinct()
+    wanted = spark.createDataFrame([(t,) for t in asked], "ticker string")
+    short = F.lit(f"insufficient usable history for one window of {rules.window_size} and {rules.forward_horizon} sessions after it")
+    skipped = wanted.join(able, "ticker", "left_anti").join(there.withColumn("__there", F.lit(True)), "ticker", "left").select("ticker", F.when(F.col("__there"), short).otherwise("no price rows").alias("reason"))
+    return frames.join(able, "ticker", "left_semi"), windows, skipped
+
+
+def context_slice(frames: DataFrame, windows: DataFrame, rules: LabelingRules) -> DataFrame:
+    """(window, in_window, all columns of frames): each window's rows with half a window around them, after it at least the forward horizon."""
+    around = max(1, rules.window_size // 2)
+    rows = frames.withColumn("__row", position() - 1)
+    w = windows.select(*KEYS, "window", "first_row", "last_row")
+    met = rows.join(w, list(KEYS)).filter((F.col("__row") >= F.col("first_row") - around) & (F.col("__row") <= F.col("last_row") + max(around, rules.forward_horizon)))
+    return met.select("window", F.col("__row").between(F.col("first_row"), F.col("last_row")).alias("in_window"), *frames.columns)
+
+
+def viewport(frames: DataFrame, windows: DataFrame, sessions: int) -> DataFrame:
+    """(keys, window, first_date, last_date) of a view of so many sessions centred on the window; beyond the history in business days."""
+    rows = frames.select(*KEYS, ORDER, (position() - 1).alias("__row"))
+    ends = rows.groupBy(*KEYS).agg(F.min(ORDER).alias("__a"), F.max(ORDER).alias("__z"), (F.count(F.lit(1)) - 1).alias("__last"))
+    center = F.floor((F.col("first_row") + F.col("last_row")) / 2)
+    view = windows.select(*KEYS, "window", (center - sessions // 2).alias("__from"), (center + sessions // 2).alias("__to")).join(ends, list(KEYS))
+    for side, name in (("__from", "first_date"), ("__to", "last_date")):
+        at = rows.select(*KEYS, F.col("__row").alias(side), F.col(ORDER).alias(f"{side}_date"))
+        view = view.join(at, [*KEYS, side], "left")
+        beyond = F.when(F.col(side) < 0, _business_days("__a", F.col(side))).otherwise(_business_days("__z", F.col(side) - F.col("__last")))
+        view = view.withColumn(name, F.coalesce(f"{side}_date", beyond))
+    return view.select(*KEYS, "window", "first_date", "last_date")
+
+
+def _business_days(day: str, n):
+    """The date n business days from a day; from a weekend, counting starts at the Friday before (onwards) or the Monday after (back)."""
+    d = F.weekday(day)  # Monday is 0
+    on = F.when(d > 4, F.date_sub(F.col(day), (d - 4).cast("int"))).otherwise(F.col(day))
+    back = F.when(d > 4, F.date_add(F.col(day), (7 - d).cast("int"))).otherwise(F.col(day))
+    w = lambda x: F.weekday(x)
+    ahead = F.date_add(on, (n + 2 * F.floor((w(on) + n) / 5)).cast("int"))
+    behind = F.date_add(back, (n + 2 * F.floor((w(back) + n) / 5)).cast("int"))
+    return F.when(n >= 0, ahead).otherwise(behind)

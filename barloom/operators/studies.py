@@ -38,14 +38,53 @@ def relevance_by_cut(df: DataFrame, x: str, cuts=(0.50, 0.75, 0.90, 0.97), name:
     return df.withColumn(name, F.when(share.isNotNull(), sum((share > c).cast("int") for c in cuts)))
 
 
+def _pairs_alike(sorted_values) -> int:
+    """Pairs of equal values of a sorted array."""
+    import numpy as np
+
+    _, n = np.unique(sorted_values, return_counts=True)
+    return int((n * (n - 1) // 2).sum())
+
+
+def inversions(rank) -> int:
+    """Pairs i < j with rank[i] > rank[j], by merging sorted runs of doubling length: all runs of a length at once."""
+    import numpy as np
+
+    rank = np.asarray(rank, np.int64)
+    n, total, width = len(rank), 0, 1
+    top = int(rank.max(initial=0)) + 1
+    while width < n:
+        pair = np.arange(n) // (2 * width)
+        right = (np.arange(n) // width) % 2 == 1
+        key = pair * top + rank
+        left_keys = np.sort(key[~right])
+        upto = np.searchsorted(left_keys, key[right], side="right")
+        ends = np.searchsorted(left_keys, (pair[right] + 1) * top, side="left")
+        total += int((ends - upto).sum())
+        width *= 2
+    return total
+
+
 def kendall_by_date(p: DataFrame, x: str = "score", y: str = "ranking_return", by=("provider", ORDER)) -> DataFrame:
-    """Tau-b by date. The rows of a date meet in pairs, so this is for dates of some hundreds of instruments."""
-    rows = p.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, "ticker", F.col(x).alias("x"), F.col(y).alias("y"))
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in by] + [F.col("a.ticker") < F.col("b.ticker")])
-    dx, dy = F.signum(F.col("a.x") - F.col("b.x")), F.signum(F.col("a.y") - F.col("b.y"))
-    counts = met.groupBy(*[F.col(f"a.{c}").alias(c) for c in by]).agg(F.sum(dx * dy).alias("s"), F.sum(F.abs(dx)).alias("nx"), F.sum(F.abs(dy)).alias("ny"))
-    return counts.select(*by, divide("s", F.sqrt(F.col("nx") * F.col("ny"))).alias("kendall"))
+    """Tau-b by date: the rows of a date are sorted and inversions counted, n log n steps; a date has one row an instrument."""
+    rows = p.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+
+    def tau(key, t):
+        import numpy as np
+        import pyarrow as pa
+
+        a, b = (np.unique(t.column(c).to_numpy(), return_inverse=True)[1] for c in ("x", "y"))
+        a, b = a[order := np.lexsort((b, a))], b[order]
+        n = len(a)
+        every, same_x, same_y = n * (n - 1) // 2, _pairs_alike(a), _pairs_alike(np.sort(b))
+        same_both = _pairs_alike(np.sort(a.astype(np.int64) * (n + 1) + b))
+        against = inversions(b)  # within equal x, y ascends, so those pairs don't count
+        s = every - same_x - same_y + same_both - 2 * against
+        whole = float(every - same_x) * float(every - same_y)
+        return pa.table({**{c: [k.as_py()] for c, k in zip(by, key, strict=True)}, "kendall": pa.array([s / whole**0.5 if whole else None], pa.float64()), "pairs": pa.array([every], pa.int64())})
+
+    keys = ", ".join(f"{c} {dict(p.dtypes)[c]}" for c in by)
+    return rows.groupBy(*by).applyInArrow(tau, f"{keys}, kendall double, pairs long").filter("pairs > 0").drop("pairs")
 
 
 def daily_ic(p: DataFrame) -> DataFrame:
@@ -132,3 +171,19 @@ def short_horizon_targets(bars: DataFrame, horizons=(1, 2, 3), atr: str = "atr",
         ok = (F.abs(raw) <= max_raw) & (F.abs(units) <= max_units) & (share >= least_atr)
         out |= {f"raw_return_{h}d": F.when(ok, raw), f"atr_return_{h}d": F.when(ok, units)}
     return bars.withColumns(out)
+
+
+def prune_features(current, importance: dict[str, float], pool, iteration: int, protected=(), least: int = 20, drop_share: float = 0.1, add: int = 5, seed: int = 0) -> tuple[tuple, tuple, tuple]:
+    """(next columns in the order of pool, dropped, added): the least important go, as many at most come back at random from the pool.
+
+    Lists of names only, so it runs on the driver.
+    """
+    from random import Random
+
+    may_go = sorted((c for c in current if c not in set(protected)), key=lambda c: importance.get(c, 0.0))
+    n = min(max(0, len(current) - least), max(1, round(len(current) * drop_share)), len(may_go))
+    dropped = tuple(may_go[:n])
+    kept = set(current) - set(dropped)
+    rest = [c for c in pool if c not in kept]
+    added = tuple(Random(seed + iteration).sample(rest, min(add, n, len(rest))))
+    return tuple(c for c in pool if c in kept | set(added)), dropped, added

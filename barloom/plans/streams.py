@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import functions as F
@@ -23,12 +24,18 @@ SQL["s01_event_bars"] = "SELECT event_type AS ticker, time_bucket(INTERVAL 1 hou
 
 
 def _streamed_bars(spark, d):
-    """The same from a stream: all that is there, in complete mode, so that every window is reported."""
-    name = f"bars_{uuid.uuid4().hex}"
+    """The same from a stream: all that is there, in complete mode; each batch's windows replace the folder's."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='barloom-')}"
+    out = f"{root}/bars-{uuid.uuid4().hex}"
     events = spark.readStream.schema(bars.EVENTS).parquet(d + "/events.parquet*")
-    stream = bars.event_bars(events).writeStream.format("memory").outputMode("complete").queryName(name).trigger(availableNow=True).start()
+    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/table")
+    stream = bars.event_bars(events).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.table(name).select("ticker", "trading_date", "open", "high", "low", "close", "volume")
+    return spark.read.parquet(f"{out}/table").select("ticker", "trading_date", "open", "high", "low", "close", "volume")
 
 
 QUERIES["s02_streamed_bars"] = _streamed_bars

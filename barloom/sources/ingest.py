@@ -42,3 +42,24 @@ def ingest(existing: DataFrame | None, source: Source, plan: list[tuple[str, dt.
             new = got if new is None else new.unionByName(got)
     out.table = upsert(existing, new) if new is not None else existing
     return out
+
+
+@dataclass
+class Onboarded:
+    before: DataFrame
+    after: DataFrame
+    ingested: Ingested
+
+
+def onboard(existing: DataFrame | None, source: Source, active: DataFrame, start: dt.date, end: dt.date, provider=None, backfill: bool = True, strict: bool = False) -> Onboarded:
+    """Report which active tickers have bars, fetch those that have none, and report again. ``backfill=False`` only reports."""
+    from barloom.operators.quality import onboarding
+    from barloom.sources.bars import BRONZE
+
+    table = existing if existing is not None else active.sparkSession.createDataFrame([], BRONZE)
+    before = onboarding(active, table, provider)
+    if not backfill:
+        return Onboarded(before, before, Ingested(existing))
+    missing = [r["ticker"] for r in before.filter("status = 'missing'").orderBy("ticker").collect()]  # tickers, as few as a universe has
+    got = ingest(existing, source, [(t, start, end) for t in missing], strict)
+    return Onboarded(before, onboarding(active, got.table if got.table is not None else table, provider), got)
