@@ -1,8 +1,8 @@
 """Replay of signals over daily bars: one portfolio a run, many runs at once.
 
-Spark ranks the candidates of each date, finds the next session and groups the rows of a run; within a run, cash and slots
-couple all instruments from day to day, so a run is folded in order by one task. Parallelism comes from runs (parameters
-to compare), which are the group key.
+Spark ranks the candidates of each date and keeps, of all bars, those of the candidates' tickers while a position may be held;
+within a run, cash and slots couple all instruments from day to day, so what is kept of a run is folded in order by one task.
+Parallelism comes from runs (parameters to compare), which are the group key.
 """
 
 from __future__ import annotations
@@ -57,7 +57,9 @@ def replay(rows: list[dict], rules: Rules) -> tuple[list[dict], list[tuple]]:
     """(trades, equity by date) of one run. rows: bars in order of date and ticker, place, score and atr where they signal."""
     days: dict = {}
     for r in rows:
-        days.setdefault(r["trading_date"], {})[r["provider"], r["ticker"]] = r
+        bars = days.setdefault(r["trading_date"], {})
+        if r["ticker"] is not None:  # else a session without a bar that matters
+            bars[r["provider"], r["ticker"]] = r
     dates = sorted(days)
     cash, held, pending, trades, curve = rules.initial_cash, {}, [], [], []
     fee = rules.commission_rate
@@ -129,11 +131,17 @@ EQUITY = "run string, trading_date date, equity double"
 
 
 def _rows_of_runs(prices: DataFrame, signals: DataFrame, runs: dict[str, Rules]) -> DataFrame | None:
+    """What a run depends on: placed candidates, the bars of their tickers while a position may be held (rows, since a session
+    without a bar doesn't count), and every session once, without a ticker."""
     keys = ["provider", "ticker", ORDER]
-    each = None
+    figures = ["open", "high", "low", "close"]
+    bars, each = prices.select(*keys, *figures), None
+    sessions = bars.select(ORDER).distinct()
     for name, rules in runs.items():
         placed = ranked_candidates(signals, rules.minimum_score).select(*keys, "place", "atr")
-        own = prices.select(*keys, "open", "high", "low", "close").join(placed, keys, "left").withColumn("run", F.lit(name))
+        since = Window.partitionBy("provider", "ticker").orderBy(ORDER).rowsBetween(-(rules.max_holding_sessions + 2), 0)
+        own = bars.join(placed, keys, "left").withColumn("__near", F.max(F.col("place").isNotNull()).over(since)).filter("__near").drop("__near")
+        own = own.unionByName(sessions, allowMissingColumns=True).withColumn("run", F.lit(name))
         each = own if each is None else each.unionByName(own)
     return each
 
@@ -144,7 +152,7 @@ def _replayed(bars, name: str, rules: Rules):
 
 
 def run_backtest(prices: DataFrame, signals: DataFrame, runs: dict[str, Rules]) -> DataFrame:
-    """All trades of all runs (TRADES). The price rows are repeated for each run."""
+    """All trades of all runs (TRADES)."""
     each = _rows_of_runs(prices, signals, runs)
     names = [c.strip().split(" ")[0] for c in TRADES.split(",")]
 

@@ -50,11 +50,13 @@ def _upsert(spark, d):
     return store.upsert(first, second).select("provider", "ticker", "trading_date", F.col("close").cast("double").alias("close"), "request_id")
 
 
-@query("a09_wide_to_long", with_(BARS, select="SELECT 'p' AS provider, ticker, trading_date, close, volume::DOUBLE AS volume FROM b WHERE ticker IN ('Brand#11', 'Brand#12')"))
+@query("a09_wide_to_long", with_(BARS, select="SELECT 'p' AS provider, ticker, trading_date, close, volume::DOUBLE AS volume FROM b"))
 def _wide(spark, d):
-    b = bars_week(spark, d).filter(F.col("ticker").isin("Brand#11", "Brand#12"))
-    wide = b.groupBy("trading_date").agg(*[F.max(F.when(F.col("ticker") == t, F.col(c))).alias(f"{t}|{f}") for t in ("Brand#11", "Brand#12") for f, c in (("Close", "close"), ("Volume", "volume"))])
-    return store.normalize_wide(wide, "p", "r", dt.datetime(2024, 1, 1), {"Close": "close", "Volume": "volume"}, ["Brand#11", "Brand#12"]).select("provider", "ticker", "trading_date", "close", "volume")
+    b = bars_week(spark, d)
+    tickers = sorted(r[0] for r in spark.read.parquet(f"{d}/part.parquet").select("p_brand").distinct().collect())  # brands: the columns of the wide table
+    wide = b.groupBy("trading_date").pivot("ticker", tickers).agg(F.max("close").alias("Close"), F.max("volume").alias("Volume"))
+    wide = wide.withColumnsRenamed({f"{t}_{f}": f"{t}|{f}" for t in tickers for f in ("Close", "Volume")})
+    return store.normalize_wide(wide, "p", "r", dt.datetime(2024, 1, 1), {"Close": "close", "Volume": "volume"}, tickers).select("provider", "ticker", "trading_date", "close", "volume")
 
 
 @query("b01_price_state", with_(BARS, select="SELECT ticker, count(*) AS row_count, min(trading_date) AS first_date, max(trading_date) AS last_date FROM b WHERE trading_date <= DATE '2000-12-31' GROUP BY ticker"))
