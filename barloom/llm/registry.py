@@ -22,6 +22,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op1_url_filter": url_filter.ORACLE,
         "op6_secret_scan": secret_scan.ORACLE,
         "op7_exact_dedup": exact_dedup.ORACLE,
         "op9_suffix_dedup": suffix_dedup.ORACLE,

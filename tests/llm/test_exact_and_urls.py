@@ -96,3 +96,27 @@ def test_a_host_that_links_to_blocked_hosts_is_blocked(spark):
     got = {r["page_id"]: r["verdict"] for r in url_filter.filter_urls(pages).collect()}
     assert got == {1: "block", 2: "block", 3: "allow"}
     assert url_filter.filter_urls(pages.limit(0)).count() == 0
+
+
+def test_the_query_over_linked_pages_equals_its_sql(spark, tmp_path):
+    import duckdb
+
+    rng = np.random.default_rng(8)
+    hosts = ["a.net", "b.net", "example.com", "www.example.org", "x.info", "y.info", "Z.info", "example.net"]
+    rows = []
+    for k in range(60):
+        h = hosts[int(rng.integers(len(hosts)))]
+        links = "".join(f'<a href="http://{hosts[int(j)]}/p">x</a>' for j in rng.integers(len(hosts), size=int(rng.integers(0, 4))))
+        rows.append((k, f"http://{h}/{('fr', 'de', 'en', 'p')[int(rng.integers(4))]}/{k}?q#f", links or None))
+    rows += [(100, None, None), (101, "no scheme", "<a href=//a.net/>"), (102, "http://", ""), (103, "x://H.NET", "<a href='http://[bad'>"), rows[0], rows[0]]
+    spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    df = url_filter.op1_url_filter(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
+    want = con.execute(url_filter._oracle(90))
+    columns = [c[0] for c in want.description]
+    key = lambda r: [(x is None, str(x)) for x in r]
+    got, want = sorted(map(tuple, df.select(*columns).collect()), key=key), sorted(want.fetchall(), key=key)
+    assert [r[:5] for r in got] == [r[:5] for r in want]
+    assert all(a[5:] == pytest.approx(b[5:], abs=1e-4) for a, b in zip(got, want, strict=True))
+    assert any(r[5] not in (0.0, 1.0) for r in got)
