@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from barloom.llm.common import table, written
+from barloom.llm.common import fresh, table, written
 
 SALTS = 16
 SPACES = r"[\x20\x09-\x0D]+"
@@ -75,15 +75,16 @@ def _with_class(rows: DataFrame, classes: DataFrame, on: list[str]) -> DataFrame
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, with all their columns."""
-    kept = group_copies(docs, id_col, text_col).filter("kept")
-    kept = kept.groupBy(F.col(id_col).alias("__id"), F.col("digest").alias("__kept")).agg(F.count(F.lit(1)).alias("__n"))
+    id_, own, kept_, n = (fresh(x) for x in ("id", "digest", "kept", "n"))
+    kept = group_copies(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "id", "text").filter("kept")
+    kept = kept.groupBy(F.col("id").alias(id_), F.col("digest").alias(kept_)).agg(F.count(F.lit(1)).alias(n))
     kept = written(kept, "kept")
-    here = docs.withColumn("__digest", F.sha2(normalised(F.col(text_col)), 256))
-    same = F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col("__kept"))
+    here = docs.withColumn(own, F.sha2(normalised(F.col(text_col)), 256))
+    same = F.col(id_col).eqNullSafe(F.col(id_)) & (F.col(own) == F.col(kept_))
     out = here.join(kept, same, "left_semi")
-    if not kept.filter("__n > 1").isEmpty():
-        out = out.dropDuplicates([id_col, "__digest"])
-    return out.select(*docs.columns)
+    if not kept.filter(F.col(n) > 1).isEmpty():
+        out = out.dropDuplicates([id_col, own])
+    return out.drop(own)
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
