@@ -13,7 +13,7 @@ splits for a frequent passage; no list of the documents of a passage is ever mad
 Defined cases: null and empty texts have no sentence and stay empty; a text with fewer than SPAN sentences, or with
 fewer than SPAN_WORDS words, is one span of its own only if it has both; rows with the same doc_id count as one document
 for each other (neither removes the other's sentences); a null doc_id comes after all others; an empty table gives
-an empty result; other columns pass through ``remove_repeats`` (``n_sentences`` and ``n_removed`` are replaced).
+an empty result; ids are integers, or strings of digits; texts of any length are read whole; other columns pass through ``remove_repeats`` (``n_sentences`` and ``n_removed`` are replaced).
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from barloom.llm.common import table, written
+from barloom.llm.common import fresh, table, written
 
 SPAN = 3
 SPAN_WORDS = 10
@@ -114,7 +114,9 @@ def spans_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
                 h[more] = _mixed(h[more] * prime + own[first[more] + k, half])
             both.append(h)
     again = np.ones(len(runs), bool)
-    again[np.unique(both[0], return_index=True)[1]] = False  # the first run, in order, with a hash
+    _, at, of = np.unique(both[0], return_index=True, return_inverse=True)
+    again[at] = False  # the first run, in order, with a hash
+    again &= both[1] == both[1][at[of]]  # and both halves agree
     return both[0].view(np.int64), both[1].view(np.int64), first, last, again
 
 
@@ -137,7 +139,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     found = written(rows.mapInArrow(spans, "h1 long, h2 long, doc long, i int, j int, again boolean"), "spans")
     first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
     repeats = found.join(first, ["h1", "h2"]).filter("doc > first OR again").select("doc", F.struct("i", "j").alias("run"))
-    cuts = repeats.groupBy("doc").agg(F.collect_set("run").alias("__runs"))
+    runs_, doc_ = fresh("runs"), fresh("doc")
+    cuts = repeats.groupBy(F.col("doc").alias(doc_)).agg(F.collect_set("run").alias(runs_))
     fields = [f for f in docs.schema.fields if f.name not in ("n_sentences", "n_removed")]
     names = [f.name for f in fields]
     at = names.index(text_col)
@@ -158,8 +161,8 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             yield pa.RecordBatch.from_arrays([*own, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_sentences", "n_removed"])
 
     out = StructType([*fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
-    here = docs.select(*[f"`{n}`" for n in names]).withColumn("__doc", doc)
-    return here.join(cuts.withColumnRenamed("doc", "__doc"), "__doc", "left").drop("__doc").mapInArrow(cut, out)
+    here = docs.select(*[f"`{n}`" for n in names]).withColumn(doc_, doc)
+    return here.join(cuts, doc_, "left").drop(doc_).mapInArrow(cut, out)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
