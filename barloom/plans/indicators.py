@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.core import by_ticker, ema_alpha, wilder_alpha
-from barloom.operators import candles, cross_section, structure, targets, trend, volatility
+from barloom.operators import candles, cross_section, features, structure, targets, trend, volatility
 from barloom.plans import flagship, sql
 from barloom.plans.sql import BARS, HOURS, KEYS, LAG, TRUE_RANGE, div, ewm, frame, r6, rolling, with_
 from barloom.sources.bars import bars_hour, bars_week
@@ -208,6 +208,68 @@ add("p05_zigzag_state", lambda b: structure.add_zigzag_state(b).withColumnsRenam
 _Z = ("zigzag_last_direction", "zigzag_last_swing_return", "zigzag_last_swing_bars", "zigzag_swing_return_per_bar", "zigzag_bars_since_pivot", "zigzag_retracement")
 add("p09_zigzag_features", lambda b: structure.add_zigzag_features(b), *_Z, "market_structure_high_change", "market_structure_low_rate", "market_structure_leg_balance", "market_structure_efficiency")
 
+# feature families: the indicators above over adjusted bars, under the names that the families give them
+ADJUSTED = BARS.replace("b AS (", "raw AS (", 1) + """,
+b AS (SELECT provider, ticker, trading_date, open * (adjusted_close / close) AS open, high * (adjusted_close / close) AS high, low * (adjusted_close / close) AS low,
+  adjusted_close AS close, volume, adjusted_close FROM raw)"""
+
+
+def _over_adjusted(*parts: tuple[str, dict[str, str]]) -> str:
+    """Columns, under other names, of several oracles joined by key, each over adjusted bars."""
+    asked = [f"{name}.{old} AS {new}" for name, columns in parts for old, new in columns.items()]
+    sources = [f"({SQL[name].replace(BARS, ADJUSTED)}) {name}" for name, _ in parts]
+    return f"SELECT {KEYS}, {', '.join(asked)} FROM {sources[0]} " + " ".join(f"JOIN {x} USING ({KEYS})" for x in sources[1:])
+
+
+def _percent_b(x: str) -> str:
+    m, s = rolling("avg", x, 20), rolling("stddev_pop", x, 20)
+    return div(f"{x} - (({m}) - 2.0 * ({s}))", f"4.0 * ({s})")
+
+
+_EMAS = {"fast": 10, "mid": 20, "slow": 50}
+add(
+    "x05_trend_family", lambda b: features.add_trend_features(b), *features.TREND,
+    oracle=with_(
+        ADJUSTED, *[ewm(n, "b", "close", ema_alpha(k), k) for n, k in _EMAS.items()],
+        f"f AS (SELECT b.*, fast.y AS ef, mid.y AS em, slow.y AS es, {', '.join(f'CASE WHEN {n}.y IS NOT NULL THEN CAST(close > {n}.y AS INT) END AS up_{n}' for n in _EMAS)} FROM b JOIN fast USING ({KEYS}) JOIN mid USING ({KEYS}) JOIN slow USING ({KEYS}))",
+        f"v AS (SELECT *, {div('close', div(rolling('sum', '((high + low + close) / 3.0 * volume)', 20), rolling('sum', 'volume', 20)))} - 1 AS vd FROM f)",
+        f"adx AS ({SQL['m09_adx'].replace(BARS, ADJUSTED)})",
+        select=f"SELECT {KEYS}, round({div('ef', 'em')} - 1, 6) AS ema_fast_to_ema_mid, round({div('em', 'es')} - 1, 6) AS ema_mid_to_ema_slow, round({div('em', rolling('avg', 'close', 20))} - 1, 6) AS ema_mid_to_sma_mid, "
+        + ", ".join(f"round({div('close', x)} - 1, 6) AS close_to_ema_{n}, round({frame('avg', f'up_{n}', -20, -1)}, 6) AS close_over_ema_{n}_fraction" for n, x in (("fast", "ef"), ("mid", "em"), ("slow", "es")))
+        + f", round(vd, 6) AS vwap_distance, round({_percent_b('vd')}, 6) AS vwap_distance_percent_b, adx, plus_di, minus_di FROM v JOIN adx USING ({KEYS})",
+    ),
+)
+_PPO = (ewm("pf", "b", "close", ema_alpha(12), 12), ewm("ps", "b", "close", ema_alpha(26), 26), f"pm AS (SELECT {KEYS}, {div('pf.y - ps.y', 'ps.y')} AS line FROM pf JOIN ps USING ({KEYS}))", ewm("pg", "pm", "line", ema_alpha(9), 9))
+add(
+    "x06_momentum_family", lambda b: features.add_momentum_features(b), *features.MOMENTUM,
+    oracle=with_(
+        ADJUSTED, *_PPO, f"pn AS (SELECT pm.*, pg.y AS signal, count(line) OVER ({sql.P.replace('provider, ticker', 'pm.provider, pm.ticker').replace('BY trading_date', 'BY pm.trading_date')}) AS seen FROM pm JOIN pg USING ({KEYS}))",
+        "pe AS (SELECT x.provider, x.ticker, x.trading_date, CASE WHEN x.line IS NOT NULL AND x.seen > 100 THEN CAST(count_if(o.line <= x.line) AS DOUBLE) / (x.seen - 1) END AS pct FROM pn x LEFT JOIN pn o ON o.provider = x.provider AND o.ticker = x.ticker AND o.trading_date < x.trading_date GROUP BY x.provider, x.ticker, x.trading_date, x.line, x.seen)",
+        *_rsi(21), f"rs AS (SELECT {KEYS}, {div('100 * g.y', 'g.y + l.y')} AS rsi FROM g JOIN l USING ({KEYS}))",
+        *(x.replace("t AS (", "mt AS (", 1).replace("d AS (", "md AS (", 1).replace("s AS (", "ms AS (", 1).replace("FROM t)", "FROM mt)").replace("FROM d)", "FROM md)") for x in _MFI),
+        f"mf AS (SELECT {KEYS}, {div(f'100 * ({rolling("sum", "pos", 14)})', f'({rolling("sum", "pos", 14)}) + ({rolling("sum", "neg", 14)})')} AS mfi FROM ms)",
+        f"st AS ({SQL['m06_stochastic'].replace(BARS, ADJUSTED)})", f"sq AS ({SQL['m12_squeeze'].replace(BARS, ADJUSTED)})",
+        f"al AS (SELECT {KEYS}, line, signal, pct, rsi, mfi FROM pn JOIN pe USING ({KEYS}) JOIN rs USING ({KEYS}) JOIN mf USING ({KEYS}))",
+        select=f"SELECT {KEYS}, round(line, 6) AS ppo, round(signal, 6) AS ppo_signal, round(line - signal, 6) AS ppo_histogram, round(pct, 6) AS ppo_percentile, round(rsi, 6) AS rsi, round({_percent_b('rsi')}, 6) AS rsi_percent_b, stochastic_k, stochastic_d, round(mfi, 6) AS mfi, round({_percent_b('mfi')}, 6) AS mfi_percent_b, "
+        + ", ".join(c for c in _SQUEEZE if c != "squeeze_momentum") + f" FROM al JOIN st USING ({KEYS}) JOIN sq USING ({KEYS})",
+    ),
+)
+add(
+    "x07_volatility_family", lambda b: features.add_volatility_features(b), *features.VOLATILITY,
+    oracle=_over_adjusted(("v04_adr", {"adr_percent": "adr_percent"}), ("v03_atr_percent", {"atr_percent": "atr_percent"}), ("v06_bandwidth", {"bandwidth": "bollinger_bandwidth"}), ("v07_percent_b", {"percent_b": "bollinger_percent_b"})),
+)
+_ACTION = {
+    "c01_geometry": {n: f"candle_{n}" for n in ("signed_body_fraction", "upper_wick_fraction", "lower_wick_fraction", "close_location")},
+    "c02_range_context": {"range_atr": "candle_range_atr", "gap_atr": "candle_gap_atr", "range_percentile": "range_percentile_20"},
+    "c04_patterns": {n: f"candle_{n}" for n in _PATTERN},
+    "c05_direction_runs": {n: f"candle_{n}" for n in ("direction_run", "direction_run_return", "direction_run_body_atr")},
+    "c06_level_interactions": dict(zip(_LEVELS, (f"candle_{n}_20" for n in ("close_to_prior_high_atr", "close_to_prior_low_atr", "breakout_high_strength", "breakout_low_strength", "failed_breakout_high_strength", "failed_breakout_low_strength")), strict=True)),
+    "c08_bullish_fraction": {"fraction_before": "rolling_bullish_candle_fraction"},
+}
+add("x08_price_action_family", lambda b: features.add_price_action_features(b), *[n for columns in _ACTION.values() for n in columns.values()], oracle=_over_adjusted(*_ACTION.items()))
+add("x09_volume_family", lambda b: features.add_volume_features(b), "turnover_zscore", oracle=with_(BARS, "t AS (SELECT *, ln(1 + close * volume) AS x FROM b)", select=f"SELECT {KEYS}, round({div('x - (' + frame('median', 'x', -251, -1) + ')', frame('stddev_pop', 'x', -251, -1))}, 6) AS turnover_zscore FROM t"))
+add("x10_market_structure_family", lambda b: features.add_market_structure_features(b), *features.STRUCTURE)
+
 # returns and cross-section
 _RET = ", ".join(f"round(adjusted_close / lag(adjusted_close, {h}) {LAG} - 1, 6) AS return_{h}d" for h in (1, 5, 10, 20))
 add("x01_returns", lambda b: cross_section.add_returns(b), "return_1d", "return_5d", "return_10d", "return_20d", oracle=plain(_RET))

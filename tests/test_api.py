@@ -246,3 +246,69 @@ def test_zigzag_equals_brute_force(spark):
         for before, after in itertools.pairwise(pivots):
             r = own[after[0]]
             assert r["zigzag_bars"] == after[0] - before[0] and r["zigzag_return"] == pytest.approx(after[1] / before[1] - 1)
+
+
+def _tau(values):
+    signs = [(b > a) - (b < a) for a, b in itertools.combinations(values, 2)]
+    untied = sum(s != 0 for s in signs)
+    return sum(signs) / math.sqrt(len(signs) * untied) if untied else None
+
+
+def _middle(values):
+    values = sorted(values)
+    n = len(values)
+    return (values[(n - 1) // 2] + values[n // 2]) / 2
+
+
+def test_zigzag_state_and_features_equal_brute_force(spark):
+    bars = _bars(spark, "AB", 150, 12)
+    state = {(r["ticker"], r["trading_date"]): r for r in structure.add_zigzag_state(bars, 5.0, 6).collect()}
+    feats = {(r["ticker"], r["trading_date"]): r for r in structure.add_zigzag_features(bars, 5.0, 6).collect()}
+    same = lambda got, want: got is None if want is None else got == pytest.approx(want)
+    seen = 0
+    for t in "AB":
+        own = sorted((r for k, r in state.items() if k[0] == t), key=lambda r: r["trading_date"])
+        high, low, close = ([r[c] for r in own] for c in ("high", "low", "close"))
+        for i, r in enumerate(own):
+            p = _zigzag(high, low, 3, 0.05, i)
+            f = feats[t, r["trading_date"]]
+            if not p:
+                assert r["__z_last_price"] is None and f["zigzag_last_direction"] is None
+                continue
+            at, price, side = p[-1]
+            assert (r["__z_last_position"], r["__z_last_price"], r["__z_last_direction"]) == (at, price, side)
+            assert (f["zigzag_last_direction"], f["zigzag_bars_since_pivot"]) == (side, i - at)
+            if len(p) > 1:
+                move, n = price / p[-2][1] - 1, at - p[-2][0]
+                assert f["zigzag_last_swing_return"] == pytest.approx(move) and f["zigzag_last_swing_bars"] == n
+                assert same(f["zigzag_swing_return_per_bar"], (1 + move) ** (1 / n) - 1)
+                assert same(f["zigzag_retracement"], -(close[i] - price) / (price - p[-2][1]))
+            for name, way in (("high", 1), ("low", -1)):
+                prices = [x for x in p if x[2] == way]
+                assert same(r[f"__z_last_{name}_price"], prices[-1][1] if prices else None)
+                if len(prices) > 1:
+                    assert same(f[f"market_structure_{name}_change"], math.log(prices[-1][1] / prices[-2][1]))
+                    assert same(f[f"market_structure_{name}_rate"], math.log(prices[-1][1] / prices[-2][1]) / (prices[-1][0] - prices[-2][0]))
+                if len(prices) >= 4:
+                    assert same(f[f"market_structure_{name}_consistency"], _tau([x[1] for x in prices[-4:]]))
+            if len(p) >= 7:
+                legs = [math.log(b[1] / a[1]) for a, b in itertools.pairwise(p[-7:])]
+                up, down = _middle([x for x in legs if x > 0]), _middle([-x for x in legs if x < 0])
+                assert same(f["market_structure_leg_balance"], (up - down) / (up + down))
+                assert same(f["market_structure_efficiency"], sum(legs) / sum(map(abs, legs)))
+                seen += 1
+    assert seen > 20
+
+
+def test_trimmed_backtest_equals_the_replay_of_all_bars(spark):
+    bars = _bars(spark, "ABCD", 90, 21)
+    rng = random.Random(2)
+    signals = spark.createDataFrame([("p", t, D[i], rng.random(), 4.0) for i in range(85) for t in "ABCD" if rng.random() < 0.2], "provider string, ticker string, trading_date date, score double, atr double")
+    rules = {"a": backtest.Rules(10_000.0, 0.02, 2, 3), "b": backtest.Rules(5_000.0, 0.05, 3, 8, 0.7, 0.5)}
+    got = backtest.run_backtest(bars, signals, rules).collect()
+    for name, rule in rules.items():
+        placed = {(r["ticker"], r["trading_date"]): r for r in backtest.ranked_candidates(signals, rule.minimum_score).collect()}
+        rows = [{**r.asDict(), "place": placed[k]["place"] if (k := (r["ticker"], r["trading_date"])) in placed else None, "atr": 4.0} for r in bars.collect()]
+        want, _ = backtest.replay(sorted(rows, key=lambda r: (r["trading_date"], r["ticker"])), rule)
+        key = lambda t: (t["ticker"], t["entry_date"], t["exit_date"], t["exit_reason"], t["quantity"], round(t["pnl"], 6))
+        assert sorted(key(t) for t in want) == sorted(key(t) for t in got if t["run"] == name) and len(want) > 5
