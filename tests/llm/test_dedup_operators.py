@@ -246,3 +246,16 @@ def test_suffix_dedup_equals_brute_force(spark):
     rows = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got)
     assert rows == brute_bytes([(i, (t or "").encode()) for i, t in docs])
     assert suffix_dedup.remove_substrings(df.limit(0)).count() == 0
+
+
+def test_recall_where_buckets_split_at_every_level(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "SMALL", 1)
+    monkeypatch.setattr(ngram_join, "central_at", lambda *_: 2.0)  # nothing is compared on the spot: pairs go down all levels
+    docs = []
+    for i in range(3000):
+        words = [f"p{i}w{k}" for k in range(54)]
+        docs += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:44]))]  # 40 of 50 shingles: at the threshold, one inside the other
+    got = {r["doc_id"]: r["n_links"] for r in ngram_join.similar_groups(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    lost = sum(got[2 * i] == 0 for i in range(3000))
+    print("lost", lost)
+    assert lost <= 30  # 0.99
