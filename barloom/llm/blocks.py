@@ -15,13 +15,13 @@ from pyspark.sql import functions as F
 PACK_BYTES = 4 << 20
 
 
-def pack(docs: DataFrame, id_col: str, text_col: str, block_chars: int) -> tuple[DataFrame, int]:
-    """(block int, docs binary), and a bound of the number of blocks. The packed rows are (id, text), null text as empty."""
+def pack(docs: DataFrame, id_col: str, text_col: str, block_chars: int, by: tuple[str, ...] = ("id", "text")) -> tuple[DataFrame, int]:
+    """(block int, docs binary), and a bound of the number of blocks. The packed rows are (id, text), null text as empty, dealt by a hash of by."""
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     part = rows.groupBy(F.spark_partition_id().alias("p")).agg(F.sum(F.length("text")).alias("n"))
     most, last = part.agg(F.max("n"), F.max("p")).first()
     shares = max(1, -(-(most or 0) // block_chars))
-    block = F.spark_partition_id() * shares + F.pmod(F.xxhash64("id", "text"), F.lit(shares)).cast("int")
+    block = F.spark_partition_id() * shares + F.pmod(F.xxhash64(*by), F.lit(shares)).cast("int")
     return rows.withColumn("block", block).mapInArrow(_packed, "block int, docs binary"), ((last or 0) + 1) * shares
 
 

@@ -1,168 +1,240 @@
 """Substring deduplication over sliding spans of sentences.
 
-A text is cut into sentences (after a final mark, and at line ends; a sentence of more than LONG_SENTENCE words is cut
-every LONG_SENTENCE words from its start, so that copies which begin in mid-sentence may be cut elsewhere). Each run of SPAN consecutive sentences is hashed
+A text is cut into sentences after a final mark (. ! ? and the like, followed by white space) and at blank lines; any longer stretch
+is cut further at places that its words name: of each WINDOW consecutive gaps between words without a sentence's end, the one whose
+two words have the least hash. So no sentence has more than WINDOW words, and where a text is cut depends on the
+WINDOW words around the place, not on where a sentence or a line begins. Each run of SPAN consecutive sentences is hashed
 after normalising (lower case, words only); a run with fewer than SPAN_WORDS words is lengthened until it has them,
-once to the right from each first sentence and once to the left from each last one, so that every sentence of
-a repeated passage that is long enough lies in a run that lies in the passage. Runs meet globally by hash; all but the
+once to the right from each first sentence and once to the left from each last one. Runs meet globally by hash; all but the
 first occurrence (by doc_id, then position) are repeats, and each sentence inside one is removed.
 
-Occurrences combine before they shuffle (one minimum a hash) and go back by a plain join that adaptive execution
-splits for a frequent passage; no list of the documents of a passage is ever made. The hash has 128 bits.
+A passage of over 50 words that repeats word for word shares a run with its copies wherever it begins and ends and
+however its lines break: its cuts agree but for the WINDOW - 1 gaps at either end, so from the first cut after them (word 15 at
+most) three sentences end by word 39, before the last ones (word 44 on). What can stay of it are the words up to those cuts.
 
-Defined cases: null and empty texts have no sentence and stay empty; a text with fewer than SPAN sentences, or with
-fewer than SPAN_WORDS words, is one span of its own only if it has both; rows with the same doc_id count as one document
+Texts travel in compressed blocks (see blocks.py). A block sends each distinct hash once, with its least doc_id, so a frequent
+passage has at most one row a block in the global window; only hashes that an earlier document of another block has go
+back to a block, which decides the rest by itself. No list of the documents of a passage is ever made. The hash has 128 bits.
+
+Defined cases: null and empty texts have no sentence and stay as they are; a text with fewer than SPAN sentences, or with
+fewer than SPAN_WORDS words, has no span; rows with the same doc_id count as one document
 for each other (neither removes the other's sentences); a null doc_id comes after all others; an empty table gives
-an empty result; ids are integers, or strings of digits; texts of any length are read whole; other columns pass through ``remove_repeats`` (``n_sentences`` and ``n_removed`` are replaced).
+an empty result; ids are integers, or strings of digits; texts of any length are read whole; other columns pass through
+``remove_repeats`` (``n_sentences`` and ``n_removed`` are replaced).
 """
 
 from __future__ import annotations
 
 import re
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StructField, StructType
 
-from barloom.llm.common import fresh, table, written
+from barloom.llm.blocks import batches_of, pack
+from barloom.llm.common import table
 
 SPAN = 3
 SPAN_WORDS = 10
-LONG_SENTENCE = 16
+WINDOW = 8
+BLOCK_CHARS = 4 << 20
 
-_END = re.compile(r"[.!?][.!?\"'»”)\]]*\s+|\n+")
-_WORD = re.compile(r"\w+")
+_SLICE = 1 << 20
 _LAST_ID = 2**63 - 1
+_WORD, _SPACE, _LINE, _MARK = 1, 2, 3, 4
+_MARKS = ".!?…。！？"
+_PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def sentences_of(text: str | None) -> list[tuple[int, int, str, int]]:
-    """(start, end, normalised words, number of words) of each sentence that has a word; they cover the text."""
-    text = text or ""
+@cache
+def _kinds() -> np.ndarray:
+    """The kind of each code point."""
+    every, kinds = "".join(map(chr, range(0x110000))), np.zeros(0x110000, np.uint8)
+    for kind, pattern in ((_WORD, r"\w+"), (_SPACE, r"\s+"), (_LINE, r"\n"), (_MARK, f"[{_MARKS}]")):
+        for m in re.finditer(pattern, every):
+            kinds[m.start() : m.end()] = kind
+    return kinds
+
+
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> np.uint64(29))) * np.uint64(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> np.uint64(32))
+
+
+def _lowered(text: str) -> str:
     low = text.lower()
     if len(low) != len(text):  # a few letters are longer in lower case
         low = "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-    out: list[tuple[int, int, str, int]] = []
-    at = 0
-    stops = [m.end() for m in _END.finditer(text)]
-    stops.append(len(text))
-    for stop in stops:
-        words = _WORD.findall(low, at, stop)
-        if not words:
-            if out:  # marks between sentences belong to the one before
-                out[-1] = (out[-1][0], stop, *out[-1][2:])
-                at = stop
-        elif len(words) <= LONG_SENTENCE:
-            out.append((at, stop, " ".join(words), len(words)))
-            at = stop
-        else:
-            starts = [m.start() for m in _WORD.finditer(low, at, stop)][LONG_SENTENCE::LONG_SENTENCE]
-            for k, end in enumerate([*starts, stop]):
-                part = words[k * LONG_SENTENCE : (k + 1) * LONG_SENTENCE]
-                out.append((at, end, " ".join(part), len(part)))
-                at = end
-    return out
+    return low
+
+
+def _sums(values: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """A hash of the values from each start to the next, that depends on their order."""
+    at = np.arange(len(values)) - np.repeat(starts, np.diff(np.append(starts, len(values))))
+    return np.add.reduceat(_mixed(values + at.astype(np.uint64) * _PRIMES[1]), starts)
+
+
+def _words(low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(start, end, hash, begins a sentence) of each word."""
+    codes = np.frombuffer(low.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = _kinds()[codes]
+    edges = np.diff((kinds == _WORD).astype(np.int8), prepend=0, append=0)
+    starts, ends = np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    if not len(starts):
+        return starts, ends, np.zeros(0, np.uint64), np.zeros(0, bool)
+    hashes = []
+    firsts = np.unique(np.searchsorted(starts, np.arange(0, len(codes), _SLICE)))
+    for a, b in zip(firsts, [*firsts[1:], len(starts)], strict=True):
+        if a < b:
+            own = np.arange(starts[a], ends[b - 1])[kinds[starts[a] : ends[b - 1]] == _WORD]  # letters only
+            sizes = ends[a:b] - starts[a:b]
+            hashes.append(_mixed(_sums(codes[own] * _PRIMES[0], np.cumsum(sizes) - sizes) + sizes.astype(np.uint64)))
+
+    def between(kind: np.ndarray) -> np.ndarray:
+        count = np.concatenate([[0], np.cumsum(kind, dtype=np.int32)])
+        return count[starts[1:]] - count[ends[:-1]]
+
+    line = kinds == _LINE
+    lines = between(line)
+    stops = ((between(kinds == _MARK) > 0) & (between(line | (kinds == _SPACE)) > 0)) | (lines > 1)
+    return starts, ends, np.concatenate(hashes), np.concatenate([[True], stops])
+
+
+def _cuts(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """The words that begin a sentence."""
+    gaps = _mixed(hashes[:-1] * _PRIMES[0] + hashes[1:]) | np.uint64(1)
+    gaps[stops[1:]] = 0
+    begins = stops.copy()
+    if len(gaps) >= WINDOW:
+        least = np.lib.stride_tricks.sliding_window_view(gaps, WINDOW).argmin(axis=1)
+        begins[least + np.arange(len(least)) + 1] = True
+    return np.flatnonzero(begins)
+
+
+def _cut_up(text: str | None):
+    """(bounds in the text, number of words, hash, hash) of the sentences, which cover the text, and (low, starts, ends, cuts)."""
+    low = _lowered(text or "")
+    starts, ends, hashes, stops = _words(low)
+    if not len(starts):
+        return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((2, 0), np.uint64), (low, starts, ends, starts)
+    cuts = _cuts(hashes, stops)
+    bounds = np.concatenate([[0], starts[cuts[1:]], [len(low)]])
+    return bounds, np.diff(np.append(cuts, len(starts))), np.stack([_sums(hashes * p, cuts) for p in _PRIMES]), (low, starts, ends, cuts)
+
+
+def sentences_of(text: str | None) -> list[tuple[int, int, str, int]]:
+    """(start, end, normalised words, number of words) of each sentence; they cover the text."""
+    bounds, sizes, _, (low, starts, ends, cuts) = _cut_up(text)
+    words = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+    own = zip(bounds[:-1].tolist(), bounds[1:].tolist(), cuts.tolist(), sizes.tolist(), strict=True)
+    return [(a, b, " ".join(words[k : k + n]), n) for a, b, k, n in own] if words else []
+
+
+def _runs(sizes: np.ndarray, span: int, least: int) -> np.ndarray:
+    n, ends = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+    at = np.arange(n + 1)
+    right = np.maximum(np.searchsorted(ends, ends + least), at + span)
+    left = np.minimum(np.searchsorted(ends, ends - least, side="right") - 1, at - span)
+    both = np.concatenate([(at * (n + 1) + right)[right <= n], (left * (n + 1) + at)[left >= 0]])
+    return np.stack(np.divmod(np.unique(both), n + 1), axis=1)
 
 
 def runs_of(sentences: list[tuple[int, int, str, int]], span: int = SPAN, least: int = SPAN_WORDS) -> list[tuple[int, int]]:
     """[first, last) of the runs to hash."""
-    n = [s[3] for s in sentences]
-    runs: set[tuple[int, int]] = set()
-    for i in range(len(n) - span + 1):
-        words = sum(n[i : i + span])
-        if words >= least:
-            runs.add((i, i + span))
-            continue
-        j, w = i + span, words
-        while j < len(n) and w < least:
-            w += n[j]
-            j += 1
-        if w >= least:
-            runs.add((i, j))
-        k, w = i, words
-        while k > 0 and w < least:
-            k -= 1
-            w += n[k]
-        if w >= least:
-            runs.add((k, i + span))
-    return sorted(runs)
+    return [tuple(r) for r in _runs(np.array([s[3] for s in sentences], np.int64), span, least).tolist()]
 
 
-_PRIMES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+def _spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bounds of the sentences, and [first, last) and both hashes of the runs."""
+    bounds, sizes, own, _ = _cut_up(text)
+    runs = _runs(sizes, SPAN, SPAN_WORDS)
+    first, size = runs[:, 0], runs[:, 1] - runs[:, 0]
+    hashes = np.zeros((2, len(runs)), np.uint64)
+    for k in range(int(size.max(initial=0))):
+        more = k < size
+        hashes[:, more] = _mixed(hashes[:, more] * _PRIMES[0] + own[:, first[more] + k])
+    return bounds, runs, hashes.view(np.int64)
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return x ^ (x >> np.uint64(29))
-
-
-def spans_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(hash, hash, first, last, repeats an earlier run of this text) of the runs; the hashes of a run's sentences, mixed."""
-    import xxhash
-
-    sentences = sentences_of(text)
-    runs = np.array(runs_of(sentences), np.int64).reshape(-1, 2)
-    first, last = runs[:, 0], runs[:, 1]
-    own = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s[2].encode("utf-8", "surrogatepass")) for s in sentences), np.uint64).reshape(-1, 2)
-    both = []
-    with np.errstate(over="ignore"):
-        for half, prime in enumerate(_PRIMES):
-            h = np.zeros(len(runs), np.uint64)
-            for k in range(int((last - first).max(initial=0))):
-                more = first + k < last
-                h[more] = _mixed(h[more] * prime + own[first[more] + k, half])
-            both.append(h)
-    again = np.ones(len(runs), bool)
-    _, at, of = np.unique(both[0], return_index=True, return_inverse=True)
-    again[at] = False  # the first run, in order, with a hash
-    again &= both[1] == both[1][at[of]]  # and both halves agree
-    return both[0].view(np.int64), both[1].view(np.int64), first, last, again
-
-
-def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _ordered(h1: np.ndarray, h2: np.ndarray, *then: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by hash, then by others, and where a new hash begins in it."""
+    order = np.lexsort((*reversed(then), h2, h1))
+    h1, h2 = h1[order], h2[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    return order, new
+
+
+def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
     """docs with repeated sentences removed from the text, n_sentences and n_removed."""
-    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
-    rows = docs.select(doc.alias("doc"), F.col(text_col).alias("text"))
-
-    def spans(batches):
-        for batch in batches:
-            ids = batch.column("doc").to_numpy()
-            found = [spans_of(t.as_py()) for t in batch.column("text")]
-            doc = np.repeat(ids, [len(f[0]) for f in found])
-            h1, h2, i, j, again = (np.concatenate([f[k] for f in found]) if found else np.zeros(0) for k in range(5))
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_())
-            columns = [pa.array(x, k) for x, k in zip((h1, h2, doc, i, j, again), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=["h1", "h2", "doc", "i", "j", "again"])
-
-    # read twice below: hashing twice costs more than keeping the runs
-    found = written(rows.mapInArrow(spans, "h1 long, h2 long, doc long, i int, j int, again boolean"), "spans")
-    first = found.groupBy("h1", "h2").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    repeats = found.join(first, ["h1", "h2"]).filter("doc > first OR again").select("doc", F.struct("i", "j").alias("run"))
-    runs_, doc_ = fresh("runs"), fresh("doc")
-    cuts = repeats.groupBy(F.col("doc").alias(doc_)).agg(F.collect_set("run").alias(runs_))
     fields = [f for f in docs.schema.fields if f.name not in ("n_sentences", "n_removed")]
     names = [f.name for f in fields]
-    at = names.index(text_col)
-
-    def cut(batches):
-        for batch in batches:
-            texts, totals, removed = [], [], []
-            for t, runs in zip(batch.column(at), batch.column(batch.num_columns - 1), strict=True):
-                text, sentences = t.as_py(), sentences_of(t.as_py())
-                gone: set[int] = set()
-                for r in runs.as_py() or ():
-                    gone.update(range(r["i"], r["j"]))
-                texts.append(text if not gone else "".join(text[s[0] : s[1]] for k, s in enumerate(sentences) if k not in gone))
-                totals.append(len(sentences))
-                removed.append(len(gone))
-            own = list(batch.columns[:-1])
-            own[at] = pa.array(texts, pa.string())
-            yield pa.RecordBatch.from_arrays([*own, pa.array(totals, pa.int64()), pa.array(removed, pa.int64())], names=[*names, "n_sentences", "n_removed"])
-
+    doc = F.coalesce(F.col(id_col).cast("long"), F.lit(_LAST_ID))
+    own = F.struct(*[F.col(f"`{n}`") for n in names if n != text_col])
+    rows = docs.select(F.struct(doc.alias("doc"), F.col(text_col).isNull().alias("none"), own.alias("own")).alias("id"), F.col(text_col).alias("text"))
+    packed, _ = pack(rows, "id", "text", block_chars, by=("id.doc", "text"))
+
+    def spans_of(block: pa.Table):
+        """The rows of a block, the bounds of their sentences, and (row, first, last, hash, hash) of all runs."""
+        ids, texts, bounds, runs = [], [], [], [np.zeros((0, 5), np.int64)]
+        for batch in batches_of(block):
+            ids.append(batch.column("id"))
+            for text in batch.column("text").to_pylist():
+                own_bounds, own_runs, hashes = _spans(text)
+                runs.append(np.column_stack([np.full(len(own_runs), len(texts)), own_runs, hashes.T]))
+                texts.append(text)
+                bounds.append(own_bounds)
+        return pa.concat_arrays(ids), texts, bounds, np.concatenate(runs)
+
+    def doc_of(ids: pa.Array) -> np.ndarray:
+        return ids.flatten()[0].to_numpy()
+
+    def send(key, block):
+        ids, _, _, runs = spans_of(block)
+        h1, h2, doc = runs[:, 3], runs[:, 4], doc_of(ids)[runs[:, 0]]
+        order, new = _ordered(h1, h2, doc)
+        at = order[new]
+        return pa.table({"block": pa.array(np.full(len(at), key[0].as_py()), pa.int32()), "h1": h1[at], "h2": h2[at], "doc": doc[at]})
+
+    def cut(key, earlier, block):
+        ids, texts, bounds, runs = spans_of(block)
+        doc = doc_of(ids)
+        # a hash that an earlier document of another block has comes before all of this block
+        n = len(earlier)
+        h1, h2 = (np.concatenate([earlier.column(h).to_numpy(), runs[:, k]]) for h, k in (("h1", 3), ("h2", 4)))
+        docs_ = np.concatenate([np.full(n, -(2**63)), doc[runs[:, 0]]])
+        row, first = (np.concatenate([np.full(n, -1), runs[:, k]]) for k in (0, 1))
+        order, new = _ordered(h1, h2, docs_, row, first)
+        repeat = docs_[order] > docs_[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+        repeat[1:] |= ~new[1:] & (row[order][1:] == row[order][:-1])  # an earlier run of this text
+        gone = runs[np.sort(order[repeat & (row[order] >= 0)]) - n]
+        by_row = np.searchsorted(gone[:, 0], np.arange(len(texts) + 1))
+        removed = np.zeros(len(texts), np.int64)
+        for r in np.unique(gone[:, 0]).tolist():
+            mine = gone[by_row[r] : by_row[r + 1]]
+            depth = np.zeros(len(bounds[r]), np.int64)
+            np.add.at(depth, mine[:, 1], 1)
+            np.add.at(depth, mine[:, 2], -1)
+            kept = np.cumsum(depth)[:-1] == 0
+            removed[r] = len(kept) - kept.sum()
+            edges = np.diff(kept.astype(np.int8), prepend=0, append=0)
+            pairs = zip(bounds[r][edges == 1].tolist(), bounds[r][edges == -1].tolist(), strict=True)
+            texts[r] = "".join(texts[r][a:b] for a, b in pairs)
+        _, none, own = ids.flatten()
+        columns = iter(own.flatten())
+        texts_ = pa.array([None if x else t for x, t in zip(none.to_pylist(), texts, strict=True)], pa.string())
+        out = {name: texts_ if name == text_col else next(columns) for name in names}
+        return pa.table(out | {"n_sentences": pa.array([len(b) - 1 for b in bounds], pa.int64()), "n_removed": removed})
+
+    sent = packed.groupBy("block").applyInArrow(send, "block int, h1 long, h2 long, doc long")
+    least = F.min("doc").over(Window.partitionBy("h1", "h2"))
+    earlier = sent.withColumn("least", least).filter("doc > least").select("block", "h1", "h2")
     out = StructType([*fields, StructField("n_sentences", LongType()), StructField("n_removed", LongType())])
-    here = docs.select(*[f"`{n}`" for n in names]).withColumn(doc_, doc)
-    return here.join(cuts, doc_, "left").drop(doc_).mapInArrow(cut, out)
+    return earlier.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(cut, out)
 
 
 def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

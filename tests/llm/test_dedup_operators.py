@@ -191,6 +191,51 @@ def test_sentence_spans_equal_brute_force(spark):
     assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
+def prose(rng, n, ends):
+    """n words; a sentence's end after a word with a chance of ends."""
+    return " ".join(f"w{rng.randrange(10**6)}" + rng.choice(".!?") * (rng.random() < ends) for _ in range(n)).rstrip(".!?")
+
+
+@pytest.mark.parametrize("ends", [0.0, 0.05, 0.1, 0.3, 0.7])
+def test_passages_of_over_fifty_words_share_a_run_wherever_they_stand(ends):
+    rng = random.Random(int(ends * 100))
+    for _ in range(200):
+        passage, found = prose(rng, 51, ends), []
+        for _ in range(2):
+            moved = "".join(rng.choice(" \n") if c == " " else c for c in passage)  # its lines break elsewhere
+            text = f"{prose(rng, rng.randrange(1, 40), ends)} {moved} {prose(rng, rng.randrange(1, 40), ends)}"
+            s = substring_dedup.sentences_of(text)
+            found.append({tuple(x[2] for x in s[a:b]) for a, b in substring_dedup.runs_of(s)})
+        assert found[0] & found[1]
+
+
+def test_repeats_within_and_across_blocks_equal_brute_force(spark):
+    rng = random.Random(5)
+    passages = [prose(rng, 60, 0.1) for _ in range(6)]
+    docs = [(rng.randrange(50), " ".join(rng.choice([prose(rng, 30, 0.1), rng.choice(passages)]) for _ in range(5))) for _ in range(60)]
+    docs += [(None, passages[0]), (60, f"{passages[1]} {passages[1]}"), (61, prose(rng, 9, 0)), (62, "x" * 3_000_000 + " " + passages[2])]
+    cut = [substring_dedup.sentences_of(t) for _, t in docs]
+    doc = [2**63 if i is None else i for i, _ in docs]
+    least: dict = {}
+    for d, s in zip(doc, cut, strict=True):
+        for a, b in substring_dedup.runs_of(s):
+            key = tuple(x[2] for x in s[a:b])
+            least[key] = min(d, least.get(key, d))
+    want = []
+    for (i, t), d, s in zip(docs, doc, cut, strict=True):
+        gone, seen = set(), set()
+        for a, b in substring_dedup.runs_of(s):
+            key = tuple(x[2] for x in s[a:b])
+            if least[key] < d or key in seen:
+                gone.update(range(a, b))
+            seen.add(key)
+        want.append((str(i), len(s), len(gone), "".join(t[x[0] : x[1]] for k, x in enumerate(s) if k not in gone)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for block_chars in (2_000, 10**7):
+        got = [(str(r["doc_id"]), r["n_sentences"], r["n_removed"], r["text"]) for r in substring_dedup.remove_repeats(df, block_chars=block_chars).collect()]
+        assert sorted(got) == sorted(want)
+
+
 def test_sentences_cover_the_text():
     for text in ("A b. C d!  E", "\n\nx\n", "a " * 100, "İx y. z"):
         s = substring_dedup.sentences_of(text)
