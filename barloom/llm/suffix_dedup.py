@@ -8,9 +8,11 @@ blocks of documents (see blocks.py); text is shuffled once, compressed, and that
 2. In what is left, the strings of LENGTH bytes are put in runs with the same minimizer: the GRAM bytes with the least
    hash in them. Equal strings have equal minimizers, so a run with a minimizer that occurs once has no repeat. Only
    the hashes of minimizers are compared, dealt by range.
-3. Runs with a repeated minimizer meet by it. There, their suffixes are sorted by Lyndon grouping (below), which
-   makes equal strings neighbours; the smallest id of each set of neighbours decides. Sorted neighbours are compared
-   over all LENGTH bytes.
+3. Runs with a repeated minimizer meet by it. Of equal runs of a block only those of the block's smallest id are sent:
+   in the others, all goes whatever the rest of the corpus holds. Where runs meet, their suffixes are sorted by Lyndon
+   grouping (below), which makes equal strings neighbours; the smallest id of each set of neighbours decides. Sorted
+   neighbours are compared over all LENGTH bytes. A minimizer of more than HOT runs is split: each string of LENGTH
+   bytes of its runs meets its equals alone, so that no task gathers all contexts of a frequent minimizer.
 4. Each document loses the bytes that steps 1 and 3 found.
 
 Lyndon grouping: suffixes begin in groups of the same first byte, and groups are processed from the highest down. Each
@@ -23,7 +25,7 @@ compared again.
 Defined cases: null is the empty text; texts of fewer than LENGTH bytes lose nothing; rows with the same id count as
 one document for each other; strings repeated only within a document stay; a null id counts as larger than any other;
 an empty table gives an empty result; other columns are not read. A run's strings in one task are those of a range of
-minimizers; a minimizer that very many different contexts share enters one batch whole, in one task.
+minimizers, at most HOT runs of each; of a string by itself, a task gets an entry a block that has it.
 """
 
 from __future__ import annotations
@@ -43,6 +45,7 @@ GRAM = 24
 CUT_GRAM, CUT_MASK, CUT_LEAST = 16, np.uint64(255), 32
 BLOCK_CHARS = 4_000_000
 BATCH_BYTES = 1 << 19
+HOT = 8192  # runs of a minimizer over all blocks: about a batch of their bytes
 _LAST_ID = 2**63 - 1
 _M, _X = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
@@ -364,6 +367,31 @@ def _decided(groups: dict[int, dict[bytes, list]]) -> tuple[list[int], list[int]
     return block, first, last
 
 
+def _least_of(strings: list[bytes], docs: list[int], at: list[int]) -> tuple[list[tuple[bytes, int, int]], list[tuple[int, int]]]:
+    """(string, doc, at) where the string has its smallest doc, and the runs (first, last) that go because a smaller doc has the same."""
+    least: dict[bytes, int] = {}
+    for s, d in zip(strings, docs, strict=True):
+        if least.setdefault(s, d) > d:
+            least[s] = d
+    sent, gone = [], []
+    for s, d, a in zip(strings, docs, at, strict=True):
+        if least[s] == d:
+            sent.append((s, d, a))
+        else:
+            gone.append((a, a + len(s) - LENGTH + 1))
+    return sent, gone
+
+
+def _split(strings: list[bytes], docs: list[int], at: list[int]) -> tuple[list[bytes], list[int], list[int]]:
+    """Each string of LENGTH bytes of the strings by itself."""
+    out: list[tuple[bytes, int, int]] = [(s[k : k + LENGTH], d, a + k) for s, d, a in zip(strings, docs, at, strict=True) for k in range(len(s) - LENGTH + 1)]
+    return [x[0] for x in out], [x[1] for x in out], [x[2] for x in out]
+
+
+def _key(s: bytes) -> int:
+    return int.from_bytes(blake2b(s, digest_size=8).digest(), "little")
+
+
 def _by_suffix_order(strings: list[bytes], ids: list[int]) -> list[np.ndarray]:
     ends = np.cumsum([len(s) for s in strings])
     starts = ends - np.array([len(s) for s in strings])
@@ -384,7 +412,7 @@ def _by_suffix_order(strings: list[bytes], ids: list[int]) -> list[np.ndarray]:
     return [out[a : b - LENGTH + 1] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
 
 
-def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS) -> DataFrame:
+def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", block_chars: int = BLOCK_CHARS, hot: int = HOT) -> DataFrame:
     """One row per row of docs: id, n_bytes, n_removed, n_spans, kept binary (the remaining bytes)."""
     spark = docs.sparkSession
     packed, n_blocks = pack(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")), "id", "text", block_chars)
@@ -404,25 +432,32 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def minimizers(key, found, packs):
         block = Block(packs)
-        h = np.unique(block.runs(set(found.column("a").to_pylist()))[0])
+        h, n = np.unique(block.runs(set(found.column("a").to_pylist()))[0], return_counts=True)
         to = _range_of(h, ranges)
         cuts = np.flatnonzero(np.diff(to, prepend=-1, append=-1)) if len(h) else np.zeros(1, np.int64)
         at = to[cuts[:-1]]
         data = [_zip(h[x:y]) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
-        return pa.table({"to": pa.array(at, pa.int32()), "block": pa.array([key[0].as_py()] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
+        many = [_zip(np.concatenate([h[x:y][n[x:y] > 1], n[x:y][n[x:y] > 1].astype(np.uint64)])) for x, y in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.table({"to": pa.array(at, pa.int32()), "block": pa.array([key[0].as_py()] * len(data), pa.int32()), "data": pa.array(data, pa.binary()), "many": pa.array(many, pa.binary())})
 
     def repeated(key, packs):
         lists = [_unzip(x) for x in packs.column("data").to_pylist()]
         every, count = np.unique(np.concatenate(lists), return_counts=True)
-        twice = every[count > 1]
+        twice = count > 1
+        runs_of = count.copy()  # a run a block that has it, and those beyond the first
+        for x in packs.column("many").to_pylist():
+            more = _unzip(x).reshape(2, -1)
+            runs_of[np.searchsorted(every, more[0])] += more[1].astype(np.int64) - 1
+        crowded = every[twice & (runs_of > hot)]
+        twice = every[twice]
         own = [np.intersect1d(x, twice, assume_unique=True) for x in lists]
-        rows = [(b, _zip(x)) for b, x in zip(packs.column("block").to_pylist(), own, strict=True) if len(x)]
-        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary())})
+        rows = [(b, _zip(x), _zip(np.intersect1d(x, crowded, assume_unique=True)) if len(crowded) else None) for b, x in zip(packs.column("block").to_pylist(), own, strict=True) if len(x)]
+        return pa.table({"block": pa.array([r[0] for r in rows], pa.int32()), "data": pa.array([r[1] for r in rows], pa.binary()), "hot": pa.array([r[2] for r in rows], pa.binary())})
 
-    sent = whole.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(minimizers, "to int, block int, data binary")
-    shared = sent.groupBy("to").applyInArrow(repeated, "block int, data binary")
+    sent = whole.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(minimizers, "to int, block int, data binary, many binary")
+    shared = sent.groupBy("to").applyInArrow(repeated, "block int, data binary, hot binary")
     none = F.lit(None).cast("long")
-    known = whole.unionByName(shared.select("block", none.alias("a"), none.alias("b"), "data"))
+    known = whole.withColumn("hot", F.lit(None).cast("binary")).unionByName(shared.select("block", none.alias("a"), none.alias("b"), "data", "hot"))
 
     def run_rows(key, found, packs):
         block = Block(packs)
@@ -431,19 +466,39 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         every, count = np.unique(h, return_counts=True)
         keep = np.isin(h, np.concatenate([*lists, every[count > 1]]))
         h, begin, end, doc = h[keep], begin[keep], end[keep], doc[keep]
+        crowded = np.isin(h, np.concatenate([np.zeros(0, np.uint64), *(_unzip(x) for x in found.column("hot").to_pylist() if x is not None)]))
+        strings = [block.raw[a : b + LENGTH - 1] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
+        docs, at = block.ids[doc], begin
+        sent, gone = _least_of([strings[k] for k in np.flatnonzero(~crowded).tolist()], docs[~crowded].tolist(), at[~crowded].tolist())
+        number = dict(zip(at.tolist(), h.tolist(), strict=True))
+        keys = [number[x[2]] for x in sent]
+        if crowded.any():
+            alone, some = _least_of([strings[k] for k in np.flatnonzero(crowded).tolist()], docs[crowded].tolist(), at[crowded].tolist())
+            gone += some
+            alone, some = _least_of(*_split(*map(list, zip(*alone, strict=True))))
+            gone += some
+            sent += alone
+            keys += [_key(x[0]) for x in alone]
+        if not sent:
+            return pa.table({"to": pa.array([], pa.int32()), "block": pa.array([], pa.int32()), "data": pa.array([], pa.binary()), "gone": pa.array([], pa.binary())})
+        h = np.array(keys, np.uint64)
         order = np.argsort(h, kind="stable")
-        h, begin, end, doc = h[order], begin[order], end[order], doc[order]
-        to = _range_of(h, ranges)
-        cuts = np.flatnonzero(np.diff(to, prepend=-1, append=-1)) if len(h) else np.zeros(1, np.int64)
+        to = _range_of(h[order], ranges)
+        rows = pa.RecordBatch.from_arrays(
+            [pa.array(h, pa.uint64()), pa.array([x[1] for x in sent], pa.int64()), pa.array([x[2] for x in sent], pa.int64()), pa.array([x[0] for x in sent], pa.binary())], names=["h", "doc", "at", "bytes"]
+        ).take(pa.array(order))
+        cuts = np.flatnonzero(np.diff(to, prepend=-1, append=-1))
         data = []
         for x, y in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
-            strings = [block.raw[a : b + LENGTH - 1] for a, b in zip(begin[x:y].tolist(), end[x:y].tolist(), strict=True)]
-            rows = pa.RecordBatch.from_arrays([pa.array(h[x:y], pa.uint64()), pa.array(block.ids[doc[x:y]], pa.int64()), pa.array(begin[x:y], pa.int64()), pa.array(strings, pa.binary())], names=["h", "doc", "at", "bytes"])
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_batch(rows)
+                out.write_batch(rows.slice(x, y - x))
             data.append(sink.getvalue().to_pybytes())
-        return pa.table({"to": pa.array(to[cuts[:-1]], pa.int32()), "block": pa.array([key[0].as_py()] * len(data), pa.int32()), "data": pa.array(data, pa.binary())})
+        known_here = [_zip(np.array(gone, np.uint64).ravel())] if gone else [None]  # travels with the first row
+        return pa.table({
+            "to": pa.array(to[cuts[:-1]], pa.int32()), "block": pa.array([key[0].as_py()] * len(data), pa.int32()), "data": pa.array(data, pa.binary()),
+            "gone": pa.array(known_here + [None] * (len(data) - 1), pa.binary()),
+        })
 
     def decide(key, packs):
         groups: dict[int, dict[bytes, list]] = {}
@@ -452,9 +507,15 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
             for h, own, doc, at in zip(*(t.column(c).to_pylist() for c in ("h", "bytes", "doc", "at")), strict=True):
                 groups.setdefault(h, {}).setdefault(own, []).append((doc, b, at))
         block, first, last = _decided(groups)
+        for b, x in zip(packs.column("block").to_pylist(), packs.column("gone").to_pylist(), strict=True):
+            if x is not None:
+                some = _unzip(x).reshape(-1, 2).astype(np.int64)
+                block += [b] * len(some)
+                first += some[:, 0].tolist()
+                last += some[:, 1].tolist()
         return pa.table({"block": pa.array(block, pa.int32()), "a": pa.array(first, pa.int64()), "b": pa.array(last, pa.int64())})
 
-    runs = known.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(run_rows, "to int, block int, data binary")
+    runs = known.groupBy("block").cogroup(packed.groupBy("block")).applyInArrow(run_rows, "to int, block int, data binary, gone binary")
     decided = runs.groupBy("to").applyInArrow(decide, "block int, a long, b long")
     gone = whole.select("block", "a", "b").unionByName(decided)
 

@@ -293,6 +293,27 @@ def test_suffix_dedup_equals_brute_force(spark):
     assert suffix_dedup.remove_substrings(df.limit(0)).count() == 0
 
 
+def test_hot_minimizers_are_split_and_equal_brute_force(spark):
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    line, passage = word(30), word(120)  # the line stands between different words everywhere, the passage is the same everywhere
+    docs = [(rng.randrange(70), " ".join(x for _ in range(3) for x in (word(rng.randrange(5, 60)), line, word(rng.randrange(1, 9)) if rng.random() < 0.5 else passage))) for _ in range(80)]
+    docs += [(90, f"{line} " * 40), (91, f"{line} " * 40), (90, passage + passage)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    for hot in (0, 5, 40, 10**9):
+        for block_chars in (1_500, 10**6):
+            got = suffix_dedup.remove_substrings(df, block_chars=block_chars, hot=hot).collect()
+            rows = sorted((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"], hashlib.sha256(r["kept"]).hexdigest()) for r in got)
+            assert rows == brute_bytes([(i, t.encode()) for i, t in docs])
+
+
+def test_strings_of_a_block_are_sent_once():
+    a, b = b"a" * 60, b"b" * 50
+    sent, gone = suffix_dedup._least_of([a, b, a, a], [4, 2, 3, 3], [0, 100, 200, 300])
+    assert (sent, gone) == ([(b, 2, 100), (a, 3, 200), (a, 3, 300)], [(0, 11)])
+    assert suffix_dedup._split([a], [4], [7]) == ([b"a" * 50] * 11, [4] * 11, list(range(7, 18)))
+
+
 def test_recall_where_buckets_split_at_every_level(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "SMALL", 1)
     monkeypatch.setattr(ngram_join, "central_at", lambda *_: 2.0)  # nothing is compared on the spot: pairs go down all levels
