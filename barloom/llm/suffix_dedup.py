@@ -4,7 +4,8 @@ A byte goes if it lies in a string of LENGTH bytes that also starts in a documen
 blocks of documents (see blocks.py); text is shuffled once, compressed, and that shuffle is read by all of them:
 
 1. Texts are cut into chunks at places that their content names, each with the LENGTH - 1 bytes after it. A chunk whose
-   bytes are in a document with a smaller id is a repeat as a whole (found by digest, with combining minima).
+   bytes are in a document with a smaller id is a repeat as a whole (found by digest, with combining minima; a block
+   sends a digest once, with its smallest id).
 2. In what is left, the strings of LENGTH bytes are put in runs with the same minimizer: the GRAM bytes with the least
    hash in them. Equal strings have equal minimizers, so a run with a minimizer that occurs once has no repeat. Only
    the hashes of minimizers are compared, dealt by range.
@@ -422,12 +423,24 @@ def remove_substrings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         block = Block(packs)
         first, last, doc = block.chunks()
         keys = [blake2b(block.raw[a : b + LENGTH - 1], digest_size=16).digest() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
-        n = len(keys)
-        return pa.table({"key": pa.array(keys, pa.binary()), "doc": pa.array(block.ids[doc], pa.int64()), "block": pa.array([key[0].as_py()] * n, pa.int32()), "at": pa.array(range(n), pa.int64())})
+        docs = block.ids[doc].tolist()
+        least: dict[bytes, int] = {}
+        for k, d in zip(keys, docs, strict=True):
+            if least.setdefault(k, d) > d:
+                least[k] = d
+        own: dict[bytes, list[int]] = {k: [] for k in least}  # places of the block's smallest id, and the others, which go in any case
+        other: dict[bytes, list[int]] = {k: [] for k in least}
+        for at, (k, d) in enumerate(zip(keys, docs, strict=True)):
+            (own if d == least[k] else other)[k].append(at)
+        return pa.table({
+            "key": pa.array(list(least), pa.binary()), "doc": pa.array(list(least.values()), pa.int64()), "block": pa.array([key[0].as_py()] * len(least), pa.int32()),
+            "own": pa.array(list(own.values()), pa.list_(pa.int64())), "other": pa.array(list(other.values()), pa.list_(pa.int64())),
+        })
 
-    chunks = packed.groupBy("block").applyInArrow(chunk_rows, "key binary, doc long, block int, at long")
+    chunks = packed.groupBy("block").applyInArrow(chunk_rows, "key binary, doc long, block int, own array<long>, other array<long>")
     least = chunks.groupBy("key").agg(F.min("doc").alias("least"), F.max("doc").alias("most")).filter("least < most")
-    whole = written(chunks.join(least, "key").filter("doc > least").select("block", F.col("at").alias("a")), "chunks")
+    gone = F.when(F.col("doc") > F.col("least"), F.concat("own", "other")).otherwise(F.col("other"))
+    whole = written(chunks.join(least, "key", "left").select("block", F.explode(gone).alias("a")), "chunks")
     whole = whole.select("block", "a", F.lit(None).cast("long").alias("b"), F.lit(None).cast("binary").alias("data"))
 
     def minimizers(key, found, packs):
