@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, decontamination, exact_dedup, html_extract, language_id, ngram_join, secret_scan, substring_dedup, suffix_dedup, url_filter
+from barloom.llm import bpe, decontamination, exact_dedup, filter_audit, html_extract, language_id, merkle_manifest, ngram_join, secret_scan, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -17,6 +17,8 @@ def queries() -> dict:
         "op8_substring_dedup": substring_dedup.op8_substring_dedup,
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_decontamination": decontamination.op10_decontamination,
+        "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
     }
 
 
@@ -27,4 +29,6 @@ def oracle_sql() -> dict[str, str]:
         "op7_exact_dedup": exact_dedup.ORACLE,
         "op9_suffix_dedup": suffix_dedup.ORACLE,
         "op10_decontamination": decontamination.ORACLE,
+        "op11_filter_audit": filter_audit.ORACLE,
+        "op13_merkle_manifest": merkle_manifest.ORACLE,
     }
