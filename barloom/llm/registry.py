@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barloom.llm import bpe, decontamination, exact_dedup, filter_audit, html_extract, language_id, merkle_manifest, ngram_join, secret_scan, substring_dedup, suffix_dedup, url_filter
+from barloom.llm import bpe, decontamination, exact_dedup, filter_audit, html_extract, language_id, merkle_manifest, minhash_dedup, ngram_join, secret_scan, substring_dedup, suffix_dedup, url_filter
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_suffix_dedup": suffix_dedup.op9_suffix_dedup,
         "op10_decontamination": decontamination.op10_decontamination,
         "op11_filter_audit": filter_audit.op11_filter_audit,
+        "op12_minhash_dedup": minhash_dedup.op12_minhash_dedup,
         "op13_merkle_manifest": merkle_manifest.op13_merkle_manifest,
     }
 
