@@ -7,7 +7,9 @@ import datetime as dt
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators import backtest, cross_section, dataset, evaluation, labeling, models, quality, studies, targets, trend
+from barloom.functions.core import add_percentile, by_date, lead
+from barloom.functions.stored import stored
+from barloom.operators import backtest, boosting, cross_section, dataset, evaluation, labeling, models, quality, studies, targets, trend
 from barloom.plans import catalog, sql
 from barloom.plans.contracts import Block, BlockSet, Task
 from barloom.plans.indicators import out
@@ -368,6 +370,25 @@ def _heat(spark, d):
 # --- studies
 
 
+def ranking_samples(spark, d) -> DataFrame:
+    """Samples of a ranking study: returns as features, graded relevance, percentile and market-relative return of the next five bars."""
+    df = targets.add_forward_returns(cross_section.add_returns(bars_week(spark, d), (1, 2, 5, 10)), (5,))
+    df = df.withColumn("target_end_date", lead("trading_date", 5)).filter("forward_return_5d IS NOT NULL")
+    df = add_percentile(studies.relevance_by_cut(df, "forward_return_5d"), "forward_return_5d", "percentile", 1)
+    return df.withColumn("relative_return", F.col("forward_return_5d") - F.avg("forward_return_5d").over(by_date()))
+
+
+RANKERS = [boosting.RankerParams(trees=12, depth=3, learning_rate=0.3), boosting.RankerParams(trees=8, depth=2, learning_rate=0.3, subsample=0.8, colsample=0.75, alpha=0.1, lam=5.0, gamma=0.01)]
+
+
+@query("n04_boosted_ranker")
+def _ranker(spark, d):
+    samples = stored(ranking_samples(spark, d), "samples")
+    features = ["return_1d", "return_2d", "return_5d", "return_10d"]
+    _, scored = boosting.tune(samples, dataset.expanding_folds(samples, 3, 20), features, "relevance", RANKERS)
+    return rounded(boosting.tail_by_fold(scored, samples, "percentile", "relative_return"))
+
+
 @query("n05_relevance", with_(*_PRED, "k AS (SELECT *, (rank() OVER (PARTITION BY trading_date ORDER BY ranking_return) + (count(*) OVER (PARTITION BY trading_date, ranking_return) - 1) / 2.0) / count(*) OVER (PARTITION BY trading_date) AS s FROM p)", select=f"SELECT {KEYS}, CAST(s > 0.5 AS INT) + CAST(s > 0.75 AS INT) + CAST(s > 0.9 AS INT) + CAST(s > 0.97 AS INT) AS relevance FROM k"))
 def _relevance(spark, d):
     return studies.relevance_by_cut(_predictions(spark, d), "ranking_return").select("provider", "ticker", "trading_date", F.col("relevance").cast("int").alias("relevance"))
