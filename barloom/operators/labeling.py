@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 from dataclasses import asdict, dataclass, replace
 
@@ -99,8 +100,10 @@ class LabelingRules:
 
     def __post_init__(self):
         whole = (self.window_size, self.step_size, self.forward_horizon, self.atr_length, self.pivot_high_left, self.pivot_high_right, self.pivot_low_left, self.pivot_low_right)
-        if min(whole) < 1 or self.atr_stop_multiple <= 0 or self.reward_risk_ratio < 2 or self.commission_rate < 0:
-            raise ValueError("lengths and the stop multiple must be positive, reward_risk_ratio at least 2")
+        if min(whole) < 1 or self.atr_stop_multiple <= 0 or self.reward_risk_ratio < 2 or not 0 <= self.commission_rate < 1:
+            raise ValueError("lengths and the stop multiple must be positive, reward_risk_ratio at least 2, commission_rate at least 0 and under 1")
+        if self.step_size > self.window_size:
+            raise ValueError("step_size must not exceed window_size: rows between windows would never be labelled")
 
     def fixed(self) -> dict:
         return {k: v for k, v in asdict(self).items() if k not in ("atr_stop_multiple", "reward_risk_ratio")}
@@ -165,6 +168,54 @@ def save_window(
     return merged, moved
 
 
+SESSIONS = "session_id string, provider string, tickers array<string>, rules string, created_at timestamp, updated_at timestamp, ticker_position int, window_position int, completed boolean"
+
+
+def session_rows(spark, *sessions: Session) -> DataFrame:
+    """Sessions as rows of the table of sessions."""
+    rows = [(s.session_id, s.provider, list(s.tickers), json.dumps(asdict(s.rules), sort_keys=True), s.created_at, s.updated_at, s.ticker_position, s.window_position, s.completed) for s in sessions]
+    return spark.createDataFrame(rows, SESSIONS)
+
+
+def session_of(sessions: DataFrame, session_id: str) -> Session:
+    row = sessions.filter(F.col("session_id") == session_id).first()
+    if row is None:
+        raise ValueError(f"there is no session {session_id}")
+    return Session(**{**row.asDict(), "tickers": tuple(row["tickers"]), "rules": LabelingRules(**json.loads(row["rules"]))})
+
+
+def open_session(store, session: Session) -> int:
+    """Commits a new session; the tables of labels and sessions are made with the first one."""
+
+    def build(change) -> None:
+        rows = session_rows(store.spark, session)
+        change.upsert("sessions", rows, ("session_id",), "session_id")
+        if "labels" not in change.tables:
+            none = store.spark.createDataFrame([], "session_id string, provider string, ticker string, trading_date date, label int, updated_at timestamp")
+            change.replace("labels", none, "concat_ws('/', session_id, ticker)")
+
+    return store.commit(build, f"session {session.session_id}")
+
+
+def commit_window(store, session_id: str, rules: LabelingRules, window: DataFrame, window_position: int, positive_dates, now: dt.datetime, **moves) -> Session:
+    """save_window on stored tables: a window's labels and the session's progress are committed together, or not at all.
+
+    The checks are made against the session as stored in the version that the commit builds on: of two writers that save the same
+    window, the second finds the session moved on, and is refused.
+    """
+    out: list[Session] = []
+
+    def build(change) -> None:
+        session = session_of(change.read("sessions"), session_id)
+        new, moved = save_window(None, session, rules, window, window_position, positive_dates, now, **moves)
+        change.upsert("labels", new, LABEL_KEY)
+        change.upsert("sessions", session_rows(store.spark, moved), ("session_id",))
+        out[:] = [moved]
+
+    store.commit(build, f"window {window_position} of session {session_id}")
+    return out[0]
+
+
 def prepare_frame(bars: DataFrame, rules: LabelingRules) -> DataFrame:
     """bars with ema_10, ema_20, ema_50, atr, pivot_high and pivot_low, for all instruments at once."""
     from barloom.operators.structure import add_pivot_points

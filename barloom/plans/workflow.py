@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.core import add_percentile, by_date, lead
-from barloom.functions.stored import stored
+from barloom.functions.stored import stored, stored_dir
 from barloom.operators import backtest, boosting, cross_section, dataset, evaluation, labeling, models, quality, studies, targets, trend
 from barloom.plans import catalog, sql
 from barloom.plans.contracts import Block, BlockSet, Task
@@ -16,6 +17,7 @@ from barloom.plans.indicators import out
 from barloom.plans.sql import BARS, KEYS, LAG, TRUE_RANGE, ewm, with_
 from barloom.sources import bars as store
 from barloom.sources.bars import bars_week
+from barloom.sources.versions import Versions
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -44,7 +46,10 @@ def _load(spark, d):
     return store.load_daily_prices(bars_week(spark, d), "tpch", ["Brand#11", "Brand#12", "Brand#13"], "1996-01-01", "1997-12-31", ["close", "volume"])
 
 
-@query("a04_upsert", with_(BARS, select=f"SELECT {KEYS}, CASE WHEN trading_date >= DATE '2000-01-03' THEN floor(close) * 2 ELSE floor(close) END AS close, CASE WHEN trading_date >= DATE '2000-01-03' THEN 'second' ELSE 'first' END AS request_id FROM b"))
+_UPSERTED = with_(BARS, select=f"SELECT {KEYS}, CASE WHEN trading_date >= DATE '2000-01-03' THEN floor(close) * 2 ELSE floor(close) END AS close, CASE WHEN trading_date >= DATE '2000-01-03' THEN 'second' ELSE 'first' END AS request_id FROM b")
+
+
+@query("a04_upsert", _UPSERTED)
 def _upsert(spark, d):
     rows = bars_week(spark, d).withColumns({"dividends": F.lit(0), "stock_splits": F.lit(0), "fetched_at": F.to_timestamp(F.lit("2024-01-01")), "request_id": F.lit("first"), "close": F.floor("close")})
     first = store.upsert(None, rows.filter("trading_date < DATE '2000-06-05'"))
@@ -52,6 +57,17 @@ def _upsert(spark, d):
     return store.upsert(first, second).select("provider", "ticker", "trading_date", F.col("close").cast("double").alias("close"), "request_id")
 
 
+@query("a04_committed_upsert", _UPSERTED)
+def _committed(spark, d):
+    rows = bars_week(spark, d).withColumns({"dividends": F.lit(0), "stock_splits": F.lit(0), "fetched_at": F.to_timestamp(F.lit("2024-01-01")), "request_id": F.lit("first"), "close": F.floor("close")})
+    versions = Versions(spark, f"{stored_dir(spark)}/prices-{uuid.uuid4().hex}")
+    month = "date_format(trading_date, 'yyyy-MM')"
+    store.commit_prices(versions, rows.filter("trading_date < DATE '2000-06-05'"), part=month)
+    later = {"close": F.col("close") * 2, "request_id": F.lit("second"), "fetched_at": F.to_timestamp(F.lit("2024-01-02"))}
+    store.commit_prices(versions, rows.filter("trading_date >= DATE '2000-01-03'").withColumns(later), part=month)
+    return versions.read("bars").select("provider", "ticker", "trading_date", F.col("close").cast("double").alias("close"), "request_id")
+
+
 @query("a09_wide_to_long", with_(BARS, select="SELECT 'p' AS provider, ticker, trading_date, close, volume::DOUBLE AS volume FROM b"))
 def _wide(spark, d):
     b = bars_week(spark, d)
@@ -351,6 +367,26 @@ def _windows(spark, d):
     return labeling.plan_windows(bars_week(spark, d), 30, 15, 10)
 
 
+@query("l03_committed_labels", with_(BARS, f"n AS (SELECT *, row_number() OVER ({sql.P}) - 1 AS rn, count(*) OVER (PARTITION BY provider, ticker) AS n FROM b)", select=f"SELECT 's' AS session_id, {KEYS}, CASE WHEN rn < 15 OR n < 55 THEN CAST(close > open AS INT) ELSE CAST(close < open AS INT) END AS label, CASE WHEN n < 55 THEN 1 ELSE 2 END AS windows FROM n WHERE (n >= 40 AND rn < 30) OR (n >= 55 AND rn < 45)"))
+def _labels(spark, d):
+    """Two windows of every ticker, labelled one after the other; each commit holds the labels and how far each ticker has come."""
+    bars = bars_week(spark, d)
+    windows, rows = labeling.plan_windows(bars, 30, 15, 10), bars.select("provider", "ticker", "trading_date", "open", "close")
+    versions = Versions(spark, f"{stored_dir(spark)}/labels-{uuid.uuid4().hex}")
+    for k, positive in enumerate((F.col("close") > F.col("open"), F.col("close") < F.col("open"))):
+        w = windows.filter(F.col("window") == k).select("provider", "ticker", "first_date", "last_date")
+        inside = rows.join(w, ["provider", "ticker"]).filter("trading_date BETWEEN first_date AND last_date").withColumn("session_id", F.lit("s"))
+        labels = labeling.merge_labels(None, inside, inside.filter(positive), dt.datetime(2024, 1, 1 + k))
+        progress = w.select(F.lit("s").alias("session_id"), "provider", "ticker", F.lit(k + 1).alias("windows"))
+
+        def build(change, labels=labels, progress=progress):
+            change.upsert("labels", labels, labeling.LABEL_KEY, "ticker")
+            change.upsert("progress", progress, ("session_id", "provider", "ticker"))
+
+        versions.commit(build)
+    return versions.read("labels").drop("updated_at").join(versions.read("progress"), ["session_id", "provider", "ticker"])
+
+
 @query("l06_forward_outcomes", with_(BARS, f"t AS (SELECT *, {TRUE_RANGE} AS tr FROM b)", ewm("a", "t", "tr", 1 / 14, 14), f"j AS (SELECT b.*, a.y AS atr, row_number() OVER (PARTITION BY b.provider, b.ticker ORDER BY b.trading_date) AS rn FROM b JOIN a USING ({KEYS}))", "h AS (SELECT unnest(range(1, 4)) AS h)", select="SELECT j.provider, j.ticker, j.trading_date, CAST(h AS INTEGER) AS horizon, round((e.close * 0.9975 - j.close * 1.0025) / (j.close * 1.0025), 6) AS net_return, round((e.close * 0.9975 - j.close * 1.0025) / j.atr, 6) AS net_atr, round((e.close * 0.9975 - j.close * 1.0025) / j.atr, 6) AS net_risk FROM j CROSS JOIN h LEFT JOIN j e ON e.provider = j.provider AND e.ticker = j.ticker AND e.rn = j.rn + h"))
 def _outcomes(spark, d):
     return rounded(labeling.forward_outcomes(trend.add_atr(bars_week(spark, d)), 3))

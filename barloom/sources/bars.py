@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, DecimalType, LongType, StringType, StructField, StructType, TimestampType
 
+from barloom.sources.versions import Versions
+
 KEYS = ("provider", "ticker", "trading_date")
 PRICES = ("open", "high", "low", "close", "adjusted_close", "dividends", "stock_splits")
 BRONZE = StructType(
@@ -72,6 +74,13 @@ def write_bronze(df: DataFrame, root: str) -> str:
     return path
 
 
+def commit_prices(store: Versions, incoming: DataFrame, table: str = "bars", part: str = "date_format(trading_date, 'yyyy-MM-dd')") -> int:
+    """Upsert by key as one committed version: only the parts (by default, days) that incoming has rows of are read and written.
+    Of rows of incoming with the same key, the one fetched last stays. Returns the version."""
+    new = upsert(None, incoming)
+    return store.commit(lambda change: change.upsert(table, new, KEYS, part), f"prices into {table}")
+
+
 def normalize_wide(wide: DataFrame, provider: str, request_id: str, fetched_at, fields: dict[str, str], tickers: list[str]) -> DataFrame:
     """One row a date with columns '<ticker>|<field>' -> one row a ticker and date; rows without any value are dropped.
 

@@ -132,7 +132,7 @@ def test_labelling_sessions_refuse_what_does_not_fit(spark):
     assert session.tickers == ("A", "B") and session.ticker == "A"
     window = spark.createDataFrame([(d,) for d in D[:3]], "trading_date date")
     save = lambda labels, s, **k: labeling.save_window(labels, s, k.pop("rules", rules), window, k.pop("at", s.window_position), k.pop("dates", [D[1]]), now, **k)
-    for bad in ({"at": 4}, {"dates": [D[7]]}, {"rules": labeling.LabelingRules(window_size=4)}, {"next_ticker": 9}, {"next_window": -1}):
+    for bad in ({"at": 4}, {"dates": [D[7]]}, {"rules": labeling.LabelingRules(window_size=4, step_size=3)}, {"next_ticker": 9}, {"next_window": -1}):
         with pytest.raises(ValueError):
             save(None, session, **bad)
     labels, moved = save(None, session, next_window=1, rules=labeling.LabelingRules(window_size=3, step_size=3, forward_horizon=1, reward_risk_ratio=3.0))
