@@ -16,6 +16,7 @@ from barloom.plans.contracts import Block, BlockSet, Task
 from barloom.plans.indicators import out
 from barloom.plans.sql import BARS, KEYS, LAG, TRUE_RANGE, ewm, with_
 from barloom.sources import bars as store
+from barloom.sources import feed
 from barloom.sources.bars import bars_week
 from barloom.sources.versions import Versions
 
@@ -77,6 +78,19 @@ def _wide(spark, d):
     return store.normalize_wide(wide, "p", "r", dt.datetime(2024, 1, 1), {"Close": "close", "Volume": "volume"}, tickers).select("provider", "ticker", "trading_date", "close", "volume")
 
 
+@query("a08_download", with_(BARS, "s AS (SELECT ticker, max(trading_date) AS start_date FROM b WHERE trading_date < DATE '2000-01-03' GROUP BY ticker)", select=f"SELECT {KEYS}, round(close, 6) AS close, volume, CASE WHEN trading_date >= start_date THEN 'new' ELSE 'old' END AS request_id FROM b JOIN s USING (ticker) WHERE trading_date < DATE '2001-06-04'"))
+def _download(spark, d):
+    """Bars stored up to a date are brought up to another one: planned by ticker, downloaded by the data source from files that
+    stand for the provider (made from the same tables), and put in by key."""
+    bars = bars_week(spark, d).withColumns({"dividends": F.lit(0.0), "stock_splits": F.lit(0.0)})
+    folder = f"{stored_dir(spark)}/provider-{uuid.uuid4().hex}"
+    bars.drop("provider").repartition("ticker").write.partitionBy("ticker").option("header", True).csv(folder)
+    known = bars.filter("trading_date < DATE '2000-01-03'").withColumns({"fetched_at": F.lit(dt.datetime(2024, 1, 1)), "request_id": F.lit("old")})
+    plan = quality.update_plan(bars.select("ticker").distinct(), known, "2001-06-04")
+    new = feed.as_bronze(feed.planned(spark, plan, path=folder), "tpch", "new", dt.datetime(2024, 1, 2))
+    return rounded(store.coerce(store.upsert(known, new).select("provider", "ticker", "trading_date", "close", "volume", "request_id")))
+
+
 @query("b01_price_state", with_(BARS, select="SELECT ticker, count(*) AS row_count, min(trading_date) AS first_date, max(trading_date) AS last_date FROM b WHERE trading_date <= DATE '2000-12-31' GROUP BY ticker"))
 def _state(spark, d):
     return quality.price_state(bars_week(spark, d), "tpch", None, "2000-12-31")
@@ -414,7 +428,7 @@ def ranking_samples(spark, d) -> DataFrame:
     return df.withColumn("relative_return", F.col("forward_return_5d") - F.avg("forward_return_5d").over(by_date()))
 
 
-RANKERS = [boosting.RankerParams(trees=12, depth=3, learning_rate=0.3), boosting.RankerParams(trees=8, depth=2, learning_rate=0.3, subsample=0.8, colsample=0.75, alpha=0.1, lam=5.0, gamma=0.01)]
+RANKERS = [boosting.RankerParams(trees=6, depth=3, learning_rate=0.3), boosting.RankerParams(trees=5, depth=2, learning_rate=0.3, subsample=0.8, colsample=0.75, alpha=0.1, lam=5.0, gamma=0.01)]
 
 
 @query("n04_boosted_ranker")
