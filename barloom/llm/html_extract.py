@@ -2,17 +2,23 @@
 
 A page is cut into blocks at block-level tags. Pass one classifies each block by link density, length and the share of
 stop words: good, bad, or undecided (short blocks; blocks between the two stop-word limits; and, inside an ``article``
-or ``main``, blocks of any length with few stop words, such as lists and tables). Pass two gives each undecided block
-the label of the nearest decided neighbour, looking both ways; if both are as near, good wins; if no block is decided,
-the blocks of an article are good and all others bad.
+or ``main``, blocks of any length with few stop words, such as lists and tables). Outside those, only blocks of more than LONG
+characters are good by themselves; where a page has none, blocks of SHORT to LONG characters with many stop words make
+their neighbours of the same kind good (a page in short paragraphs), or, if no two are neighbours, count alone; where it has
+none of these either, paragraphs of at least PLAIN words do. Pass two gives each undecided block the label of the nearest
+decided neighbour, looking both ways; if both are as near, good wins; if no block is decided, the blocks of an article
+are good and all others bad.
 
 Before the passes, what is never main text by its markup is dropped: scripts, styles, forms and the like by tag;
-menus, headers, footers, sidebars, notices, adverts and comments by tag, role, or the names in class and id. A name that
-is a mark (or whose BEM block is) drops a container unless that holds most of the page's prose or of its articles; a name
-of which a mark is only a part (``with-sidebar``) drops a container only if it holds neither prose nor an ``h1``; inline
-tags are dropped by marks only, whatever they hold. Where
-``article`` and ``main`` hold the greater part of the text outside links, blocks outside them are bad; otherwise they
-don't count. On a page without any block that has enough stop words of the known languages, length decides instead.
+menus, headers, footers and sidebars by tag, role, or the names in class and id; comments, notices and adverts by those names,
+however long they are. A name is a mark if it is one of MARKS or FINAL as a whole (or its BEM block is). A mark of FINAL always
+drops what it names, an ``article`` too if it is a reader's comment; a name of which such a mark is one word
+(``user-comments``) does so unless it states something of what it holds (``has-comments``, ``ad-free``) or holds an article, a
+main or an h1. A mark of MARKS drops a container unless that holds most of the page's prose or of its articles; a name of which one is
+only a part (``with-sidebar``) drops a container only if it holds neither prose nor an ``h1``; inline tags are dropped by marks
+only, whatever they hold. A ``main`` with prose, and an ``article`` that has an h1, more than LONG characters of prose, or half of the
+page's text outside links, decide: blocks outside them are bad. Otherwise they don't count. On a page without any block that
+has enough stop words of the known languages, length decides instead.
 
 Defined cases: null and empty html, and pages without a good block, give the empty text; unclosed and stray tags and
 comments are tolerated (an end tag closes what is open inside it; an unclosed comment or script runs to the end); a
@@ -48,6 +54,7 @@ STOP_WORDS = frozenset(
 
 MAX_LINKS = 0.3  # share of a block's characters inside links
 SHORT, LONG = 70, 200  # characters
+PLAIN = 5  # words
 FEW_STOPS, MANY_STOPS = 0.15, 0.25  # share of a block's words
 
 # Tags by their part in a page.
@@ -62,12 +69,19 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 # Words of class and id that mark what is not main text.
 MARKS = frozenset(
     """
-    ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion menu nav navbar navigation
-    breadcrumb breadcrumbs header masthead footer sidebar aside rail widget widgets notice notices cookie cookies consent
-    gdpr banner popup modal overlay comment comments commentlist disqus reply replies respond share sharing social related
-    recommended newsletter subscribe subscription signup login search form pagination pager toolbar skip
+    menu nav navbar navigation breadcrumb breadcrumbs header masthead footer sidebar aside rail widget widgets share sharing
+    social related recommended login signup search form pagination pager toolbar skip
     """.split()
 )
+COMMENTS = frozenset("comment comments commentlist disqus reply replies respond".split())
+FINAL = COMMENTS | frozenset(
+    """
+    ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion notice notices cookie cookies consent
+    gdpr banner popup modal overlay newsletter subscribe subscription
+    """.split()
+)
+# Words beside a mark that say how a page is laid out, not what a container is.
+STATES = frozenset("with without has have had is no not non free on off open opened closed enabled disabled allow allowed show hide hidden js after before below above count counter link links".split())
 
 # possessive throughout: an attempt reads each character once, whether it matches or not
 _MARKUP = re.compile(
@@ -75,54 +89,80 @@ _MARKUP = re.compile(
 )
 _ATTRIBUTE = re.compile(r"""(?i)\b(class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""")
 _WORD = re.compile(r"[^\W\d_]+")
+_HUMP = re.compile(r"(?<=[a-z0-9])(?=[A-Z])")
 
 
 class Block:
-    __slots__ = ("label", "linked", "main", "own", "prose", "text", "within")
+    __slots__ = ("label", "linked", "main", "own", "paragraph", "prose", "text", "title", "within")
 
-    def __init__(self, text: str, linked: int, main: bool, paragraph: bool, within: int):
-        self.text, self.linked, self.main, self.label = text, linked, main, ""
+    def __init__(self, text: str, linked: int, main: int, paragraph: bool, title: bool, within: int):
+        self.text, self.linked, self.label = text, linked, ""
+        self.main = main  # the outermost article or main that holds it, or -1
+        self.paragraph, self.title = paragraph, title
         self.own = max(0, len(text) - linked)  # characters outside links
         self.prose = self.own if linked <= MAX_LINKS * len(text) and (paragraph or len(text) >= SHORT) else 0
         self.within = within  # the innermost marked container that holds it, or -1
 
 
+def _final(names: list[str], words: frozenset) -> str:
+    """Whether a name is a mark as a whole, or has one among its words without saying how the page is laid out."""
+    found = ""
+    for n in names:
+        parts = re.split(r"[^a-z0-9]+", n)
+        if n in words or re.split("__|--", n)[0] in words:
+            return "always"
+        if words.intersection(parts) and not STATES.intersection(parts):
+            found = "final part"
+    return found
+
+
 def _dropped(tag: str, rest: str) -> str:
-    """always; mark or part: by a class or id that is a mark, or has one among its words; or nothing."""
+    """always; mark: by a class or id that is a mark; final part, part: that has one among its words; or nothing."""
     if tag in DROPPED:
         return "always"
-    if tag in ("html", "body", "article", "main") or "=" not in rest:
+    if tag in ("html", "body", "main") or "=" not in rest:
         return ""
     found = ""
     for name, value in _ATTRIBUTE.findall(rest):
-        names = value.strip("\"'").lower().split()
-        if name.lower() == "role":
+        names = _HUMP.sub("-", value.strip("\"'")).lower().split()
+        if tag == "article":
+            if name.lower() != "role" and _final(names, COMMENTS):
+                return "always"
+        elif name.lower() == "role":
             if ROLES.intersection(names):
                 return "always"
-        elif any(n in MARKS or re.split("__|--", n)[0] in MARKS for n in names):
+        elif kind := _final(names, FINAL):
+            if kind == "always":
+                return kind
+            found = kind
+        elif found in ("", "part") and any(n in MARKS or re.split("__|--", n)[0] in MARKS for n in names):
             found = "mark"
         elif not found and any(MARKS.intersection(re.split(r"[^a-z0-9]+", n)) for n in names):
             found = "part"
     return found
 
 
-def _without_marked(blocks: list[Block], kinds: list[str], outer: list[int], titles: set[int]) -> list[Block]:
+def _without_marked(blocks: list[Block], kinds: list[str], outer: list[int], titles: set[int], articles: set[int]) -> list[Block]:
     """The blocks outside the marked containers that are to be dropped. A container comes after those that hold it."""
+    holds = [k in articles for k in range(len(kinds))]
     prose, mains, title = [0] * len(kinds), [0] * len(kinds), [k in titles for k in range(len(kinds))]
     for b in blocks:
         if b.within >= 0:
             prose[b.within] += b.prose
-            mains[b.within] += b.own * b.main
+            mains[b.within] += b.own * (b.main >= 0)
     for k in range(len(kinds) - 1, -1, -1):
         if outer[k] >= 0:
             prose[outer[k]] += prose[k]
             mains[outer[k]] += mains[k]
             title[outer[k]] |= title[k]
-    all_prose, all_mains = sum(b.prose for b in blocks), sum(b.own for b in blocks if b.main)
+            holds[outer[k]] |= holds[k]
+    all_prose, all_mains = sum(b.prose for b in blocks), sum(b.own for b in blocks if b.main >= 0)
     gone: list[bool] = []
     for k, kind in enumerate(kinds):
         if outer[k] >= 0 and gone[outer[k]]:
             gone.append(True)
+        elif kind == "final part":
+            gone.append(not title[k] and not holds[k])
         elif kind == "part":
             gone.append(not prose[k] and not title[k])
         else:
@@ -140,14 +180,15 @@ def blocks_of(html: str) -> list[Block]:
     kinds: list[str] = []  # of marked containers
     outer: list[int] = []  # the marked container around each
     titles: set[int] = set()  # marked containers with an h1
-    inner, drop, mains = -1, 0, 0
+    articles: set[int] = set()  # marked containers with an article or main
+    inner, drop, mains, outermost = -1, 0, 0, -1
 
     def flush() -> None:
         text = " ".join(unescape("".join(parts)).split())
         if text:
             if inner >= 0 and names.get("h1"):
                 titles.add(inner)
-            out.append(Block(text, len(" ".join(unescape("".join(links)).split())), mains > 0, bool(names.get("p")), inner))
+            out.append(Block(text, len(" ".join(unescape("".join(links)).split())), outermost if mains else -1, bool(names.get("p")), bool(names.get("h1")), inner))
         parts.clear()
         links.clear()
 
@@ -198,7 +239,7 @@ def blocks_of(html: str) -> list[Block]:
                 at = end.end() if end else len(html)
                 continue
             kind = _dropped(tag, rest)
-            marked = kind in ("mark", "part") and tag in BLOCK
+            marked = kind not in ("", "always") and tag in BLOCK
             dropped = kind == "always" or (kind == "mark" and not marked)
             if marked:
                 outer.append(inner)
@@ -207,29 +248,68 @@ def blocks_of(html: str) -> list[Block]:
             open_.append((tag, dropped, marked))
             names[tag] = names.get(tag, 0) + 1
             drop += dropped
-            mains += tag in MAIN
+            if tag in MAIN:
+                outermost += not mains
+                mains += 1
+                if inner >= 0 and not drop:
+                    articles.add(inner)
     flush()
-    return _without_marked(out, kinds, outer, titles)
+    return _without_marked(out, kinds, outer, titles, articles)
+
+
+def _deciding(blocks: list[Block]) -> set[int]:
+    """The articles and mains that decide."""
+    own, prose, titled = {}, {}, set()
+    for b in blocks:
+        if b.main >= 0:
+            own[b.main] = own.get(b.main, 0) + b.own
+            prose[b.main] = prose.get(b.main, 0) + b.prose
+            if b.title:
+                titled.add(b.main)
+    every = sum(b.own for b in blocks)
+    return {m for m in own if prose[m] and (prose[m] > LONG or m in titled or 2 * own[m] >= every)}
+
+
+def _by_neighbours(blocks: list[Block], near: list[int], stops: list[float], known: bool) -> None:
+    """On a page without a good block: which blocks of medium length, or else paragraphs, count."""
+    others = [i for i, b in enumerate(blocks) if len(b.text) >= SHORT and b.label != "outside"]
+    place, own = {i: k for k, i in enumerate(others)}, set(near)
+    paired = [i for i in near if any(0 <= k < len(others) and others[k] in own for k in (place[i] - 1, place[i] + 1))]
+    for i in paired or near:
+        blocks[i].label = "good"
+    if not near:
+        for b, share in zip(blocks, stops, strict=True):
+            if b.paragraph and not b.label and len(b.text.split()) >= PLAIN and (share >= MANY_STOPS or not known):
+                b.label = "good"
 
 
 def classify(blocks: list[Block]) -> None:
     """Both passes: sets each block's label to good or bad."""
-    has_main = any(b.main for b in blocks) and sum(b.own for b in blocks if b.main) * 2 >= sum(b.own for b in blocks)
-    shares = []
+    deciding = _deciding(blocks)
+    has_main, shares = bool(deciding), []
     for b in blocks:
-        b.main = b.main and has_main
+        b.main = b.main in deciding
         words = _WORD.findall(b.text.lower())
         shares.append(sum(w in STOP_WORDS for w in words) / max(1, len(words)))
     known = any(x >= FEW_STOPS for x, b in zip(shares, blocks, strict=True) if len(b.text) >= SHORT and b.linked <= MAX_LINKS * len(b.text))
-    for b, stops in zip(blocks, shares, strict=True):
-        if b.linked > MAX_LINKS * len(b.text) or (has_main and not b.main):
+    near = []
+    for i, (b, stops) in enumerate(zip(blocks, shares, strict=True)):
+        if has_main and not b.main:
+            b.label = "outside"
+        elif b.linked > MAX_LINKS * len(b.text):
             b.label = "bad"
         elif len(b.text) < SHORT:
             b.label = ""
         elif stops >= MANY_STOPS or not known:
             b.label = "good" if len(b.text) > LONG or b.main else ""
+            if not b.label:
+                near.append(i)
         else:
             b.label = "" if stops >= FEW_STOPS or b.main else "bad"
+    if not any(b.label == "good" for b in blocks):
+        _by_neighbours(blocks, near, shares, known)
+    for b in blocks:
+        b.label = "bad" if b.label == "outside" else b.label
     decided = [b.label for b in blocks]
     before: list[int | None] = []
     last = None
