@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 import uuid
 
 from pyspark.sql import DataFrame
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 from barloom.functions.core import add_percentile, by_date, lead
 from barloom.functions.stored import stored, stored_dir
 from barloom.operators import backtest, boosting, cross_section, dataset, evaluation, labeling, models, quality, studies, targets, trend
-from barloom.plans import catalog, sql
+from barloom.plans import catalog, sql, surface
 from barloom.plans.contracts import Block, BlockSet, Task
 from barloom.plans.indicators import out
 from barloom.plans.sql import BARS, KEYS, LAG, TRUE_RANGE, ewm, with_
@@ -417,6 +418,41 @@ def _heat(spark, d):
     return rounded(labeling.heat_limit(df, "return_1d"))
 
 
+# --- the same in SQL
+
+
+@query("q01_sql_functions", with_(BARS, f"p AS (SELECT *, lag(close) {LAG} AS pc FROM b)", select=f"SELECT {KEYS}, (high + low + close) / 3 AS typical, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, open * (adjusted_close / close) AS adj_open, (close - low) / nullif(high - low, 0) AS location, low > 0 AND open > 0 AND close > 0 AND high >= greatest(open, close) AND low <= least(open, close) AS valid FROM p"))
+def _sql_functions(spark, d):
+    surface.register(spark)
+    return spark.sql(
+        """SELECT provider, ticker, trading_date, typical_price(high, low, close) AS typical, true_range_of(high, low, lag(close) OVER w) AS tr,
+        adjusted_price(open, close, adjusted_close) AS adj_open, close_location(high, low, close) AS location, valid_bar(open, high, low, close) AS valid
+        FROM {bars} WINDOW w AS (PARTITION BY provider, ticker ORDER BY trading_date)""",
+        bars=bars_week(spark, d),
+    )
+
+
+@query("q02_sql_ewm", with_(BARS, ewm("e", "b", "close", 0.1, 10), select=f"SELECT {KEYS}, round(y, 6) AS mean FROM e"))
+def _sql_ewm(spark, d):
+    surface.register(spark)
+    rows = bars_week(spark, d).select("provider", "ticker", "trading_date", F.col("close").alias("x"))
+    return rounded(spark.sql("SELECT * FROM ewm(TABLE({rows}) PARTITION BY (provider, ticker) ORDER BY (trading_date), 0.1D, 10)", rows=rows))
+
+
+@query("q03_sql_zigzag")
+def _sql_zigzag(spark, d):
+    surface.register(spark)
+    return rounded(spark.sql("SELECT * FROM zigzag(TABLE({bars}) PARTITION BY (provider, ticker) ORDER BY (trading_date), 5.0D, 10)", bars=bars_week(spark, d)))
+
+
+@query("q04_sql_backtest")
+def _sql_backtest(spark, d):
+    surface.register(spark)
+    rows = backtest._rows_of_runs(bars_week(spark, d), _signals(spark, d), RULES)
+    rules = json.dumps({name: vars(r) for name, r in RULES.items()}).replace("{", "{{").replace("}", "}}")  # for the formatter
+    return rounded(spark.sql(f"SELECT * FROM backtest(TABLE({{rows}}) PARTITION BY run ORDER BY (trading_date, provider, ticker), '{rules}')", rows=rows))
+
+
 # --- studies
 
 
