@@ -193,10 +193,36 @@ def ranking_summary(daily: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(p: DataFrame, k: int = 5, bins: int = 10, quantiles: int = 5, seed: int = 0, threshold: float = 0.5) -> dict[str, DataFrame]:
-    """Every table of a report over valid predictions: metrics (one row), calibration, quantiles, top_k, random_top_k, lift, by_date."""
+def daily_summary(by_date: DataFrame) -> DataFrame:
+    """One row from by_date_metrics: dates, mean Spearman and the share of dates on which it is positive, mean top-k return and rate."""
+    return by_date.agg(
+        F.count(F.lit(1)).alias("dates"), F.avg("spearman").alias("mean_daily_spearman"), F.avg((F.col("spearman") > 0).cast("double")).alias("positive_spearman_share"),
+        F.avg("top_k_mean_return").alias("mean_top_k_return"), F.avg("top_k_positive_rate").alias("mean_top_k_positive_rate"),
+    )
+
+
+def evaluate(
+    p: DataFrame, k: int = 5, bins: int = 10, quantiles: int = 5, seed: int = 0, threshold: float = 0.5,
+    features: DataFrame | None = None, feature_columns=(), context: dict[str, str] | None = None,
+) -> dict[str, DataFrame]:
+    """Every table of a report over valid predictions: metrics (one row, the means over dates and the context included), calibration,
+    quantiles, top_k, random_top_k, lift, by_date, and missingness of the features of the rows that were scored.
+
+    features: keys and feature_columns; only rows with a prediction count. context: names of columns to say what was evaluated.
+    """
     p = checked(p, threshold)
-    return {
-        "metrics": classification(p), "calibration": calibration(p, bins), "quantiles": quantile_table(p, quantiles), "top_k": top_k(p, k), "random_top_k": random_top_k(p, k, seed),
-        "lift": lift(p, k, seed), "by_date": by_date_metrics(p, k),
+    by_date = by_date_metrics(p, k)
+    metrics = classification(p).crossJoin(daily_summary(by_date))  # one row each
+    if context:
+        taken = set(metrics.columns) & set(context)
+        if taken:
+            raise ValueError(f"context may not be named {sorted(taken)}")
+        metrics = metrics.withColumns({name: F.lit(value) for name, value in context.items()})
+    out = {
+        "metrics": metrics, "calibration": calibration(p, bins), "quantiles": quantile_table(p, quantiles), "top_k": top_k(p, k), "random_top_k": random_top_k(p, k, seed),
+        "lift": lift(p, k, seed), "by_date": by_date,
     }
+    if features is not None:
+        scored = features.join(p.select("provider", "ticker", ORDER), ["provider", "ticker", ORDER], "left_semi")
+        out["missingness"] = missingness(scored, list(feature_columns))
+    return out

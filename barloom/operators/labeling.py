@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.core import KEYS, ORDER, check_length, divide, finite, lead, position
+from barloom.functions.selection import exact_percentiles
 
 LABEL_KEY = ("session_id", "provider", "ticker", "trading_date")
 
@@ -78,8 +79,9 @@ def latest_session(sessions: DataFrame, **where) -> DataFrame:
 
 
 def heat_limit(df: DataFrame, x: str, share: float = 0.98) -> DataFrame:
-    """One row: the percentile of the absolute finite values."""
-    return df.agg(F.percentile(F.abs(finite(x)), share).alias("limit"))
+    """One row: the percentile of the absolute finite values, found by selection."""
+    found = exact_percentiles(df, {"limit": F.abs(finite(x))}, share)["limit"]
+    return df.sparkSession.createDataFrame([(found,)], "limit double")
 
 
 @dataclass(frozen=True)
@@ -253,9 +255,10 @@ def prepare_universe(bronze: DataFrame, provider: str, tickers, end: dt.date, ru
 def context_slice(frames: DataFrame, windows: DataFrame, rules: LabelingRules) -> DataFrame:
     """(window, in_window, all columns of frames): each window's rows with half a window around them, after it at least the forward horizon."""
     around = max(1, rules.window_size // 2)
-    rows = frames.withColumn("__row", position() - 1)
-    w = windows.select(*KEYS, "window", "first_row", "last_row")
-    met = rows.join(w, list(KEYS)).filter((F.col("__row") >= F.col("first_row") - around) & (F.col("__row") <= F.col("last_row") + max(around, rules.forward_horizon)))
+    # each window's row numbers are written out, so that rows meet windows by equal keys
+    first, last = F.greatest(F.col("first_row") - around, F.lit(0)), F.col("last_row") + max(around, rules.forward_horizon)
+    w = windows.select(*KEYS, "window", "first_row", "last_row", F.explode(F.sequence(first.cast("long"), last.cast("long"))).alias("__row"))
+    met = frames.withColumn("__row", (position() - 1).cast("long")).join(w, [*KEYS, "__row"])
     return met.select("window", F.col("__row").between(F.col("first_row"), F.col("last_row")).alias("in_window"), *frames.columns)
 
 

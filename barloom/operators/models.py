@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.core import ORDER, finite
+from barloom.functions.selection import exact_percentiles
 from barloom.operators.evaluation import random_score
 
 
@@ -22,8 +23,8 @@ class Preprocessing:
     @classmethod
     def fit(cls, train: DataFrame, features) -> Preprocessing:
         x = {c: finite(F.col(c).cast("double")) for c in features}
-        row = train.agg(*[F.percentile(v, 0.5).alias(c) for c, v in x.items()]).first()
-        medians = {c: 0.0 if row[c] is None else row[c] for c in features}
+        found = exact_percentiles(train, x, 0.5)
+        medians = {c: 0.0 if found[c] is None else found[c] for c in features}
         filled = {c: F.coalesce(v, F.lit(medians[c])) for c, v in x.items()}
         row = train.agg(*[f(v).alias(f"{n}_{c}") for c, v in filled.items() for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
         return cls(medians, {c: row[f"m_{c}"] for c in features}, {c: row[f"s_{c}"] or 1.0 for c in features})

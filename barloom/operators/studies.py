@@ -132,31 +132,50 @@ def deciles(p: DataFrame, bins: int = 10) -> DataFrame:
 
 
 def bootstrap_spreads(spreads: DataFrame, x: str = "spread", resamples: int = 500, seed: int = 0) -> DataFrame:
-    """(mean, low, high): 2.5 and 97.5 % of the means of resampled dates. Each draw picks a date by a hash, so it repeats.
-
-    Dates are few; each is met by resamples * 1 draws through an equi-join on its number.
+    """(mean, low, high): 2.5 and 97.5 % of the means of resampled dates. Each draw picks a date by a hash (SHA-256 of seed, resample
+    and draw), so it repeats, on any engine. Dates are few; each is met by its draws through an equi-join on its number.
     """
     rows = spreads.filter(F.col(x).isNotNull())
     numbered = rows.select(F.col(x).alias("x"), (F.row_number().over(Window.orderBy(ORDER)) - 1).alias("i"))
     n = rows.count()
     if not n:
         return spreads.sparkSession.createDataFrame([], "mean double, low double, high double")
-    draws = spreads.sparkSession.range(resamples * n).select((F.col("id") % resamples).alias("b"), F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n)).cast("int").alias("i"))
+    ids = spreads.sparkSession.range(resamples * n).select((F.col("id") % resamples).alias("b"), F.floor(F.col("id") / resamples).alias("j"))
+    pick = F.floor(random_score(seed, "b", "j") * n)
+    draws = ids.select("b", F.least(pick, F.lit(n - 1)).cast("int").alias("i"))
     means = draws.join(numbered, "i").groupBy("b").agg(F.avg("x").alias("m"))
     return means.agg(F.avg("m").alias("mean"), F.percentile("m", 0.025).alias("low"), F.percentile("m", 0.975).alias("high"))
 
 
 def permutation_test(p: DataFrame, k: int, permutations: int = 250, seed: int = 0) -> DataFrame:
-    """(observed, p_value): the mean top-k return against scores shuffled within dates; p = (1 + those at least as high) / (n + 1)."""
-    rows = p.filter(F.col("ranking_return").isNotNull()).select("provider", "ticker", ORDER, "score", "ranking_return")
-    place = F.row_number().over(Window.partitionBy(ORDER).orderBy(F.desc("score"), "ticker"))
-    observed = rows.withColumn("__p", place).filter(F.col("__p") <= k).groupBy(ORDER).agg(F.avg("ranking_return").alias("m")).agg(F.avg("m").alias("observed"))
-    each = rows.withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
-    shuffled = F.row_number().over(Window.partitionBy("b", ORDER).orderBy(F.xxhash64("b", "provider", "ticker", ORDER, F.lit(seed)), "ticker"))
-    means = each.withColumn("__p", shuffled).filter(F.col("__p") <= k).groupBy("b", ORDER).agg(F.avg("ranking_return").alias("m")).groupBy("b").agg(F.avg("m").alias("m"))
-    one = observed.withColumn("__one", F.lit(1))
-    met = means.withColumn("__one", F.lit(1)).join(F.broadcast(one), "__one")  # one row
-    return met.groupBy("observed").agg(((1 + F.count_if(F.col("m") >= F.col("observed"))) / (permutations + 1)).alias("p_value"))
+    """(observed, p_value): the mean top-k return against scores shuffled within dates; p = (1 + those at least as high) / (n + 1).
+
+    A date's rows (one an instrument) are shuffled once; its task draws all permutations, by SHA-256 of permutation, seed and keys,
+    and gives back the mean of the k first of each: dates x permutations rows, whatever the number of instruments.
+    """
+    rows = p.filter(F.col("ranking_return").isNotNull()).select("provider", "ticker", F.col(ORDER).cast("string").alias("day"), "score", F.col("ranking_return").cast("double").alias("r"))
+
+    def draw(key, t):
+        import heapq
+        from hashlib import sha256
+
+        import pyarrow as pa
+
+        t = t.sort_by([("score", "descending"), ("ticker", "ascending")])
+        r, day = t.column("r").to_pylist(), key[0].as_py()
+        names = list(zip(t.column("provider").to_pylist(), t.column("ticker").to_pylist(), strict=True))
+        mean = lambda at: sum(r[i] for i in at) / len(at)
+        means = [mean(range(min(k, len(r))))]
+        for b in range(permutations):
+            order = [(sha256(f"{b}\x1f{seed}\x1f{a}\x1f{c}\x1f{day}".encode()).hexdigest(), c, i) for i, (a, c) in enumerate(names)]
+            means.append(mean([i for _, _, i in heapq.nsmallest(k, order)]))
+        return pa.table({"b": pa.array(range(-1, permutations), pa.int32()), "m": pa.array(means, pa.float64())})
+
+    means = rows.groupBy("day").applyInArrow(draw, "b int, m double").groupBy("b").agg(F.avg("m").alias("m"))
+    # permutations + 1 rows
+    return means.agg(F.max(F.when(F.col("b") < 0, F.col("m"))).alias("observed"), F.array_agg(F.when(F.col("b") >= 0, F.col("m"))).alias("all")).select(
+        "observed", ((1 + F.size(F.filter("all", lambda m: m >= F.col("observed")))) / (permutations + 1)).alias("p_value")
+    ).filter("observed IS NOT NULL")
 
 
 def short_horizon_targets(bars: DataFrame, horizons=(1, 2, 3), atr: str = "atr", max_raw: float = 3.0, max_units: float = 50.0, least_atr: float = 1e-4) -> DataFrame:

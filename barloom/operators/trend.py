@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from barloom.functions.core import (
-    adjusted, by_ticker, check_length, check_new, clip_low, col, divide, ema_alpha, ewm, lag, position, previous, rolling, runs, wilder_alpha,
+    KEYS, ORDER, adjusted, by_ticker, check_length, check_new, clip_low, col, divide, ema_alpha, ewm, finite, lag, position, previous, rolling, runs, wilder_alpha,
 )
+from barloom.functions.stored import stored
 
 
 PREPARED = "__memo_"
@@ -148,35 +150,83 @@ def add_mfi(df: DataFrame, length: int = 14, name: str = "mfi", high="high", low
     return df.withColumn(name, divide(100.0 * pos, pos + neg)).drop("__tp", "__pos", "__neg")
 
 
-def add_expanding_percentile(df: DataFrame, x: str, min_history: int = 1, name: str = "ppo_percentile") -> DataFrame:
-    """Share of an instrument's earlier values that are at most the value; NULL with fewer than min_history of them.
+def earlier_at_most(v):
+    """For each value, how many before it are at most it; NaN counts for nothing. Compared in slices: n * n / 2 steps."""
+    import numpy as np
 
-    A history is one group, in which values are put into a sorted list one after the other.
-    """
-    from pyspark.sql.types import DoubleType, StructField, StructType
+    v = np.asarray(v, np.float64)
+    out = np.zeros(len(v), np.int64)
+    for a in range(0, len(v), 512):
+        own = v[a : a + 512]
+        for c in range(0, a, 4096):
+            out[a : a + 512] += (v[None, c : min(a, c + 4096)] <= own[:, None]).sum(axis=1)
+        out[a : a + 512] += np.tril(own[None, :] <= own[:, None], -1).sum(axis=1)
+    return out
 
-    from barloom.functions.core import KEYS, ORDER
 
+def add_expanding_percentile(df: DataFrame, x: str, min_history: int = 1, name: str = "ppo_percentile", block: int | None = None) -> DataFrame:
+    """Share of an instrument's earlier values that are at most the value; NULL with fewer than min_history of them.
+
+    With ``block``, no task holds more than that many rows of a history at a time: rows are cut into blocks of time and into ranges
+    of value, both of ``block`` rows. What is earlier and at most the value is in an earlier block and a lower range (running sums
+    over counts by block and range), in the same range of an earlier block (compared within the range), or in the same block
+    (compared within the block). Without it a history is one group: right for daily bars, of which decades are some thousands.
+    """
     check_length(min_history)
     check_new(df, [name])
+    if block is not None:
+        return _percentile_in_blocks(df, x, min_history, name, block)
 
     def rank(_, bars):
-        from bisect import bisect_right, insort
-
+        import numpy as np
         import pyarrow as pa
 
-        bars, seen, out = bars.sort_by(ORDER), [], []
-        for v in bars.column(x).to_pylist():
-            if v is None:
-                out.append(None)
-                continue
-            out.append(bisect_right(seen, v) / len(seen) if len(seen) >= min_history else None)
-            insort(seen, v)
-        return bars.append_column(name, pa.array(out, pa.float64()))
+        bars = bars.sort_by(ORDER)
+        v = bars.column(x).to_numpy().astype(np.float64)
+        here = ~np.isnan(v)
+        before = np.cumsum(here) - here
+        share = np.where(here & (before >= min_history), earlier_at_most(v) / np.maximum(before, 1), np.nan)
+        return bars.append_column(name, pa.array(share, pa.float64(), from_pandas=True))
 
     return df.groupBy(*KEYS).applyInArrow(rank, StructType([*df.schema.fields, StructField(name, DoubleType())]))
 
 
+def _percentile_in_blocks(df: DataFrame, x: str, min_history: int, name: str, block: int) -> DataFrame:
+    check_length(block)
+    own = Window.partitionBy(*KEYS)
+    rows = df.select(*KEYS, ORDER, finite(x).alias("v")).filter("v IS NOT NULL")
+    rows = rows.withColumn("at", F.row_number().over(own.orderBy(ORDER)) - 1).withColumn("place", F.row_number().over(own.orderBy("v", "at")) - 1)
+    rows = stored(rows.withColumns({"block": F.floor(F.col("at") / block), "range": F.floor(F.col("place") / block)}), "ranked")
+    cells = rows.groupBy(*KEYS, "block", "range").agg(F.count(F.lit(1)).alias("n"))
+    # of each block that has a row in a range: rows of earlier blocks in lower ranges
+    grid = cells.select(*KEYS, "block").distinct().join(cells.select(*KEYS, "range").distinct(), list(KEYS)).join(cells, [*KEYS, "block", "range"], "left")
+    lower = F.coalesce(F.sum("n").over(Window.partitionBy(*KEYS, "block").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    earlier = F.coalesce(F.sum("lower").over(Window.partitionBy(*KEYS, "range").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    corner = grid.withColumn("lower", lower).withColumn("corner", earlier).filter("n IS NOT NULL").select(*KEYS, "block", "range", "corner")
+
+    def compared(within: str, other: str):
+        """Counts of earlier rows at most the row, in the same ``within``; of other blocks only where that is a range."""
+
+        def run(_, t):
+            import pyarrow as pa
+
+            t = t.sort_by("at")
+            v, k = t.column("v").to_numpy(), t.column(other).to_numpy()
+            n = earlier_at_most(v)
+            if within == "range":  # not those of the same block
+                for b in set(k.tolist()):
+                    same = k == b
+                    n[same] -= earlier_at_most(v[same])
+            return pa.table({**{c: t.column(c) for c in (*KEYS, "at")}, "n": pa.array(n)})
+
+        kinds = ", ".join(f"{c} {dict(rows.dtypes)[c]}" for c in KEYS)
+        return rows.groupBy(*KEYS, within).applyInArrow(run, f"{kinds}, at int, n long").withColumnRenamed("n", f"in_{within}")
+
+    found = rows.join(corner, [*KEYS, "block", "range"]).join(compared("block", "range"), [*KEYS, "at"]).join(compared("range", "block"), [*KEYS, "at"])
+    share = F.when(F.col("at") >= min_history, F.try_divide(F.col("corner") + F.col("in_block") + F.col("in_range"), F.col("at").cast("double")))
+    return df.join(found.select(*KEYS, ORDER, share.alias(name)), [*KEYS, ORDER], "left").select(*df.columns, name)
+
+
 def linreg_endpoint(x: str | Column, length: int, offset: int = 0) -> Column:
     """The fitted value, at position length - 1 - offset, of the line through the last ``length`` values."""
     check_length(length)

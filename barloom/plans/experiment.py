@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barloom.operators import evaluation, models
+from barloom.operators import evaluation, models, quality
 from barloom.operators.dataset import KEYS, DatasetSpec, SplitSpec, check_bundle, construct, expanding_folds, manifest, scope_violations, split, split_summary
 from barloom.plans.contracts import Task, digest
 from barloom.sources.bars import load_daily_prices
@@ -43,11 +44,22 @@ class Result:
     metrics: DataFrame
 
 
-def build_dataset(bronze: DataFrame, spec: DatasetSpec, eligibility: DataFrame | None = None) -> DataFrame:
-    """Scan what the spec names, refuse what is outside it, build the bundle and validate it."""
+def eligibility_at(prices: DataFrame, spec: DatasetSpec, cutoff: dt.date | str | None = None, thresholds: quality.Thresholds | None = None) -> DataFrame:
+    """(ticker, ok, reasons) of the spec's tickers by what was known at the cutoff (the spec's end): later bars don't count."""
+    wanted = prices.sparkSession.createDataFrame([(t,) for t in spec.universe.tickers], "ticker string")
+    return quality.training_eligibility(prices, wanted, cutoff or spec.end_date, spec.universe.provider, thresholds or quality.Thresholds())
+
+
+def build_dataset(bronze: DataFrame, spec: DatasetSpec, eligibility: DataFrame | None = None, cutoff: dt.date | str | None = None, thresholds: quality.Thresholds | None = None) -> DataFrame:
+    """Scan what the spec names, refuse what is outside it, build the bundle and validate it.
+
+    Which tickers are eligible is given, or else, with a cutoff, derived from their bars up to it; without either all are.
+    """
     prices = load_daily_prices(bronze, spec.universe.provider, list(spec.universe.tickers), spec.start_date, spec.end_date)
     if wrong := [tuple(r) for r in scope_violations(prices, spec.universe, spec.start_date, spec.end_date).limit(20).collect()]:
         raise ValueError(f"the prices don't fit the spec: {wrong}")
+    if eligibility is None and cutoff is not None:
+        eligibility = eligibility_at(prices, spec, cutoff, thresholds)
     return check_bundle(construct(prices, spec.features, spec.targets, spec.task, eligibility), spec.features, spec.targets, spec.task, spec.end_date)
 
 
@@ -91,7 +103,8 @@ def run_experiment(
         for name in ("validation", *(["test"] if open_test else [])):
             p = out.predictions.filter(F.col("split") == name).drop("split").persist()
             try:
-                tables = evaluation.evaluate(p, k, threshold=spec.threshold)
+                context = {"split": name, "model_type": spec.model_type, "target": data.task.column, "experiment": out.digest}
+                tables = evaluation.evaluate(p, k, threshold=spec.threshold, features=bundle, feature_columns=spec.columns(), context=context)
                 metrics = tables.pop("metrics")
                 write_report(f"{root}/{name}", metrics, tables, p)
                 log.put("metrics", **{f"{name}_{c}": v for c, v in metrics.first().asDict().items() if v is not None})

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from barloom.functions.core import by_ticker, ema_alpha, wilder_alpha
 from barloom.operators import candles, cross_section, features, structure, targets, trend, volatility
-from barloom.plans import flagship, sql
+from barloom.plans import catalog, flagship, sql
 from barloom.plans.sql import BARS, HOURS, KEYS, LAG, TRUE_RANGE, div, ewm, frame, r6, rolling, with_
 from barloom.sources.bars import bars_hour, bars_week
 
@@ -101,7 +101,7 @@ _MFI = (
 )
 add("m10_mfi", lambda b: trend.add_mfi(b), "mfi", oracle=with_(BARS, *_MFI, select=f"SELECT {KEYS}, round({div(f'100 * ({rolling("sum", "pos", 14)})', f'({rolling("sum", "pos", 14)}) + ({rolling("sum", "neg", 14)})')}, 6) AS mfi FROM s"))
 add(
-    "m11_expanding_percentile", lambda b: trend.add_expanding_percentile(b, "close", 100, "percentile"), "percentile",
+    "m11_expanding_percentile", lambda b: trend.add_expanding_percentile(b, "close", 100, "percentile", block=256), "percentile",
     oracle=with_(BARS, f"n AS (SELECT *, row_number() OVER ({sql.P}) AS rn FROM b)", select=f"SELECT a.provider, a.ticker, a.trading_date, round(CASE WHEN a.rn > 100 THEN CAST(count_if(o.close <= a.close) AS DOUBLE) / (a.rn - 1) END, 6) AS percentile FROM n a LEFT JOIN n o ON a.provider = o.provider AND a.ticker = o.ticker AND o.rn < a.rn GROUP BY ALL".replace("GROUP BY ALL", "GROUP BY a.provider, a.ticker, a.trading_date, a.rn")),
 )
 _SQUEEZE = ("squeeze_on", "squeeze_off", "squeeze_released", "squeeze_width_ratio", "squeeze_momentum", "squeeze_momentum_atr", "squeeze_momentum_atr_change", "squeeze_duration", "squeeze_release_duration")
@@ -280,16 +280,29 @@ def _percentile(x: str, least: int) -> str:
     return f"CASE WHEN {x} IS NOT NULL AND count({x}) OVER ({d}) >= {least} THEN (rank() OVER ({d} ORDER BY {x} NULLS LAST) + (count({x}) OVER ({d}, {x}) - 1) / 2.0 - 0.5) / count({x}) OVER ({d}) END"
 
 
+def _cross_sql(horizons: tuple[int, ...]) -> str:
+    """Percentiles of returns over calendar horizons, and breadth, mean and median of the first one."""
+    every = lambda t: ", ".join(t.format(h=h) for h in horizons)
+    return with_(
+        BARS, "cal AS (SELECT *, " + every("lag(trading_date, {h}) OVER (ORDER BY trading_date) AS e{h}") + " FROM (SELECT DISTINCT trading_date FROM b))",
+        f"rt AS (SELECT b.*, {every('e{h}')}, " + ", ".join(f"lag(trading_date, {h}) {LAG} AS d{h}, adjusted_close / lag(adjusted_close, {h}) {LAG} - 1 AS q{h}" for h in horizons) + " FROM b JOIN cal USING (trading_date))",
+        "r AS (SELECT *, " + every("CASE WHEN d{h} = e{h} THEN q{h} END AS r{h}") + " FROM rt)",
+        select=f"SELECT {KEYS}, " + ", ".join(f"round({_percentile(f'r{h}', 2)}, 6) AS return_{h}d_cross_sectional_percentile" for h in horizons)
+        + ", CASE WHEN count(r1) OVER d >= 2 THEN round(avg(CAST(r1 > 0 AS INT)) OVER d, 6) END AS market_breadth_positive_1d, CASE WHEN count(r1) OVER d >= 2 THEN round(avg(r1) OVER d, 6) END AS market_mean_return_1d, CASE WHEN count(r1) OVER d >= 2 THEN round(median(r1) OVER d, 6) END AS market_median_return_1d FROM r WINDOW d AS (PARTITION BY provider, trading_date)",
+    )
+
+
 _H = (1, 5)
 add(
     "x04_cross_section", lambda b: cross_section.add_cross_section(b, _H, 1, 2),
     "return_1d_cross_sectional_percentile", "return_5d_cross_sectional_percentile", "market_breadth_positive_1d", "market_mean_return_1d", "market_median_return_1d",
-    oracle=with_(
-        BARS, f"cal AS (SELECT *, lag(trading_date, 1) OVER (ORDER BY trading_date) AS e1, lag(trading_date, 5) OVER (ORDER BY trading_date) AS e5 FROM (SELECT DISTINCT trading_date FROM b))",
-        f"rt AS (SELECT b.*, e1, e5, lag(trading_date, 1) {LAG} AS d1, lag(trading_date, 5) {LAG} AS d5, adjusted_close / lag(adjusted_close, 1) {LAG} - 1 AS q1, adjusted_close / lag(adjusted_close, 5) {LAG} - 1 AS q5 FROM b JOIN cal USING (trading_date))",
-        "r AS (SELECT *, CASE WHEN d1 = e1 THEN q1 END AS r1, CASE WHEN d5 = e5 THEN q5 END AS r5 FROM rt)",
-        select=f"SELECT {KEYS}, round({_percentile('r1', 2)}, 6) AS return_1d_cross_sectional_percentile, round({_percentile('r5', 2)}, 6) AS return_5d_cross_sectional_percentile, CASE WHEN count(r1) OVER d >= 2 THEN round(avg(CAST(r1 > 0 AS INT)) OVER d, 6) END AS market_breadth_positive_1d, CASE WHEN count(r1) OVER d >= 2 THEN round(avg(r1) OVER d, 6) END AS market_mean_return_1d, CASE WHEN count(r1) OVER d >= 2 THEN round(median(r1) OVER d, 6) END AS market_median_return_1d FROM r WINDOW d AS (PARTITION BY provider, trading_date)",
-    ),
+    oracle=_cross_sql(_H),
+)
+_SHOWN = [c for c in catalog.FEATURES.outputs if c not in features.STRUCTURE]
+_FAMILIES = [SQL["x01_returns"], _cross_sql((1, 5, 10, 20)), *(SQL[n] for n in ("x05_trend_family", "x06_momentum_family", "x07_volatility_family", "x08_price_action_family", "x09_volume_family"))]
+add(
+    "x12_default_features_by_family", catalog.add_default_features, *_SHOWN,
+    oracle=f"SELECT {KEYS}, {', '.join(_SHOWN)} FROM ({_FAMILIES[0]}) AS f0 " + " ".join(f"JOIN ({q}) AS f{k} USING ({KEYS})" for k, q in enumerate(_FAMILIES[1:], 1)),
 )
 
 # targets

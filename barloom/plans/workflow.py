@@ -510,12 +510,33 @@ def _deciles(spark, d):
     return rounded(studies.deciles(_predictions(spark, d)))
 
 
-@query("n12_bootstrap")
+_SPREADS = (*_PRED, "t AS (SELECT *, row_number() OVER (PARTITION BY trading_date ORDER BY score DESC, ticker) AS k FROM p)", "sp AS (SELECT trading_date, avg(CASE WHEN k <= 5 THEN ranking_return END) - avg(ranking_return) AS x FROM t GROUP BY trading_date HAVING count(DISTINCT score) > 1)")
+_DRAW = "(concat('0x', substr(sha256(concat_ws(chr(31), {parts})), 1, 13))::BIGINT + 0.5) / 4503599627370496"
+
+
+@query(
+    "n12_bootstrap",
+    with_(
+        *_SPREADS, "n AS (SELECT x, row_number() OVER (ORDER BY trading_date) - 1 AS i, count(*) OVER () AS n FROM sp WHERE x IS NOT NULL)",
+        "d AS (SELECT id % 500 AS b, id // 500 AS j FROM (SELECT unnest(range(500 * (SELECT max(n) FROM n))) AS id))",
+        f"e AS (SELECT b, CAST(floor({_DRAW.format(parts="'0', CAST(b AS VARCHAR), CAST(j AS VARCHAR)")} * (SELECT max(n) FROM n)) AS BIGINT) AS i FROM d)",
+        "m AS (SELECT b, avg(x) AS m FROM e JOIN n USING (i) GROUP BY b)",
+        select="SELECT round(avg(m), 6) AS mean, round(quantile_cont(m, 0.025), 6) AS low, round(quantile_cont(m, 0.975), 6) AS high FROM m",
+    ),
+)
 def _bootstrap(spark, d):
     return rounded(studies.bootstrap_spreads(studies.top_bucket(_predictions(spark, d), 5)))
 
 
-@query("n13_permutation")
+@query(
+    "n13_permutation",
+    with_(
+        *_PRED, "o AS (SELECT avg(m) AS observed FROM (SELECT trading_date, avg(ranking_return) AS m FROM (SELECT *, row_number() OVER (PARTITION BY trading_date ORDER BY score DESC, ticker) AS k FROM p) WHERE k <= 5 GROUP BY 1))",
+        "d AS (SELECT *, row_number() OVER (PARTITION BY b, trading_date ORDER BY sha256(concat_ws(chr(31), CAST(b AS VARCHAR), '0', provider, ticker, CAST(trading_date AS VARCHAR))), ticker) AS k FROM p, (SELECT unnest(range(50)) AS b))",
+        "m AS (SELECT b, avg(m) AS m FROM (SELECT b, trading_date, avg(ranking_return) AS m FROM d WHERE k <= 5 GROUP BY 1, 2) GROUP BY b)",
+        select="SELECT round(observed, 6) AS observed, round((1 + count_if(m >= observed)) / 51, 6) AS p_value FROM m, o GROUP BY observed",
+    ),
+)
 def _permutation(spark, d):
     return rounded(studies.permutation_test(_predictions(spark, d), 5, 50))
 
