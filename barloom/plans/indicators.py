@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from barloom.functions.core import by_ticker, ema_alpha, wilder_alpha
+from barloom.functions.stored import stored_dir
 from barloom.operators import candles, cross_section, features, structure, targets, trend, volatility
 from barloom.plans import catalog, flagship, sql
 from barloom.plans.sql import BARS, HOURS, KEYS, LAG, TRUE_RANGE, div, ewm, frame, r6, rolling, with_
+from barloom.sources import layout
 from barloom.sources.bars import bars_hour, bars_week
 
 QUERIES: dict = {}
@@ -49,6 +53,17 @@ SQL["a00_bars_hour"] = plain(r6("open", "high", "low", "close") + ", volume", ba
 
 # moving averages, oscillators, momentum
 add("m01_sma", lambda b: trend.add_sma(b, "close", 20), "sma", oracle=plain(f"round({rolling('avg', 'close', 20)}, 6) AS sma"))
+
+
+def _stored(spark, d):
+    """The same averages over bars stored by instrument: planned without an exchange."""
+    name = f"bars_{uuid.uuid4().hex}"
+    bars = layout.store_bars(bars_week(spark, d), name, 8, f"{stored_dir(spark)}/{name}")
+    with layout.presorted(spark):
+        return out(trend.add_sma(bars, "close", 20), "sma")
+
+
+QUERIES["m01_sma_over_stored_bars"], SQL["m01_sma_over_stored_bars"] = _stored, SQL["m01_sma"]
 add("m02_ema", lambda b: trend.add_ema(b, "close", 10, 50), "ema_10", "ema_50", oracle=with_(BARS, ewm("e1", "b", "close", ema_alpha(10), 10), ewm("e2", "b", "close", ema_alpha(50), 50), select=f"SELECT {KEYS}, round(e1.y, 6) AS ema_10, round(e2.y, 6) AS ema_50 FROM e1 JOIN e2 USING ({KEYS})"))
 add("m03_vwap", lambda b: b.withColumn("vwap", trend.rolling_vwap(20)), "vwap", oracle=plain(f"round({div(rolling('sum', '((high + low + close) / 3.0 * volume)', 20), rolling('sum', 'volume', 20))}, 6) AS vwap"))
 _ABOVE = "f AS (SELECT b.*, e.y AS ema, CASE WHEN e.y IS NOT NULL THEN CAST(close > e.y AS INT) END AS up FROM b JOIN e USING (provider, ticker, trading_date))"
