@@ -1,26 +1,31 @@
 """Substring deduplication over sliding spans of sentences.
 
-A text is cut into sentences after a final mark (. ! ? and the like, followed by white space) and at blank lines; any longer stretch
-is cut further at places that its words name: of each WINDOW consecutive gaps between words without a sentence's end, the one whose
-two words have the least hash. So no sentence has more than WINDOW words, and where a text is cut depends on the
-WINDOW words around the place, not on where a sentence or a line begins. Each run of SPAN consecutive sentences is hashed
-after normalising (lower case, words only); a run with fewer than SPAN_WORDS words is lengthened until it has them,
-once to the right from each first sentence and once to the left from each last one. Runs meet globally by hash; all but the
-first occurrence (by doc_id, then position) are repeats, and each sentence inside one is removed.
-
-A passage of over 50 words that repeats word for word shares a run with its copies wherever it begins and ends and
-however its lines break: its cuts agree but for the WINDOW - 1 gaps at either end, so from the first cut after them (word 15 at
-most) three sentences end by word 39, before the last ones (word 44 on). What can stay of it are the words up to those cuts.
+A sentence ends after a final mark (. ! ? and the like, followed by white space) and at a blank line. Each run of SPAN
+consecutive sentences is hashed after normalising (lower case, words only); a run with fewer than SPAN_WORDS words is lengthened
+until it has them, once to the right from each first sentence and once to the left from each last one. Runs meet globally by
+hash; all but the first occurrence (by doc_id, then position) are repeats, and each sentence inside one is removed.
+
+Text that has few final marks, and passages that begin and end inside sentences, need more: sentences are cut further into
+pieces at places that their words name: of each WINDOW consecutive gaps between words without a sentence's end, the one whose
+two words have the least hash. So no piece has more than WINDOW words, and where a sentence is cut depends on the WINDOW words
+around the place, not on where a sentence or a line begins. Runs of whole pieces with at least PIECE_WORDS words (to the right from
+each first piece, to the left from each last one) are spans too, and remove the pieces inside them. One sentence of fewer
+words that documents share, alone or beside one other that is short, is no span.
+
+A passage of over 50 words that repeats word for word shares a run of pieces with its copies wherever it begins and ends and
+however its lines break: its cuts agree but for the WINDOW - 1 gaps at either end; the first of them is at word 2 * WINDOW - 1 at
+most, and a run of pieces from there ends PIECE_WORDS + WINDOW - 1 words later, by word 44 of 51. What can stay of the passage are the
+words up to its first and from its last common cut.
 
 Texts travel in compressed blocks (see blocks.py). A block sends each distinct hash once, with its least doc_id, so a frequent
 passage has at most one row a block in the global window; only hashes that an earlier document of another block has go
 back to a block, which decides the rest by itself. No list of the documents of a passage is ever made. The hash has 128 bits.
 
-Defined cases: null and empty texts have no sentence and stay as they are; a text with fewer than SPAN sentences, or with
-fewer than SPAN_WORDS words, has no span; rows with the same doc_id count as one document
+Defined cases: null and empty texts have no sentence and stay as they are; a text with fewer than SPAN sentences and fewer than
+PIECE_WORDS words, or with fewer than SPAN_WORDS words, has no span; rows with the same doc_id count as one document
 for each other (neither removes the other's sentences); a null doc_id comes after all others; an empty table gives
 an empty result; ids are integers, or strings of digits; texts of any length are read whole; other columns pass through
-``remove_repeats`` (``n_sentences`` and ``n_removed`` are replaced).
+``remove_repeats`` (``n_sentences`` and ``n_removed``, which count pieces, are replaced).
 """
 
 from __future__ import annotations
@@ -39,7 +44,8 @@ from barloom.llm.common import table
 
 SPAN = 3
 SPAN_WORDS = 10
-WINDOW = 8
+WINDOW = 7
+PIECE_WORDS = 25  # at most 53 - 4 * WINDOW, for passages of 51 words
 BLOCK_CHARS = 4 << 20
 
 _SLICE = 1 << 20
@@ -105,7 +111,7 @@ def _words(low: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
 
 
 def _cuts(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
-    """The words that begin a sentence."""
+    """The words that begin a piece."""
     gaps = _mixed(hashes[:-1] * _PRIMES[0] + hashes[1:]) | np.uint64(1)
     gaps[stops[1:]] = 0
     begins = stops.copy()
@@ -116,42 +122,54 @@ def _cuts(hashes: np.ndarray, stops: np.ndarray) -> np.ndarray:
 
 
 def _cut_up(text: str | None):
-    """(bounds in the text, number of words, hash, hash) of the sentences, which cover the text, and (low, starts, ends, cuts)."""
+    """(bounds in the text, number of words, whether it begins a sentence, hash, hash) of the pieces, which cover the text, and
+    (low, starts, ends, cuts)."""
     low = _lowered(text or "")
     starts, ends, hashes, stops = _words(low)
     if not len(starts):
-        return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros((2, 0), np.uint64), (low, starts, ends, starts)
+        return np.zeros(1, np.int64), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((2, 0), np.uint64), (low, starts, ends, starts)
     cuts = _cuts(hashes, stops)
     bounds = np.concatenate([[0], starts[cuts[1:]], [len(low)]])
-    return bounds, np.diff(np.append(cuts, len(starts))), np.stack([_sums(hashes * p, cuts) for p in _PRIMES]), (low, starts, ends, cuts)
+    return bounds, np.diff(np.append(cuts, len(starts))), stops[cuts], np.stack([_sums(hashes * p, cuts) for p in _PRIMES]), (low, starts, ends, cuts)
 
 
-def sentences_of(text: str | None) -> list[tuple[int, int, str, int]]:
-    """(start, end, normalised words, number of words) of each sentence; they cover the text."""
-    bounds, sizes, _, (low, starts, ends, cuts) = _cut_up(text)
+def pieces_of(text: str | None) -> list[tuple[int, int, str, int, bool]]:
+    """(start, end, normalised words, number of words, begins a sentence) of each piece; they cover the text."""
+    bounds, sizes, begins, _, (low, starts, ends, cuts) = _cut_up(text)
     words = [low[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-    own = zip(bounds[:-1].tolist(), bounds[1:].tolist(), cuts.tolist(), sizes.tolist(), strict=True)
-    return [(a, b, " ".join(words[k : k + n]), n) for a, b, k, n in own] if words else []
+    own = zip(bounds[:-1].tolist(), bounds[1:].tolist(), cuts.tolist(), sizes.tolist(), begins.tolist(), strict=True)
+    return [(a, b, " ".join(words[k : k + n]), n, first) for a, b, k, n, first in own] if words else []
 
 
-def _runs(sizes: np.ndarray, span: int, least: int) -> np.ndarray:
-    n, ends = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
-    at = np.arange(n + 1)
+def _lengthened(ends: np.ndarray, span: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of runs of at least span units and least words, to the right from each unit and to the left from each."""
+    n, at = len(ends) - 1, np.arange(len(ends))
     right = np.maximum(np.searchsorted(ends, ends + least), at + span)
     left = np.minimum(np.searchsorted(ends, ends - least, side="right") - 1, at - span)
-    both = np.concatenate([(at * (n + 1) + right)[right <= n], (left * (n + 1) + at)[left >= 0]])
-    return np.stack(np.divmod(np.unique(both), n + 1), axis=1)
+    return np.concatenate([at[right <= n], left[left >= 0]]), np.concatenate([right[right <= n], at[left >= 0]])
+
+
+def _runs(sizes: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """[first, last) in pieces: runs of whole sentences, and runs of pieces."""
+    n, ends = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
+    edges = np.append(np.flatnonzero(begins), n)  # of sentences
+    whole = [edges[x] for x in _lengthened(ends[edges], SPAN, SPAN_WORDS)]
+    parts = _lengthened(ends, 1, PIECE_WORDS)
+    first, last = (np.concatenate(x) for x in zip(whole, parts, strict=True))
+    return np.stack(np.divmod(np.unique(first * (n + 1) + last), n + 1), axis=1)
 
 
-def runs_of(sentences: list[tuple[int, int, str, int]], span: int = SPAN, least: int = SPAN_WORDS) -> list[tuple[int, int]]:
+def runs_of(pieces: list[tuple[int, int, str, int, bool]]) -> list[tuple[int, int]]:
     """[first, last) of the runs to hash."""
-    return [tuple(r) for r in _runs(np.array([s[3] for s in sentences], np.int64), span, least).tolist()]
+    if not pieces:
+        return []
+    return [tuple(r) for r in _runs(np.array([p[3] for p in pieces], np.int64), np.array([p[4] for p in pieces], bool)).tolist()]
 
 
 def _spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The bounds of the sentences, and [first, last) and both hashes of the runs."""
-    bounds, sizes, own, _ = _cut_up(text)
-    runs = _runs(sizes, SPAN, SPAN_WORDS)
+    """The bounds of the pieces, and [first, last) and both hashes of the runs."""
+    bounds, sizes, begins, own, _ = _cut_up(text)
+    runs = _runs(sizes, begins) if len(sizes) else np.zeros((0, 2), np.int64)
     first, size = runs[:, 0], runs[:, 1] - runs[:, 0]
     hashes = np.zeros((2, len(runs)), np.uint64)
     for k in range(int(size.max(initial=0))):
@@ -179,7 +197,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     packed, _ = pack(rows, "id", "text", block_chars, by=("id.doc", "text"))
 
     def spans_of(block: pa.Table):
-        """The rows of a block, the bounds of their sentences, and (row, first, last, hash, hash) of all runs."""
+        """The rows of a block, the bounds of their pieces, and (row, first, last, hash, hash) of all runs."""
         ids, texts, bounds, runs = [], [], [], [np.zeros((0, 5), np.int64)]
         for batch in batches_of(block):
             ids.append(batch.column("id"))

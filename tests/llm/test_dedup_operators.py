@@ -171,13 +171,13 @@ def test_sentence_spans_equal_brute_force(spark):
     ]
     first = {}
     for at, (i, t) in sorted(enumerate(docs), key=lambda x: x[1][0]):
-        s = substring_dedup.sentences_of(t)
+        s = substring_dedup.pieces_of(t)
         for a, b in substring_dedup.runs_of(s):
             key = tuple(x[2] for x in s[a:b])
             first.setdefault(key, (i, at, a))
     want = []
     for at, (i, t) in enumerate(docs):
-        s, gone = substring_dedup.sentences_of(t), set()
+        s, gone = substring_dedup.pieces_of(t), set()
         for a, b in substring_dedup.runs_of(s):
             doc, row, place = first[tuple(x[2] for x in s[a:b])]
             if doc != i or (row == at and place != a):
@@ -204,7 +204,7 @@ def test_passages_of_over_fifty_words_share_a_run_wherever_they_stand(ends):
         for _ in range(2):
             moved = "".join(rng.choice(" \n") if c == " " else c for c in passage)  # its lines break elsewhere
             text = f"{prose(rng, rng.randrange(1, 40), ends)} {moved} {prose(rng, rng.randrange(1, 40), ends)}"
-            s = substring_dedup.sentences_of(text)
+            s = substring_dedup.pieces_of(text)
             found.append({tuple(x[2] for x in s[a:b]) for a, b in substring_dedup.runs_of(s)})
         assert found[0] & found[1]
 
@@ -214,7 +214,7 @@ def test_repeats_within_and_across_blocks_equal_brute_force(spark):
     passages = [prose(rng, 60, 0.1) for _ in range(6)]
     docs = [(rng.randrange(50), " ".join(rng.choice([prose(rng, 30, 0.1), rng.choice(passages)]) for _ in range(5))) for _ in range(60)]
     docs += [(None, passages[0]), (60, f"{passages[1]} {passages[1]}"), (61, prose(rng, 9, 0)), (62, "x" * 3_000_000 + " " + passages[2])]
-    cut = [substring_dedup.sentences_of(t) for _, t in docs]
+    cut = [substring_dedup.pieces_of(t) for _, t in docs]
     doc = [2**63 if i is None else i for i, _ in docs]
     least: dict = {}
     for d, s in zip(doc, cut, strict=True):
@@ -236,9 +236,29 @@ def test_repeats_within_and_across_blocks_equal_brute_force(spark):
         assert sorted(got) == sorted(want)
 
 
+WORDS = "the old harbour master walked slowly along the wet stone quay and looked at boats that had come in late".split()
+
+
+def test_what_is_a_span(spark):
+    """One sentence that documents share is none, three in a row are, and so is a passage of 51 words within a long sentence."""
+    alone = " ".join(WORDS).capitalize() + "."
+    short = "They came by the sea. Nobody had seen them. It was a cold day."
+    rng = random.Random(9)
+    inner = prose(rng, 51, 0)
+    docs = [
+        (1, f"First text here. {alone} It ends so."), (2, f"Another one begins. {alone} And goes on."), (3, f"Third. {short} Etc."), (4, f"Fourth it is. {short} And so forth."),
+        (5, f"{prose(rng, 30, 0)} {inner} {prose(rng, 30, 0)}"), (6, f"{prose(rng, 30, 0)} {inner} {prose(rng, 30, 0)}"), (7, "They came by the sea. Nobody had seen them."), (8, f"{alone} {alone}"),
+    ]
+    got = {r["doc_id"]: r["text"] for r in substring_dedup.remove_repeats(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    same = dict(docs)
+    assert all(got[i] == same[i] for i in (1, 2, 3, 5, 7, 8))
+    assert got[4] == "Fourth it is. And so forth."
+    assert len(got[6].split()) < 111 - 25 and got[6].split()[:30] == same[6].split()[:30] and got[6].split()[-30:] == same[6].split()[-30:]
+
+
 def test_sentences_cover_the_text():
     for text in ("A b. C d!  E", "\n\nx\n", "a " * 100, "İx y. z"):
-        s = substring_dedup.sentences_of(text)
+        s = substring_dedup.pieces_of(text)
         assert "".join(text[a:b] for a, b, *_ in s) == text
 
 
