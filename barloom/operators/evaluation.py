@@ -196,7 +196,7 @@ def ranking_summary(daily: DataFrame) -> DataFrame:
 def daily_summary(by_date: DataFrame) -> DataFrame:
     """One row from by_date_metrics: dates, mean Spearman and the share of dates on which it is positive, mean top-k return and rate."""
     return by_date.agg(
-        F.count(F.lit(1)).alias("dates"), F.avg("spearman").alias("mean_daily_spearman"), F.avg((F.col("spearman") > 0).cast("double")).alias("positive_spearman_share"),
+        F.count(F.lit(1)).alias("dates"), F.avg("spearman").alias("mean_daily_spearman"), F.avg((F.round("spearman", 12) > 0).cast("double")).alias("positive_spearman_share"),
         F.avg("top_k_mean_return").alias("mean_top_k_return"), F.avg("top_k_positive_rate").alias("mean_top_k_positive_rate"),
     )
 

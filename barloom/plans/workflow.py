@@ -79,17 +79,17 @@ def _wide(spark, d):
     return store.normalize_wide(wide, "p", "r", dt.datetime(2024, 1, 1), {"Close": "close", "Volume": "volume"}, tickers).select("provider", "ticker", "trading_date", "close", "volume")
 
 
-@query("a08_download", with_(BARS, "s AS (SELECT ticker, max(trading_date) AS start_date FROM b WHERE trading_date < DATE '2000-01-03' GROUP BY ticker)", select=f"SELECT {KEYS}, round(close, 6) AS close, volume, CASE WHEN trading_date >= start_date THEN 'new' ELSE 'old' END AS request_id FROM b JOIN s USING (ticker) WHERE trading_date < DATE '2001-06-04'"))
+@query("a08_download", with_(BARS, "s AS (SELECT ticker, max(trading_date) AS start_date FROM b WHERE trading_date < DATE '2000-01-03' GROUP BY ticker)", select=f"SELECT {KEYS}, floor(close) AS close, volume, CASE WHEN trading_date >= start_date THEN 'new' ELSE 'old' END AS request_id FROM b JOIN s USING (ticker) WHERE trading_date < DATE '2001-06-04'"))
 def _download(spark, d):
     """Bars stored up to a date are brought up to another one: planned by ticker, downloaded by the data source from files that
     stand for the provider (made from the same tables), and put in by key."""
-    bars = bars_week(spark, d).withColumns({"dividends": F.lit(0.0), "stock_splits": F.lit(0.0)})
+    bars = bars_week(spark, d).withColumns({"close": F.floor("close"), "dividends": F.lit(0.0), "stock_splits": F.lit(0.0)})
     folder = f"{stored_dir(spark)}/provider-{uuid.uuid4().hex}"
     bars.drop("provider").repartition("ticker").write.partitionBy("ticker").option("header", True).csv(folder)
     known = bars.filter("trading_date < DATE '2000-01-03'").withColumns({"fetched_at": F.lit(dt.datetime(2024, 1, 1)), "request_id": F.lit("old")})
     plan = quality.update_plan(bars.select("ticker").distinct(), known, "2001-06-04")
     new = feed.as_bronze(feed.planned(spark, plan, path=folder), "tpch", "new", dt.datetime(2024, 1, 2))
-    return rounded(store.coerce(store.upsert(known, new).select("provider", "ticker", "trading_date", "close", "volume", "request_id")))
+    return store.coerce(store.upsert(known, new).select("provider", "ticker", "trading_date", "close", "volume", "request_id"))
 
 
 @query("b01_price_state", with_(BARS, select="SELECT ticker, count(*) AS row_count, min(trading_date) AS first_date, max(trading_date) AS last_date FROM b WHERE trading_date <= DATE '2000-12-31' GROUP BY ticker"))
@@ -180,6 +180,25 @@ def _dataset(spark, d):
     return out(_bundle(spark, d), "return_1d", "return_5d", "up", "target_end_date", "eligible")
 
 
+@query(
+    "d01_dataset_at_cutoff",
+    with_(
+        *_BUNDLE, "l AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY trading_date DESC) AS pos FROM b WHERE trading_date <= DATE '1999-12-31')", _QUALITY[1],
+        "w AS (SELECT DISTINCT ticker FROM b)", _gate_sql(350, "").split("g AS (", 1)[1].split(")\nSELECT", 1)[0].join(("g AS (", ")")),
+        select=f"SELECT {KEYS}, up, reasons = '' AS eligible, reasons FROM d JOIN g USING (ticker)",
+    ),
+)
+def _dataset_at_cutoff(spark, d):
+    """Samples, with the eligibility of each ticker by what was known at the cutoff."""
+    from barloom.plans.experiment import eligibility_at
+
+    bars = bars_week(spark, d)
+    tickers = tuple(r[0] for r in bars.select("ticker").distinct().collect())  # a universe
+    spec = dataset.DatasetSpec(dataset.Universe("tpch", tickers), dt.date(1992, 1, 1), dt.date(2001, 12, 31), _FEATURES, _TARGETS, _TASK)
+    df = dataset.construct(bars, _FEATURES, _TARGETS, _TASK, eligibility_at(bars, spec, "1999-12-31", T))
+    return df.select("provider", "ticker", "trading_date", "up", "eligible", F.array_join("reasons", ",").alias("reasons"))
+
+
 _SPLIT = (
     *_BUNDLE,
     "i AS (SELECT *, CASE WHEN trading_date BETWEEN DATE '1995-01-01' AND DATE '1998-12-31' THEN 'train' WHEN trading_date BETWEEN DATE '1999-01-01' AND DATE '2000-06-30' THEN 'validation' WHEN trading_date BETWEEN DATE '2000-07-01' AND DATE '2001-12-31' THEN 'test' END AS c FROM d)",
@@ -290,6 +309,19 @@ def _missing(spark, d):
     return rounded(evaluation.missingness(_bundle(spark, d), _FEATURES.outputs))
 
 
+@query(
+    "e15_report",
+    with_(
+        *_PRED, _ranks("trading_date"), _TOP, "sp AS (SELECT trading_date, CASE WHEN min(x) < max(x) AND min(y) < max(y) THEN corr(x, y) END AS s FROM k GROUP BY trading_date)",
+        "tk AS (SELECT trading_date, avg(ranking_return) AS r, avg(target) AS h FROM t WHERE k <= 5 GROUP BY trading_date)",
+        f"c AS ({_class_sql('')})", "y AS (SELECT count(*) AS dates, avg(s) AS s, avg(CAST(round(s, 12) > 0 AS INT)) AS pos, avg(r) AS r, avg(h) AS h FROM sp JOIN tk USING (trading_date))",
+        select="SELECT c.*, dates, round(s, 6) AS mean_daily_spearman, round(pos, 6) AS positive_spearman_share, round(r, 6) AS mean_top_k_return, round(h, 6) AS mean_top_k_positive_rate, 'constant' AS model FROM c, y",
+    ),
+)
+def _report(spark, d):
+    return rounded(evaluation.evaluate(_predictions(spark, d), 5, context={"model": "constant"})["metrics"])
+
+
 @query("e18_query_ids", with_(*_PRED, select="SELECT provider, ticker, trading_date, dense_rank() OVER (ORDER BY provider, trading_date) - 1 AS query_id FROM p"))
 def _query_ids(spark, d):
     return evaluation.query_ids(_predictions(spark, d)).select("provider", "ticker", "trading_date", F.col("query_id").cast("long").alias("query_id"))
