@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from barloom.llm import bpe, decontamination, exact_dedup, html_extract, language_id, ngram_join, secret_scan, substring_dedup, suffix_dedup, url_filter
+from barloom.llm import bpe, decontamination, exact_dedup, filter_audit, html_extract, language_id, merkle_manifest, minhash_dedup, ngram_join, secret_scan, substring_dedup, suffix_dedup, url_filter
 
 CLASHES = "doc node key id rep n grp hash part block share digest blob __id __gone __digest __runs __doc __html lang_pred score items spans kept n_removed run a b".split()
 LONG = " ".join(f"word{k % 5000} and" for k in range(60_000))
@@ -21,6 +21,7 @@ def docs(spark):
 OPERATORS = {
     "bpe": lambda d: bpe.digests(d), "predict": lambda d: language_id.predict(d, language_id.fit(d)), "groups": lambda d: ngram_join.similar_groups(d), "copies": lambda d: exact_dedup.group_copies(d),
     "repeats": lambda d: substring_dedup.remove_repeats(d), "suffix": lambda d: suffix_dedup.remove_substrings(d), "secrets": lambda d: secret_scan.by_path(d, secret_scan.scan(d)),
+    "near": lambda d: minhash_dedup.near_duplicates(d), "manifest": lambda d: merkle_manifest.manifest(d, "doc_id", "lang", ["doc_id", "source", "lang", "text"]),
     "hits": lambda d: decontamination.find_hits(d, d.sparkSession.createDataFrame([("i", "quick brown fox"), (None, None)], "item_id string, text string")),
 }
 
@@ -31,6 +32,15 @@ def test_a_row_for_each_row_whatever_it_holds(docs, name):
     assert OPERATORS[name](docs.limit(0)).count() == 0
 
 
+def test_audit_of_long_texts_and_clashing_columns(spark, docs):
+    labels = spark.createDataFrame([(5, 1, 0), (7, 1, 1), (7, None, None), (None, 1, 1)], "doc_id long, quality int, toxic int").withColumn("part", F.lit("x"))
+    got = {(r["filter_order"], r["step"]): r for r in filter_audit.audit(docs, labels).collect()}
+    assert len(got) == 600 and {r["part"] for r in got.values()} == {""}
+    # only the long text has 50 words; its words repeat, so B removes it; rows 7 and the empty text after the null one are copies
+    assert (got["ABCDE", 1]["removed"], got["ABCDE", 2]["removed"], got["BACDE", 1]["good_lost"], got["EABCD", 1]["removed"], got["EABCD", 1]["toxic_lost"]) == (9, 1, 1, 3, 2)
+    assert got["ABCDE", 5]["kept"] == 0 and got["ABCDE", 5]["redundant"] == 3
+
+
 @pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES])
 def test_stages_keep_columns_and_whole_rows(spark, data, docs, name):
     stage = dict(corpus_pipeline.STAGES)[name]
