@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from barloom.functions.core import ORDER, divide, finite
+from barloom.functions.stored import stored
 
 EPSILON = 2.220446049250313e-16
 
@@ -48,7 +49,7 @@ RANGES = 64
 def _in_ranges(at: DataFrame) -> tuple[DataFrame, list[str]]:
     """One row a score, with the range that it falls in and what lies above that range: running sums go by range, so that no task has
     all scores. Ranges end at percentiles of the scores; their bounds and totals (RANGES of each) are all that the driver sees."""
-    at = at.persist()  # read three times: a row a score, however many rows were summed into it
+    at = stored(at, "scores")  # read three times: a row a score, however many rows were summed into it
     bounds = at.agg(F.percentile_approx("score", [k / RANGES for k in range(1, RANGES)])).first()[0] or []
     limits = F.array(*map(F.lit, sorted(set(bounds)))) if bounds else F.array().cast("array<double>")
     at = at.withColumn("__range", F.size(F.filter(limits, lambda b: b > F.col("score"))))

@@ -19,6 +19,7 @@ def _family(df: DataFrame, names: list[str], needs: tuple[str, ...], columns: tu
     return build(adjusted(df, columns, "__a_") if scaled else df).select(*df.columns, *names)
 
 
+# The names of the output columns of each family, and the default lengths of its function, below.
 TREND = (
     "ema_fast_to_ema_mid", "ema_mid_to_ema_slow", "ema_mid_to_sma_mid", "close_to_ema_fast", "close_to_ema_mid", "close_to_ema_slow",
     "close_over_ema_fast_fraction", "close_over_ema_mid_fraction", "close_over_ema_slow_fraction", "adx", "plus_di", "minus_di", "vwap_distance", "vwap_distance_percent_b",

@@ -8,6 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from barloom.functions.stored import stored
 from barloom.operators import evaluation, models, quality
 from barloom.operators.dataset import KEYS, DatasetSpec, SplitSpec, check_bundle, construct, expanding_folds, manifest, scope_violations, split, split_summary
 from barloom.plans.contracts import Task, digest
@@ -77,7 +78,7 @@ def fit_and_score(spec: ExperimentSpec, bundle: DataFrame, ranking_return: str |
 def run(spec: ExperimentSpec, prices: DataFrame, eligibility: DataFrame | None = None, ranking_return: str | None = None, open_test: bool = False) -> Result:
     """Build the dataset, split it, fit on train, score and evaluate. The bundle is kept while the model reads it again."""
     data = spec.dataset
-    bundle = split(construct(prices, data.features, data.targets, data.task, eligibility), spec.split).persist()
+    bundle = stored(split(construct(prices, data.features, data.targets, data.task, eligibility), spec.split), "bundle")
     return fit_and_score(spec, bundle, ranking_return, open_test)
 
 
@@ -119,7 +120,7 @@ def run_experiment(
 def cross_validate(samples: DataFrame, features, task: Task, model_type: str, folds: int, validation_sessions: int, **parameters) -> DataFrame:
     """(fold, role, precision, recall, roc_auc, rows): a fit a fold, scored on its own rows and on its validation rows."""
     roles = expanding_folds(samples, folds, validation_sessions)
-    joined = samples.join(roles, list(KEYS)).persist()
+    joined = stored(samples.join(roles, list(KEYS)), "folds")
     out = None
     for fold in range(1, folds + 1):
         own = joined.filter(F.col("fold") == fold)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from barloom.functions.stored import stored_dir
 from barloom.plans import sql
 from barloom.plans.indicators import SQL as INDICATORS
+from barloom.sources.versions import Versions
 from barloom.streaming import bars, features
 
 QUERIES: dict = {}
@@ -26,13 +27,14 @@ SQL["s01_event_bars"] = "SELECT event_type AS ticker, time_bucket(INTERVAL 1 hou
 
 
 def _streamed_bars(spark, d):
-    """The same from a stream: all that is there, in complete mode; each batch's windows replace the folder's."""
+    """The same from a stream: all that is there, in complete mode; each batch's windows replace the table as one committed version,
+    so a reader sees a whole batch at any time."""
     out = f"{stored_dir(spark)}/bars-{uuid.uuid4().hex}"
-    events = spark.readStream.schema(bars.EVENTS).parquet(d + "/events.parquet*")
-    keep = lambda batch, _: batch.write.mode("overwrite").parquet(f"{out}/table")
-    stream = bars.event_bars(events).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    events, table = spark.readStream.schema(bars.EVENTS).parquet(d + "/events.parquet*"), Versions(spark, out)
+    keep = lambda batch, k: table.commit(lambda change: change.replace("bars", batch), f"batch {k}")
+    stream = bars.event_bars(events).writeStream.outputMode("complete").foreachBatch(keep).option("checkpointLocation", f"{out}/_state").trigger(availableNow=True).start()
     stream.awaitTermination()
-    return spark.read.parquet(f"{out}/table").select("ticker", "trading_date", "open", "high", "low", "close", "volume")
+    return table.read("bars").select("ticker", "trading_date", "open", "high", "low", "close", "volume")
 
 
 QUERIES["s02_streamed_bars"] = _streamed_bars
