@@ -31,5 +31,6 @@ def oracle_sql() -> dict[str, str]:
         "op9_suffix_dedup": suffix_dedup.ORACLE,
         "op10_decontamination": decontamination.ORACLE,
         "op11_filter_audit": filter_audit.ORACLE,
+        "op12_minhash_dedup": minhash_dedup.ORACLE,
         "op13_merkle_manifest": merkle_manifest.ORACLE,
     }
