@@ -8,14 +8,14 @@ hash; all but the first occurrence (by doc_id, then position) are repeats, and e
 Text that has few final marks, and passages that begin and end inside sentences, need more: sentences are cut further into
 pieces at places that their words name: of each WINDOW consecutive gaps between words without a sentence's end, the one whose
 two words have the least hash. So no piece has more than WINDOW words, and where a sentence is cut depends on the WINDOW words
-around the place, not on where a sentence or a line begins. Runs of whole pieces with at least PIECE_WORDS words (to the right from
-each first piece, to the left from each last one) are spans too, and remove the pieces inside them. One sentence of fewer
+around the place, not on where a sentence or a line begins. Runs of whole pieces with at least PIECE_WORDS words (to the right
+from each first piece) are spans too, and remove the pieces inside them. One sentence of fewer
 words that documents share, alone or beside one other that is short, is no span.
 
 A passage of over 50 words that repeats word for word shares a run of pieces with its copies wherever it begins and ends and
 however its lines break: its cuts agree but for the WINDOW - 1 gaps at either end; the first of them is at word 2 * WINDOW - 1 at
 most, and a run of pieces from there ends PIECE_WORDS + WINDOW - 1 words later, by word 44 of 51. What can stay of the passage are the
-words up to its first and from its last common cut.
+words up to its first common cut and those after the last run that ends inside it, less than a piece before its last common cut.
 
 Texts travel in compressed blocks (see blocks.py). A block sends each distinct hash once, with its least doc_id, so a frequent
 passage has at most one row a block in the global window; only hashes that an earlier document of another block has go
@@ -141,10 +141,12 @@ def pieces_of(text: str | None) -> list[tuple[int, int, str, int, bool]]:
     return [(a, b, " ".join(words[k : k + n]), n, first) for a, b, k, n, first in own] if words else []
 
 
-def _lengthened(ends: np.ndarray, span: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """(first, last) of runs of at least span units and least words, to the right from each unit and to the left from each."""
+def _lengthened(ends: np.ndarray, span: int, least: int, both: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(first, last) of runs of at least span units and least words, to the right from each unit, and if asked to the left."""
     n, at = len(ends) - 1, np.arange(len(ends))
     right = np.maximum(np.searchsorted(ends, ends + least), at + span)
+    if not both:
+        return at[right <= n], right[right <= n]
     left = np.minimum(np.searchsorted(ends, ends - least, side="right") - 1, at - span)
     return np.concatenate([at[right <= n], left[left >= 0]]), np.concatenate([right[right <= n], at[left >= 0]])
 
@@ -153,8 +155,8 @@ def _runs(sizes: np.ndarray, begins: np.ndarray) -> np.ndarray:
     """[first, last) in pieces: runs of whole sentences, and runs of pieces."""
     n, ends = len(sizes), np.concatenate([[0], np.cumsum(sizes)])
     edges = np.append(np.flatnonzero(begins), n)  # of sentences
-    whole = [edges[x] for x in _lengthened(ends[edges], SPAN, SPAN_WORDS)]
-    parts = _lengthened(ends, 1, PIECE_WORDS)
+    whole = [edges[x] for x in _lengthened(ends[edges], SPAN, SPAN_WORDS, True)]
+    parts = _lengthened(ends, 1, PIECE_WORDS, False)
     first, last = (np.concatenate(x) for x in zip(whole, parts, strict=True))
     return np.stack(np.divmod(np.unique(first * (n + 1) + last), n + 1), axis=1)
 
@@ -171,10 +173,12 @@ def _spans(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     bounds, sizes, begins, own, _ = _cut_up(text)
     runs = _runs(sizes, begins) if len(sizes) else np.zeros((0, 2), np.int64)
     first, size = runs[:, 0], runs[:, 1] - runs[:, 0]
+    # sums of hashes times powers of an odd number, taken back to where a run begins: one step a run, however long it is
     hashes = np.zeros((2, len(runs)), np.uint64)
-    for k in range(int(size.max(initial=0))):
-        more = k < size
-        hashes[:, more] = _mixed(hashes[:, more] * _PRIMES[0] + own[:, first[more] + k])
+    for k, p in enumerate(_PRIMES):
+        power, back = (np.cumprod(np.append(np.uint64(1), np.full(len(sizes), x, np.uint64))) for x in (p, np.uint64(pow(int(p), -1, 1 << 64))))
+        upto = np.append(np.uint64(0), np.cumsum(own[k] * power[:-1]))
+        hashes[k] = _mixed((upto[first + size] - upto[first]) * back[first] + size.astype(np.uint64))
     return bounds, runs, hashes.view(np.int64)
 
 
