@@ -61,7 +61,9 @@ def zigzag_candidates(legs: int, high="high", low="low") -> dict[str, Column]:
 
 
 def step(pivots: list, at: int, high: float | None, low: float | None, deviation: float) -> None:
-    """Put one row's candidates to the pivots (position, price, direction): at most one change, the high first."""
+    """Put one row's candidates to the pivots (position, price, direction): at most one change, the high first.
+
+    From a pivot at 0 every other price is a reversal: its relative change has no bound."""
     for price, direction in ((high, 1), (low, -1)):
         if price is None:
             continue
@@ -73,11 +75,16 @@ def step(pivots: list, at: int, high: float | None, low: float | None, deviation
             if (price - last) * direction > 0:
                 pivots[-1] = (at, price, direction)
                 return
-        elif abs(price / last - 1.0) >= deviation:
+        elif abs(price / last - 1.0) >= deviation if last else price != 0:
             pivots.append((at, price, direction))
             return
 
 
+def swing_return(price: float, before: float) -> float | None:
+    """price / before - 1; None after a pivot at 0."""
+    return price / before - 1.0 if before else None
+
+
 def kendall(prices: list[float]) -> float | None:
     """Tau-b of prices in order of time; None if all are equal."""
     n = len(prices)
@@ -139,7 +146,7 @@ def add_zigzag(df: DataFrame, deviation: float = 5.0, pivot_legs: int = 10, high
         for k, (i, price, direction) in enumerate(pivots):
             out["zigzag_price"][i], out["zigzag_direction"][i] = price, float(direction)
             if k:
-                out["zigzag_return"][i], out["zigzag_bars"][i] = price / pivots[k - 1][1] - 1.0, float(i - pivots[k - 1][0])
+                out["zigzag_return"][i], out["zigzag_bars"][i] = swing_return(price, pivots[k - 1][1]), float(i - pivots[k - 1][0])
         return out
 
     return _by_group(df.withColumns(zigzag_candidates(legs, high, low)), names, fold).drop("__zh", "__zl")

@@ -102,7 +102,7 @@ class Zigzag(_Bars):
         pivots: list = []
         for i, (high, low) in enumerate(zip(*self._candidates(self.settings[1] // 2), strict=True)):
             structure.step(pivots, i, high, low, self.settings[0] / 100.0)
-        found = {i: (price, float(direction), price / pivots[k - 1][1] - 1.0 if k else None, float(i - pivots[k - 1][0]) if k else None) for k, (i, price, direction) in enumerate(pivots)}
+        found = {i: (price, float(direction), structure.swing_return(price, pivots[k - 1][1]) if k else None, float(i - pivots[k - 1][0]) if k else None) for k, (i, price, direction) in enumerate(pivots)}
         for i, r in enumerate(self.rows):
             yield (*r[:3], *found.get(i, (None, 0.0, None, None)))
 

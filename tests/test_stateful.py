@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from barloom.operators import candles, structure, trend
+from barloom.plans import surface
 from barloom.streaming import features as sf
 
 BARS = "provider string, ticker string, trading_date timestamp, open double, high double, low double, close double"
@@ -92,3 +93,23 @@ def test_a_stream_equals_the_table_across_a_restart(spark, tmp_path):
     check([r.asDict() for r in got], batch(spark, there), len(used))
     assert {(r["ticker"], r["trading_date"]) for r in got} == {(r[1], r[2]) for r in used}
     assert spark.read.parquet(out).agg(F.count("zigzag_last_price")).first()[0] > 100
+
+
+def test_a_pivot_at_zero_is_left_by_any_other_price(spark):
+    pivots = []
+    for at, (high, low) in enumerate([(None, 0.0), (0.0, None), (3.0, None), (None, 0.0)]):
+        structure.step(pivots, at, high, low, 0.05)
+    assert pivots == [(0, 0.0, -1), (2, 3.0, 1), (3, 0.0, -1)]
+    rows = [(*r[:5], 0.0 if k % 40 == 20 else r[5], r[6]) for k, r in enumerate(some_bars(150, 7, "A"))]
+    want, fold, got = batch(spark, rows), sf.Fold(), []
+    for r in rows:
+        got.append(dict(zip((*sf.RUNS, *sf.ADX, *sf.ZIGZAG), fold.push(int(r[2].timestamp()), *r[3:]), strict=True)) | {"ticker": "A", "trading_date": r[2]})
+    check(got, want, 150)
+    df = spark.createDataFrame(rows, BARS)
+    found = {r["trading_date"]: r for r in structure.add_zigzag(df).collect()}
+    kept = [r for _, r in sorted(found.items()) if r["zigzag_price"] is not None]
+    after = [b for a, b in zip(kept, kept[1:], strict=False) if a["zigzag_price"] == 0]
+    assert len(after) >= 2 and all(r["zigzag_return"] is None and r["zigzag_bars"] > 0 for r in after)
+    surface.register(spark)
+    for r in spark.sql("SELECT * FROM zigzag(TABLE({b}) PARTITION BY (provider, ticker) ORDER BY (trading_date), 5.0D, 10)", b=df).collect():
+        assert all(r[n] == found[r["trading_date"]][n] for n in ("zigzag_price", "zigzag_direction", "zigzag_return", "zigzag_bars"))
