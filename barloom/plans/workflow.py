@@ -346,9 +346,14 @@ def _ranking(spark, d):
 # --- models
 
 
+def _parts(spark, d) -> DataFrame:
+    """The split bundle, stored: fits read it a dozen times, the line items are read once."""
+    return stored(dataset.split(stored(_bundle(spark, d), "bundle"), SPLIT), "parts")
+
+
 @query("e01_preprocessing", with_(*_SPLIT, "t AS (SELECT return_1d, return_5d FROM x WHERE why IS NULL AND c = 'train')", "m AS (SELECT median(return_1d) AS m1, median(return_5d) AS m5 FROM t)", "f AS (SELECT coalesce(return_1d, m1) AS f1, coalesce(return_5d, m5) AS f5, m1, m5 FROM t, m)", select="SELECT 'return_1d' AS feature, round(first(m1), 6) AS median, round(avg(f1), 6) AS mean, round(stddev_pop(f1), 6) AS scale FROM f UNION ALL SELECT 'return_5d', round(first(m5), 6), round(avg(f5), 6), round(stddev_pop(f5), 6) FROM f"))
 def _preprocess(spark, d):
-    train = dataset.split(_bundle(spark, d), SPLIT).filter("split = 'train'")
+    train = _parts(spark, d).filter("split = 'train'")
     p = models.Preprocessing.fit(train, list(_FEATURES.outputs))
     rows = [(c, p.medians[c], p.means[c], p.scales[c]) for c in _FEATURES.outputs]
     return rounded(spark.createDataFrame(rows, "feature string, median double, mean double, scale double"))
@@ -356,14 +361,14 @@ def _preprocess(spark, d):
 
 @query("e02_constant_prior", with_(*_SPLIT, "q AS (SELECT avg(CAST(up AS INT)) AS prior FROM x WHERE why IS NULL AND c = 'train')", select="SELECT x.provider, x.ticker, x.trading_date, round(prior, 6) AS score FROM x, q WHERE why IS NULL AND c = 'validation'"))
 def _prior(spark, d):
-    parts = dataset.split(_bundle(spark, d), SPLIT)
+    parts = _parts(spark, d)
     fitted = models.fit("constant_prior", parts.filter("split = 'train'"), _FEATURES.outputs, "up")
     return rounded(fitted.score(parts.filter("split = 'validation'")).select("provider", "ticker", "trading_date", "score"))
 
 
 @query("e05_logistic_regression")
 def _logistic(spark, d):
-    parts = dataset.split(_bundle(spark, d), SPLIT)
+    parts = _parts(spark, d)
     fitted = models.fit("logistic_regression", parts.filter("split = 'train'"), _FEATURES.outputs, "up", penalty=0.1)
     return rounded(fitted.score(parts.filter("split = 'validation'")).select("provider", "ticker", "trading_date", "score"))
 
@@ -372,7 +377,7 @@ def _logistic(spark, d):
 def _cross_validation(spark, d):
     from barloom.plans.experiment import cross_validate
 
-    return rounded(cross_validate(_bundle(spark, d), _FEATURES.outputs, _TASK, "constant_prior", 3, 20))
+    return rounded(cross_validate(stored(_bundle(spark, d), "bundle"), _FEATURES.outputs, _TASK, "constant_prior", 3, 20))
 
 
 # --- backtest and labelling

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 
 from barloom.operators import backtest, dataset, evaluation, models, quality, studies
-from barloom.plans import catalog, experiment
+from barloom.plans import catalog, experiment, workflow
 from barloom.plans.contracts import Block, BlockSet, Task, canonical, digest
 from barloom.sources import bars as store
 from barloom.sources import ingest, sinks, universe
@@ -226,3 +226,22 @@ def test_upserted_batches_keep_the_fullest_bar(spark):
     df = spark.createDataFrame([("p", "a", D[0], 1, 1.0), ("p", "a", D[0], 3, 2.0)], "provider string, ticker string, trading_date date, volume long, close double")
     streams.upsert_batches(lambda d: kept.extend(d.collect()))(df, 0)
     assert [(r["volume"], r["close"]) for r in kept] == [(3, 2.0)]
+
+
+@pytest.mark.parametrize("name", ["e01_preprocessing", "e02_constant_prior", "e05_logistic_regression", "e17_cross_validation"])
+def test_fits_compute_the_bars_once(spark, data, monkeypatch, name):
+    seen, plain = spark.sparkContext.accumulator(0), workflow.bars_week
+
+    def counted(spark, d):
+        df = plain(spark, d)
+
+        def count(batches):
+            for b in batches:
+                seen.add(b.num_rows)
+                yield b
+
+        return df.mapInArrow(count, df.schema)
+
+    monkeypatch.setattr(workflow, "bars_week", counted)
+    assert workflow.QUERIES[name](spark, data).count() > 0
+    assert seen.value == plain(spark, data).count()
