@@ -326,23 +326,26 @@ def leader_links(rows: DataFrame) -> DataFrame:
 
 
 def candidates(sets: DataFrame, runs: int, similar: float = SIMILAR) -> DataFrame:
-    """Links (a, b) that connect all sets that may be over the threshold. sets: (node, sketch, picks_0 ...)."""
+    """Links (a, b), some repeated, that connect all sets that may be over the threshold. sets: (node, sketch, picks_0 ...)."""
     tokens = F.flatten(F.transform(F.sequence(F.lit(0), F.lit(runs - 1)), lambda r: F.transform(F.get(_level(0), r), lambda t: F.struct(r.alias("run"), t.alias("t")))))
     level = sets.filter(F.size(_level(0)) > 0).select("node", F.explode(tokens).alias("x")).select(F.xxhash64("x.run", "x.t").alias("bucket"), "x.run", "node", F.lit(0).alias("full"))
     with_sketch = sets.select("node", "sketch")
     small, links = [], []
     for depth in range(LEVELS):
         size = level.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-        sized = level.join(size, "bucket")
+        # written, like the links of the leaders: a plan holds one step of one level, so the driver's share of it stays small
+        sized = written(level.join(size, "bucket"), "sized")
         small.append(sized.filter(F.col("size") <= SMALL).select("bucket", "node", "full"))
         salt = F.pmod(F.xxhash64("node"), F.ceil(F.col("size") / CROWD)).cast("int")
         large = sized.filter(F.col("size") > SMALL).select("bucket", "run", salt.alias("salt"), "node", "full")
+        if large.isEmpty():
+            break
         crowd = written(collapse(large.join(with_sketch, "node"), central_at(similar)), "crowds")
         links.append(crowd.filter("b IS NOT NULL").select("a", "b"))
         leaders = crowd.filter("b IS NULL").select("bucket", "run", F.col("a").alias("node"), "full", "central")
         stays = F.col("central") if depth < LEVELS - 1 else F.lit(True)
         met = block_pairs(leaders, "bucket", "node", stays, CROWD).select("bucket", "p", "q", "side", "node", "full")
-        links.append(leader_links(met.join(with_sketch, "node")))
+        links.append(written(leader_links(met.join(with_sketch, "node")), "leaders"))
         below = leaders.filter("NOT central")
         if depth == LEVELS - 1 or below.isEmpty():
             break
@@ -355,7 +358,7 @@ def candidates(sets: DataFrame, runs: int, similar: float = SIMILAR) -> DataFram
     out = small_links(every.join(with_sketch, "node"))
     for x in links:
         out = out.unionByName(x)
-    return out.distinct()
+    return out
 
 
 def _common(sets: list[np.ndarray]) -> np.ndarray:

@@ -163,6 +163,48 @@ def test_components_of_a_path_a_star_and_pairs(spark):
     assert components.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def test_components_of_stars_need_no_round_and_equal_a_plain_union(spark, monkeypatch):
+    steps = []
+    monkeypatch.setattr(components, "written", lambda df, what, f=components.written: steps.append(what) or f(df, what))
+    stars = [(k, k // 10 * 10) for k in range(100) if k % 10]
+    found = components.components(spark.createDataFrame([*stars, *stars, *((b, a) for a, b in stars), (7, 7)], "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == [(k, k // 10 * 10) for k in range(100)]
+    assert steps == ["links"]  # those given, once; a round writes them again
+    rng = random.Random(8)
+    links = [(rng.randrange(400), rng.randrange(400)) for _ in range(330)]
+    root = {x: x for pair in links for x in pair if pair[0] != pair[1]}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in links:
+        if a != b:
+            x, y = find(a), find(b)
+            root[max(x, y)] = min(x, y)
+    found = components.components(spark.createDataFrame(links, "a long, b long"))
+    assert sorted(map(tuple, found.collect())) == sorted((x, find(x)) for x in root)
+
+
+def test_a_plan_of_candidates_holds_one_level(spark, monkeypatch, capsys):
+    monkeypatch.setattr(ngram_join, "SMALL", 4)
+    monkeypatch.setattr(ngram_join, "CROWD", 16)
+    rng = random.Random(3)
+    head = [f"h{k}" for k in range(40)]  # a common head makes large buckets of sets that aren't alike
+    texts = [" ".join([*head, *(f"w{rng.randrange(5000)}" for _ in range(60))]) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    runs = ngram_join.runs_for()
+    sets = ngram_join.written(ngram_join.sketches(df, "node", "text", ngram_join.SIMILAR, runs).withColumnRenamed("doc", "node"), "sets")
+    steps = []
+    monkeypatch.setattr(ngram_join, "written", lambda df, what, f=ngram_join.written: steps.append(what) or f(df, what))
+    links = ngram_join.candidates(sets, runs)
+    assert steps.count("crowds") > 1  # levels below the first were reached
+    capsys.readouterr()
+    links.explain()
+    assert capsys.readouterr().out.count("Exchange") <= 4
+
+
 def test_sentence_spans_equal_brute_force(spark):
     passage = "The first sentence of it is here. The second one follows it closely. And the third ends it well now."
     docs = [
